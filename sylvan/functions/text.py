@@ -66,8 +66,9 @@ def category_scores(text, lexicon=None) -> Column:
     words = "array(" + ", ".join(str_array(w) for _, w, _ in lexicon or lx.ISSUE_LEXICON) + ")"
 
     def points(v):
-        return lambda ks: F.aggregate(ks, F.lit(0), lambda acc, k: acc + F.contains(v["t"], k).cast("int")
-                                      + F.contains(v["f"], F.concat(F.lit(" "), k, F.lit(" "))).cast("int"))
+        # The whole-word test runs only for keywords that occur at all.
+        return lambda ks: F.aggregate(ks, F.lit(0), lambda acc, k: F.when(
+            F.contains(v["t"], k), acc + 1 + F.contains(v["f"], F.concat(F.lit(" "), k, F.lit(" "))).cast("int")).otherwise(acc))
 
     framed = let(_lower(text), lambda t: F.struct(t.alias("t"), word_frame(t).alias("f")))
     return let(framed, lambda v: F.transform(F.expr(words), points(v)))

@@ -109,7 +109,11 @@ CELLS = f"""cells0 AS (SELECT k // {ad.CELLS_PER_PARK} AS park_id, k AS seq, 'ce
   FROM (SELECT c_custkey AS k FROM customer)),
 cells AS (SELECT *, {_tot} AS amenity_total, building_coverage_pct / 100e0 * hex_area_m2 AS building_area_m2,
   population / hex_area_km2 AS pop_density_km2, road_length_m / hex_area_km2 AS road_density_m_per_km2,
-  real_road_length_m / hex_area_km2 AS real_road_density_m_per_km2, (min_lng + max_lng) / 2e0 AS lng, (min_lat + max_lat) / 2e0 AS lat FROM cells0)"""
+  real_road_length_m / hex_area_km2 AS real_road_density_m_per_km2, (min_lng + max_lng) / 2e0 AS lng, (min_lat + max_lat) / 2e0 AS lat, {ad.CENTER[0]}e0 AS center_lng, {ad.CENTER[1]}e0 AS center_lat FROM cells0)"""
+
+SITE = f"""{CELLS},
+site0 AS (SELECT * REPLACE (CAST(50 + (seq*17) % 51 AS DOUBLE) AS hex_area_m2, CAST(50 + (seq*17) % 51 AS DOUBLE) / 1000000e0 AS hex_area_km2, CAST(50 + (seq*17) % 51 AS DOUBLE) AS park_area_m2) FROM cells),
+site AS (SELECT * REPLACE (building_coverage_pct / 100e0 * hex_area_m2 AS building_area_m2) FROM site0)"""
 
 POINTS = f"""points AS (SELECT event_id // {ad.POINTS_PER_PARK} AS park_id, event_id AS feature_id,
   CASE event_type {' '.join(f'WHEN {q(a)} THEN {q(b)}' for a, b in ad.LAYERS.items())} END AS layer,

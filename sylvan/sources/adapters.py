@@ -38,6 +38,7 @@ PHRASES = [
 ]
 
 LNG0, LAT0 = 55.17, 25.11          # south-west corner of a study area
+CENTER = (55.2201, 25.1552)        # park centre
 CELLS_PER_PARK = 900               # a 30 x 30 lattice
 POINTS_PER_PARK = 6000
 EDGES_PER_NETWORK = 4000           # order keys per road network
@@ -55,13 +56,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute an input of fewer files than cores before heavy row-level work.
+
+    A table of many files already gives every core its share and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def idiv(x, n):
     """Integer quotient of non-negative integers."""
     return F.floor(x / F.lit(n)).cast("long")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"), "doc_id")
     i = F.col("doc_id")
     phrase = F.get(F.expr(str_array(PHRASES)), ((i * 3) % 40).cast("int"))
     ts = F.timestamp_add("HOUR", (i * 5) % 24, F.timestamp_add("DAY", (i * 13) % 1400, F.lit("2023-01-01").cast("timestamp")))
@@ -80,7 +90,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternative review source: user turns of conversations."""
-    d = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    d = spread(table(spark, sf_dir, "conversations").filter(F.col("role") == "user"), "conv_id")
     return d.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
         F.concat(F.lit("c"), (F.col("conv_id") % 7).cast("string")).alias("place_id"),
@@ -144,11 +154,19 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pop_density_km2": F.col("population") / km2,
         "road_density_m_per_km2": F.col("road_length_m") / km2,
         "real_road_density_m_per_km2": F.col("real_road_length_m") / km2,
+        "center_lng": F.lit(CENTER[0]), "center_lat": F.lit(CENTER[1]),
         "lng": (F.col("min_lng") + F.col("max_lng")) / F.lit(2.0),
         "lat": (F.col("min_lat") + F.col("max_lat")) / F.lit(2.0),
     })
 
 
+def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells rescaled to small squares inside a park, as the program scores expect them."""
+    area = (F.lit(50) + (F.col("seq") * 17) % 51).cast("double")
+    d = cells(spark, sf_dir).withColumns({"hex_area_m2": area, "hex_area_km2": area / F.lit(1000000.0), "park_area_m2": area})
+    return d.withColumn("building_area_m2", F.col("building_coverage_pct") / F.lit(100.0) * F.col("hex_area_m2"))
+
+
 def cell_ring():
     """Closed ring of a cell as array<struct<lng,lat>>."""
     pts = [("min_lng", "min_lat"), ("max_lng", "min_lat"), ("max_lng", "max_lat"), ("min_lng", "max_lat"), ("min_lng", "min_lat")]
