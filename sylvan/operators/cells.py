@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,11 +163,11 @@ def radius_catchments(cells: DataFrame, group_cols=PARK) -> DataFrame:
     d = distance_from_center(cells).select(*keys, "population", "center_distance_m")
     g = d.join(rings, F.col("center_distance_m") <= F.col("radius_m")).groupBy(*keys, "radius_m").agg(
         F.sum(F.coalesce("population", F.lit(0.0))).alias("_pop"), F.count(F.lit(1)).alias("hex_count"))
-    spine = cells.select(*keys).distinct().join(rings, how="cross")  # areas x 4 fixed rings
+    ring_rows = F.array(*[F.struct(F.lit(float(r)).alias("radius_m"), F.lit(lab).alias("visit_label"), F.lit(rate).alias("rate"), F.lit(i == 0).alias("daily"))
+                          for i, (r, lab, rate) in enumerate(fm.RINGS)])
+    spine = cells.select(*keys).distinct().select(*keys, F.inline(ring_rows))
     last = d.filter(F.col("center_distance_m") <= fm.RINGS[-1][0]).groupBy(*keys).agg(F.sum(F.coalesce("population", F.lit(0.0))).alias("_max"))
     j = spine.join(g, [*keys, "radius_m"], "left").join(last, keys, "left").fillna(0, ["_pop", "hex_count", "_max"])
-    import math
-
     area = F.lit(math.pi) * F.pow(F.col("radius_m") / 1000.0, 2)
     top = F.when(F.col("_max") == 0, F.lit(1.0)).otherwise(F.col("_max"))
     return j.select(*keys, "radius_m", js_round("_pop").alias("population"), js_round(area, 2).alias("area_km2"), js_round(F.col("_pop") / area).alias("density_per_km2"),

@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import review_queries, site_queries  # noqa: F401
+from . import review_queries, site_queries, spatial_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

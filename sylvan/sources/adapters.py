@@ -278,3 +278,66 @@ def dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("dataset_id"), F.col("o_orderkey").alias("version_id"),
         F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"),
     )
+
+
+def cell_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).select("park_id", "h3_id", "seq", cell_ring().alias("ring"), "min_lng", "min_lat", "max_lng", "max_lat", "lng", "lat",
+                                       "hex_area_km2", "pop_density_km2", "center_lng", "center_lat")
+
+
+def coords_of(u="u", v="v"):
+    return F.array(F.struct(node_lng(u).alias("lng"), node_lat(u).alias("lat")), F.struct(node_lng(v).alias("lng"), node_lat(v).alias("lat")))
+
+
+def road_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road segments with a two-vertex line from node u to node v."""
+    return roads(spark, sf_dir).withColumn("coords", coords_of())
+
+
+M_PER_DEG = 111194.9               # planar metres per degree used by the planar examples
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short straight ways in planar metres, one per event."""
+    e = F.col("event_id")
+    p = points(spark, sf_dir)
+    x, y = (F.col("lng") - LNG0) * M_PER_DEG, (F.col("lat") - LAT0) * M_PER_DEG
+    hw = F.when(F.col("feature_id") % 6 == 0, "footway").otherwise("residential")
+    return p.select("park_id", F.col("feature_id").alias("segment_id"), hw.alias("highway"), x.alias("ax"), y.alias("ay"),
+                    (x + ((F.col("feature_id") % 13 - 6) * 10)).alias("bx"), (y + ((F.col("feature_id") % 7 - 3) * 10)).alias("by"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as planar boxes: a 100 m square inside every cell."""
+    x, y = (F.col("min_lng") - LNG0) * M_PER_DEG, (F.col("min_lat") - LAT0) * M_PER_DEG
+    return cells(spark, sf_dir).select("park_id", "h3_id", x.alias("x0"), y.alias("y0"), (x + 100.0).alias("x1"), (y + 100.0).alias("y1"))
+
+
+def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangular buildings in planar metres, one per part."""
+    p = F.col("p_partkey")
+    x, y = ((p * 373) % 11000).cast("double"), ((p * 197) % 9900).cast("double")
+    w, h = (F.lit(10) + F.col("p_size")).cast("double"), (F.lit(10) + (p * 7) % 60).cast("double")
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return table(spark, sf_dir, "part").select(
+        idiv(p, 1200).alias("park_id"), p.alias("building_id"), F.array(pt(x, y), pt(x + w, y), pt(x + w, y + h), pt(x, y + h)).alias("poly"),
+        x.alias("bx0"), y.alias("by0"), (x + w).alias("bx1"), (y + h).alias("by1"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping rectangular regions with a circulation behaviour, one per supplier."""
+    s = F.col("s_suppkey")
+    x0, y0 = F.lit(LNG0) + (s * 37 % 80) / F.lit(1000.0), F.lit(LAT0) + (s * 53 % 70) / F.lit(1000.0)
+    x1, y1 = x0 + (s % 9 + 4) / F.lit(1000.0), y0 + (s % 7 + 4) / F.lit(1000.0)
+    b = F.get(F.array(*[F.lit(v) for v in ("HardBarrier", "DestinationOnly", "PermeableLandscape", "PreferredCorridor")]), (s % 4).cast("int"))
+    d = table(spark, sf_dir, "supplier").select(idiv(s, 60).alias("park_id"), F.concat(F.lit("r"), s.cast("string")).alias("region_id"), b.alias("behavior"), (s % 5).cast("double").alias("priority"),
+                                                x0.alias("min_lng"), y0.alias("min_lat"), x1.alias("max_lng"), y1.alias("max_lat"))
+    return d.withColumn("ring", cell_ring())
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small rectangular park polygons, one per supplier."""
+    s = F.col("s_suppkey")
+    x0, y0 = F.lit(LNG0) + (s * 37 % 90) / F.lit(1000.0), F.lit(LAT0) + (s * 53 % 80) / F.lit(1000.0)
+    d = table(spark, sf_dir, "supplier").select(idiv(s, 60).alias("park_id"), s.alias("site_id"), x0.alias("min_lng"), y0.alias("min_lat"), (x0 + (s % 5 + 5) / F.lit(10000.0)).alias("max_lng"), (y0 + (s % 3 + 5) / F.lit(10000.0)).alias("max_lat"))
+    return d.withColumn("ring", cell_ring())
