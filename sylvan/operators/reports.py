@@ -29,7 +29,7 @@ def cell_sums(cells: DataFrame, group_cols=PARK) -> DataFrame:
     return cells.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("cells"), F.sum(z("population")).alias("pop"), F.sum(z("hex_area_km2")).alias("km2"), F.sum(z("hex_area_m2")).alias("m2"),
         F.sum(z("building_count")).alias("bldg"), F.sum(z("building_area_m2")).alias("bldg_m2"), F.avg(z("building_coverage_pct")).alias("cov"),
-        F.avg(z("green_coverage_pct")).alias("green"), F.sum(z("green_coverage_pct") / 100.0 * z("hex_area_m2")).alias("green_m2"), F.avg(z("pop_density_km2")).alias("avg_density"),
+        F.avg(z("green_coverage_pct")).alias("green"), (F.sum(z("green_coverage_pct") * z("hex_area_m2")) / 100.0).alias("green_m2"), F.avg(z("pop_density_km2")).alias("avg_density"),
         F.sum(z("playground_count")).alias("playgrounds"), F.sum(z("intersection_count_hex")).alias("crossings"), F.avg("route_directness_ratio").alias("directness"),
         F.avg(z("amenity_total")).alias("amenity"), F.avg(z("barrier_score_hex")).alias("barrier"), F.avg("transit_score").alias("transit"), F.avg("demand_score").alias("demand"),
         F.avg("nearest_bus_stop_distance_m").alias("bus_m"), F.sum(F.when(F.col("nearest_bus_stop_distance_m") <= 400, z("population")).otherwise(0.0)).alias("pop400"),

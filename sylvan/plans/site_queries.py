@@ -259,7 +259,7 @@ _dr = [("parkDemandIndex", "idx", *st("idx")), ("residentsPerHectare", js("ha",
        ("popPerPlayground", js("ppp"), f"CASE WHEN ppp IS NULL THEN 'unavailable' ELSE {st(norm('ppp', 20000))[0]} END", f"CASE WHEN ppp IS NULL THEN 'Low' ELSE {st(norm('ppp', 20000))[1]} END"),
        ("popPerGreenM2", js("1e0 / coalesce(nullif(gpc, 0e0), 1e0)", 2), *st("def")), ("accessibilityScore", "walkability_score", *st("walkability_score", True)),
        ("pressureScore", "press", *st("press")), ("greenSpaceDeficit", js("def"), *st("def"))]
-DEMAND = f"""da0 AS (SELECT park_id, count(*) AS n, sum(population) AS pop, sum(hex_area_km2) AS km2, sum(playground_count) AS pl, sum(green_coverage_pct / 100e0 * hex_area_m2) AS gm, {js('avg(demand_score)')} AS idx FROM sc GROUP BY park_id),
+DEMAND = f"""da0 AS (SELECT park_id, count(*) AS n, sum(population) AS pop, sum(hex_area_km2) AS km2, sum(playground_count) AS pl, sum(green_coverage_pct * hex_area_m2) / 100e0 AS gm, {js('avg(demand_score)')} AS idx FROM sc GROUP BY park_id),
 da AS (SELECT da0.*, walkability_score, coalesce(gm / pop, 0e0) AS gpc, greatest(0e0, (9e0 - coalesce(gm / pop, 0e0)) / 9e0 * 100e0) AS def, pop / (km2 * 100e0) AS ha, pop / nullif(pl, 0) AS ppp, {js(norm('pop / km2', 20000))} AS press FROM da0 JOIN ped USING (park_id))"""
 
 
@@ -367,7 +367,7 @@ def review_parks(spark, sf):
 
 ENV = f"""eh AS (SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, max(score) FILTER (WHERE key = 'thermalComfort') AS th, max(score) FILTER (WHERE key = 'biodiversity') AS bio FROM health GROUP BY place_id),
 ew AS (SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, priority_index AS wat FROM impact WHERE issue_category = 'water features'),
-e0 AS (SELECT park_id, avg(green_coverage_pct) AS green, avg(CASE WHEN heat_score >= 65 THEN 1e0 ELSE 0e0 END) * 100e0 AS hot, avg(CASE WHEN heat_score <= 35 THEN 1e0 ELSE 0e0 END) * 100e0 AS cool, {js('avg(cooling_score)')} AS cs, sum(green_coverage_pct / 100e0 * hex_area_m2) AS gm FROM sc GROUP BY park_id),
+e0 AS (SELECT park_id, avg(green_coverage_pct) AS green, avg(CASE WHEN heat_score >= 65 THEN 1e0 ELSE 0e0 END) * 100e0 AS hot, avg(CASE WHEN heat_score <= 35 THEN 1e0 ELSE 0e0 END) * 100e0 AS cool, {js('avg(cooling_score)')} AS cs, sum(green_coverage_pct * hex_area_m2) / 100e0 AS gm FROM sc GROUP BY park_id),
 e1 AS (SELECT e0.*, impervious_pct AS imp, coalesce(th, 60e0) AS th, coalesce(bio, 60e0) AS bio, wat FROM e0 JOIN urban USING (park_id) LEFT JOIN eh USING (park_id) LEFT JOIN ew USING (park_id)),
 env AS (SELECT *, {js(norm('green', 40) + ' * 0.25e0 + (100e0 - hot) * 0.2e0 + th * 0.25e0 + bio * 0.15e0 + ' + norm('100e0 - imp', 100) + ' * 0.15e0')} AS al FROM e1)"""
 
