@@ -255,17 +255,19 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLANT_VALUES = {
+    "native_status": ["Native", "Adapted", "Foreign"], "habit": ["Large Tree", "Palm Tree", "Shrub", "Groundcover", "Ornamental Grass"],
+    "water_demand": ["Very Low", "Low", "Moderate", "High", ""], "leaf_retention": ["Evergreen", "Deciduous", "Semi-Evergreen"], "foliage_density": ["Dense", "Medium", "Open"],
+}
+
+
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    pick = lambda vals, m: F.get(F.array(*[F.lit(v) for v in vals]), ((p * m) % len(vals)).cast("int"))
+    pick = lambda name, m: F.get(F.expr(str_array(PLANT_VALUES[name])), ((p * m) % len(PLANT_VALUES[name])).cast("int")).alias(name)
     return table(spark, sf_dir, "part").select(
         p.alias("plant_id"),
         F.concat(F.col("p_name"), F.lit(" "), (p % 700).cast("string")).alias("scientific_name"),
-        pick(["native", "adapted", "exotic"], 5).alias("native_status"),
-        pick(["tree", "palm", "shrub", "groundcover", "climber"], 7).alias("habit"),
-        pick(["low", "moderate", "high", ""], 3).alias("water_demand"),
-        pick(["evergreen", "deciduous", "semi-evergreen"], 4).alias("leaf_retention"),
-        pick(["dense", "medium", "light"], 2).alias("foliage_density"),
+        pick("native_status", 5), pick("habit", 7), pick("water_demand", 3), pick("leaf_retention", 4), pick("foliage_density", 2),
         F.when(p % 10 != 0, ((p * 3) % 120) / F.lit(10.0)).cast("string").alias("height_m"),
         F.when(p % 9 != 0, ((p * 7) % 90) / F.lit(10.0)).cast("string").alias("canopy_m"),
         F.when(p % 4 != 0, ((p * 11) % 60) / F.lit(100.0)).cast("string").alias("dbh_m"),
