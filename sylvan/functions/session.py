@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A table of fixed values.  Its size is bounded by the code, so it is safe to broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def written_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as parquet below the shared checkpoint folder and read it back.
+
+    For an expensive table that several branches of a plan use: it is computed once, later
+    reads prune columns, and no filter is pushed below the expensive expressions.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = os.path.join(spark.sparkContext.getCheckpointDir(), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -161,7 +161,7 @@ def extract_keywords(text, top: int = 5) -> Column:
         split_words(F.translate(_lower(text), lx.KEYWORD_PUNCT, "")),
         lambda w: (F.length(w) > 3) & ~w.isin(lx.KEYWORD_STOP),
     )
-    ordered = F.array_sort(F.transform(toks, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    ordered = F.sort_array(F.transform(toks, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
 
     def runs(s):
         return F.filter(
@@ -177,6 +177,16 @@ def extract_keywords(text, top: int = 5) -> Column:
                 F.when(x["w"].rlike(r"^(0|[1-9][0-9]{0,9})$") & (number < 4294967295), number).otherwise(F.lit(1 << 40)).alias("num"),
                 x["p"].alias("p"), x["w"].alias("w"))
 
-        return F.transform(F.slice(F.array_sort(F.transform(r, entry)), 1, top), lambda x: x["w"])
+        return F.transform(F.slice(F.sort_array(F.transform(r, entry)), 1, top), lambda x: x["w"])
 
     return let(let(ordered, runs), rank)
+
+
+def exploded(df, column: str, keep, name: str, pos: str | None = None):
+    """One row per element of an array column; rows without elements vanish.
+
+    The outer generator keeps the optimizer from adding a size filter on the column, which
+    would compute an expensive array a second and third time below the generator.
+    """
+    gen = F.posexplode_outer(column).alias(pos, name) if pos else F.explode_outer(column).alias(name)
+    return df.select(*keep, gen).filter(F.col(name).isNotNull())

@@ -215,7 +215,7 @@ def od_demand(steps: DataFrame, group_cols=("package_id",), journey: str = "jour
     w = W.partitionBy(*keys, journey).orderBy(position)
     legs = steps.withColumns({"origin": F.col(space), "destination": F.lead(space).over(w)}).filter(F.col("destination").isNotNull() & (F.col("origin") != F.col("destination")))
     per = legs.groupBy(*keys, "origin", "destination", journey).agg(F.sum("weight").alias("_w"), F.min(persona).alias(persona))
-    return per.groupBy(*keys, "origin", "destination").agg(js_round(F.sum("_w"), 6).alias("weight"), F.count(F.lit(1)).alias("journeys"), F.array_sort(F.collect_set(persona)).alias("personas"))
+    return per.groupBy(*keys, "origin", "destination").agg(js_round(F.sum("_w"), 6).alias("weight"), F.count(F.lit(1)).alias("journeys"), F.sort_array(F.collect_set(persona)).alias("personas"))
 
 
 # Column order of the experience flow.

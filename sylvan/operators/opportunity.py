@@ -83,7 +83,7 @@ def program_summary(scored: DataFrame, rates: DataFrame, group_cols=PARK, roads_
     agg = [F.count(F.lit(1)).alias("cells"), count_where(ok).alias("eligible"), F.sum(F.when(ok, F.col("population")).otherwise(0.0)).alias("_pop")]
     for c in ("demand", "suitability", "feasibility"):
         agg += [F.sum(F.when(ok, F.col(c) * F.col("population")).otherwise(0.0)).alias(f"_w_{c}"), F.avg(F.when(ok, F.col(c))).alias(f"_a_{c}")]
-    agg.append(F.array_sort(F.collect_set("avoid_reason")).alias("avoid_reasons"))  # at most two texts per program
+    agg.append(F.sort_array(F.collect_set("avoid_reason")).alias("avoid_reasons"))  # at most two texts per program
     g = scored.groupBy(*keys, "program").agg(*agg)
     for c in ("demand", "suitability", "feasibility"):
         g = g.withColumn(c, F.when(F.col("eligible") == 0, F.lit(0.0)).when(F.col("_pop") <= 1, js_round(f"_a_{c}")).otherwise(js_round(F.col(f"_w_{c}") / F.col("_pop"))))

@@ -142,7 +142,7 @@ def kpis(df: DataFrame, group_cols=PLACE, parks: int = 1, n: int = 8) -> DataFra
     t = buckets.groupBy(*keys, "kpi", "time_basis").agg(
         F.avg(F.when(F.col("bucket") < half, F.col("value"))).alias("_e"), F.avg(F.when(F.col("bucket") >= n - half, F.col("value"))).alias("_l"),
         F.sum("n").alias("sample_size"),
-        F.transform(F.array_sort(F.collect_list(F.struct("bucket", "value"))), lambda x: x["value"]).alias("sparkline"),
+        F.transform(F.sort_array(F.collect_list(F.struct("bucket", "value"))), lambda x: x["value"]).alias("sparkline"),
     ).withColumn("_t", trend_from_halves(F.col("_e"), F.col("_l")))
     overall = _kpi_values(_kpi_base(df, keys), keys, parks).drop("n").unpivot(keys, KPI_IDS, "kpi", "value")
     return t.join(overall, [*keys, "kpi"]).select(
@@ -203,7 +203,7 @@ def rating_drivers(df: DataFrame, group_cols=PLACE) -> DataFrame:
     keys = list(group_cols)
     five, one = F.col("rating") == 5, F.col("rating") == 1
     totals = df.groupBy(*keys).agg(count_where(five).alias("_t5"), count_where(one).alias("_t1"))
-    c = df.select(*keys, "rating", F.explode("categories").alias("category")).groupBy(*keys, "category").agg(
+    c = tx.exploded(df, "categories", [*keys, "rating"], "category").groupBy(*keys, "category").agg(
         count_where(five).alias("_c5"), count_where(one).alias("_c1"))
     s5 = F.when(F.col("_t5") == 0, F.lit(0.0)).otherwise(F.col("_c5") / F.col("_t5"))
     s1 = F.when(F.col("_t1") == 0, F.lit(0.0)).otherwise(F.col("_c1") / F.col("_t1"))
@@ -214,7 +214,7 @@ def rating_drivers(df: DataFrame, group_cols=PLACE) -> DataFrame:
 def top_keywords(df: DataFrame, group_cols, n: int) -> DataFrame:
     """Most frequent keywords per group, ties by first occurrence."""
     keys = list(group_cols)
-    kw = df.select(*keys, "review_id", F.posexplode("keywords").alias("pos", "keyword"))
+    kw = tx.exploded(df, "keywords", [*keys, "review_id"], "keyword", "pos")
     c = kw.groupBy(*keys, "keyword").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("review_id", "pos")).alias("first"))
     w = W.partitionBy(*keys).orderBy(F.desc("n"), F.asc("first"))
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("first")
@@ -230,7 +230,7 @@ def topic_distribution(df: DataFrame, group_cols=PLACE, n_keywords: int = 8) ->
         F.max_by(F.struct("review_id", "author_name", "review_text", "design_requirement"), key).alias("_q"), F.min("review_id").alias("first_seq"),
     )
     kw = top_keywords(df, keys, n_keywords).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("top_keywords"))
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("top_keywords"))
     return base.join(kw, keys, "left").select(
         *keys, "review_count", "positive_share", "neutral_share", "negative_share", js_round("_ar", 1).alias("avg_rating"),
         F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords"), F.col("_q.review_id").alias("quote_id"),
@@ -251,8 +251,8 @@ def persona_label():
 
 def _persona_categories(df: DataFrame, keys) -> DataFrame:
     """One row per persona and category: the compact base of the persona analyses."""
-    ex = with_personas(df).select(*keys, "review_id", "issue_category", "sentiment", "category_confidence", "author_name", "review_text",
-                                  "design_requirement", F.explode("personas").alias("persona"))
+    ex = tx.exploded(with_personas(df), "personas", [*keys, "review_id", "issue_category", "sentiment", "category_confidence", "author_name",
+                                                     "review_text", "design_requirement"], "persona")
     qkey = F.struct(pos().cast("int"), quote_score(), -F.col("review_id"))
     return ex.groupBy(*keys, "persona", "issue_category").agg(
         F.count(F.lit(1)).alias("n"), count_where(neg()).alias("neg"), F.min("review_id").alias("first_seq"),
@@ -267,8 +267,8 @@ def persona_analytics(df: DataFrame, group_cols=PLACE) -> DataFrame:
     # At most one entry per lexicon category is collected for a persona.
     g = base.groupBy(*keys).agg(
         F.sum("n").alias("review_count"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("first_seq").alias("s"), F.col("issue_category").alias("c")))).alias("_needs"),
-        F.array_sort(F.collect_list(F.when(F.col("n") >= 2, F.struct((-(F.col("neg") / F.col("n"))).alias("o"), F.col("first_seq").alias("s"),
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("first_seq").alias("s"), F.col("issue_category").alias("c")))).alias("_needs"),
+        F.sort_array(F.collect_list(F.when(F.col("n") >= 2, F.struct((-(F.col("neg") / F.col("n"))).alias("o"), F.col("first_seq").alias("s"),
                      F.col("issue_category").alias("c"), F.col("first_advice").alias("a"))))).alias("_compl"),
         F.min_by("first_advice", "first_seq").alias("_any"), F.max_by("_q", "_k").alias("_q"), F.min("first_seq").alias("first_seq"))
     top = F.slice("_compl", 1, 3)
@@ -389,8 +389,8 @@ def topic_analysis(df: DataFrame, group_cols=PLACE) -> DataFrame:
     and rolled up.
     """
     keys = [*group_cols, "category"]
-    ex = df.select(*group_cols, "rating", "sentiment", period_key("published_ts", "month").alias("period"),
-                   (F.col("issue_category")).alias("_single"), F.explode("categories").alias("category"))
+    ex = tx.exploded(df, "categories", [*group_cols, "rating", "sentiment", period_key("published_ts", "month").alias("period"),
+                                        F.col("issue_category").alias("_single")], "category")
     m = ex.groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("n"), count_where(pos()).alias("p"), count_where(neg()).alias("g"),
                                         F.sum("rating").alias("r"), count_where(F.col("_single") == F.col("category")).alias("single"))
     tot = m.groupBy(*keys).agg(F.sum("single").alias("review_count"), F.sum("n").alias("mentions"), js_round(F.sum("p") / F.sum("n") * 100.0).alias("positive_pct"),
@@ -417,7 +417,7 @@ def complaint_intelligence(df: DataFrame, group_cols=PLACE) -> DataFrame:
     order = F.create_map(*[F.lit(x) for i, (pid, _, _) in enumerate(lx.PERSONAS) for x in (pid, i)])
     pers = persona_analytics(df, group_cols).select(*group_cols, "label", "review_count", F.element_at(order, F.col("persona")).alias("_po"),
                                                     F.explode("top_complaints").alias("issue_category"))
-    pers = pers.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("review_count"), "_po", "label"))), lambda x: x["label"]).alias("affected_personas"))
+    pers = pers.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("review_count"), "_po", "label"))), lambda x: x["label"]).alias("affected_personas"))
     j = imp.join(tr, keys, "left").join(pers, keys, "left")
     sev = band(F.col("priority_index"), lx.SEVERITY_CUTS, "Low")
     rank = F.when(sev == "Critical", 4).when(sev == "High", 3).when(sev == "Medium", 2).otherwise(1)
@@ -442,7 +442,7 @@ def positive_features(df: DataFrame, group_cols=PLACE) -> DataFrame:
 def persona_visit_times(df: DataFrame, group_cols=PLACE) -> DataFrame:
     keys = [*group_cols, "persona"]
     d = with_personas(df).withColumn("_low", F.lower("review_text"))
-    ex = d.select(*group_cols, F.explode("personas").alias("persona"), *[tx.contains_any(F.col("_low"), w).alias(f"_t{i}") for i, (_, w) in enumerate(lx.VISIT_TIMES)])
+    ex = tx.exploded(d, "personas", [*group_cols, *[tx.contains_any(F.col("_low"), w).alias(f"_t{i}") for i, (_, w) in enumerate(lx.VISIT_TIMES)]], "persona")
     g = ex.groupBy(*keys).agg(*[count_where(F.col(f"_t{i}")).alias(f"_c{i}") for i in range(len(lx.VISIT_TIMES))])
     best = F.greatest(*[F.col(f"_c{i}") for i in range(len(lx.VISIT_TIMES))])
     label = None
@@ -493,7 +493,7 @@ def issue_sentiment_stack(df: DataFrame) -> DataFrame:
 
 
 def keyword_frequencies(df: DataFrame, n: int | None = None) -> DataFrame:
-    kw = df.select("review_id", F.posexplode("keywords").alias("pos", "keyword")).groupBy("keyword").agg(
+    kw = tx.exploded(df, "keywords", ["review_id"], "keyword", "pos").groupBy("keyword").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("review_id", "pos")).alias("first"))
     if n:
         kw = kw.orderBy(F.desc("n"), F.asc("first")).limit(n)

@@ -52,7 +52,7 @@ def tfidf(df: DataFrame, top: int = 40, group_cols=()) -> DataFrame:
 
 
 def topic_nodes(df: DataFrame, group_cols=()) -> DataFrame:
-    return df.select(*group_cols, F.explode("categories").alias("category")).groupBy(*group_cols, "category").agg(F.count(F.lit(1)).alias("n"))
+    return tx.exploded(df, "categories", group_cols, "category").groupBy(*group_cols, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def topic_cooccurrence(df: DataFrame, max_edges: int = 40, group_cols=()) -> DataFrame:
@@ -63,7 +63,7 @@ def topic_cooccurrence(df: DataFrame, max_edges: int = 40, group_cols=()) -> Dat
         return F.flatten(F.transform(v, lambda a: F.transform(
             F.filter(v, lambda b: b > a), lambda b: F.struct(a.alias("source"), b.alias("target")))))
 
-    pairs = tx.let(F.array_sort("categories"), pairs_of)
-    d = df.filter(F.size("categories") > 1)
+    pairs = tx.let(F.sort_array("categories"), pairs_of)
+    d = df
     c = d.select(*keys, "review_id", F.inline(pairs)).groupBy(*keys, "source", "target").agg(F.count(F.lit(1)).alias("weight"), F.min("review_id").alias("_first"))
     return _top(c, keys, max_edges, F.desc("weight"), F.asc("_first"), F.asc("source"), F.asc("target")).drop("_first")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.numeric import js_round
+from ..functions.session import written_table
 from ..operators import enrich as en
 from ..operators import filters as fl
 from ..operators import ranking as rk
@@ -22,6 +23,11 @@ def enriched(spark, sf):
     return en.enrich_reviews(ad.reviews(spark, sf))
 
 
+def enriched_table(spark, sf):
+    """The enriched reviews as a written table, for queries that use them more than once."""
+    return written_table(enriched(spark, sf))
+
+
 def joined(c):
     return F.array_join(c, "|")
 
@@ -96,7 +102,7 @@ def _(spark, sf):
 SELECT place_id, category, sentence_sentiment, count(*) AS n FROM st GROUP BY ALL"""))
 def _(spark, sf):
     s = en.sentence_table(ad.reviews(spark, sf))
-    return s.select("place_id", "sentence_sentiment", F.explode("topics").alias("category")).groupBy("place_id", "category", "sentence_sentiment").agg(F.count(F.lit(1)).alias("n"))
+    return tx.exploded(s, "topics", ["place_id", "sentence_sentiment"], "category").groupBy("place_id", "category", "sentence_sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rating_sentiment_mismatch", with_enriched(f", {SENT} SELECT * FROM flagged"))
@@ -225,7 +231,7 @@ klong AS (UNPIVOT kfull ON {KPI_COLS} INTO NAME kpi VALUE value)"""
 
 @query("kpi_buckets", with_enriched(f", {KPI_FULL} SELECT place_id, time_basis, bucket, kpi, n, {js('value', 6)} AS value FROM klong"))
 def _(spark, sf):
-    return rv.kpi_buckets(enriched(spark, sf)).select("place_id", "time_basis", F.col("bucket").cast("long"), "kpi", "n", js_round("value", 6).alias("value"))
+    return rv.kpi_buckets(enriched_table(spark, sf)).select("place_id", "time_basis", F.col("bucket").cast("long"), "kpi", "n", js_round("value", 6).alias("value"))
 
 
 def _trend_sql(e, l):
@@ -238,7 +244,7 @@ ktr AS (SELECT place_id, kpi, time_basis, CAST(sum(n) AS BIGINT) AS sample_size,
 kov AS (UNPIVOT (SELECT place_id, {KPI_COLS} FROM kw_bt0) ON {KPI_COLS} INTO NAME kpi VALUE value)
 SELECT place_id, kpi, {js('value', 6)} AS value, {_trend_sql('e', 'l')}, time_basis, sample_size FROM ktr JOIN kov USING (place_id, kpi)"""))
 def _(spark, sf):
-    return rv.kpis(enriched(spark, sf)).drop("sparkline").withColumn("value", js_round("value", 6))
+    return rv.kpis(enriched_table(spark, sf)).drop("sparkline").withColumn("value", js_round("value", 6))
 
 
 def _health_sql():
@@ -289,7 +295,7 @@ topics AS (SELECT tb.*, coalesce(top_keywords, '') AS top_keywords, quote_id, qu
 
 @query("topic_distribution", with_enriched(f", {TOPICS} SELECT * EXCLUDE (first_seq, quote) FROM topics"))
 def _(spark, sf):
-    return rv.topic_distribution(enriched(spark, sf)).withColumn("top_keywords", joined("top_keywords")).drop("quote", "design_implication", "first_seq")
+    return rv.topic_distribution(enriched_table(spark, sf)).withColumn("top_keywords", joined("top_keywords")).drop("quote", "design_implication", "first_seq")
 
 
 @query("representative_quote", with_enriched(f", tq AS (SELECT place_id, topic, review_id AS quote_id, author_name AS quote_author, row_number() OVER (PARTITION BY place_id, topic ORDER BY {QSCORE} DESC, review_id) AS r FROM enriched) SELECT * EXCLUDE (r) FROM tq WHERE r = 1"))
@@ -322,7 +328,7 @@ sp AS (SELECT DISTINCT place_id FROM enriched), j AS (SELECT sp.place_id, iv.*,
 SELECT place_id, id, label, category, CASE WHEN coalesce(mentions, 0) < 3 THEN 20e0 ELSE priority_index END AS score, CASE WHEN coalesce(mentions, 0) < 3 THEN 'Low' ELSE priority END AS expected_impact, cost, maintenance, difficulty,
  coalesce(mentions, 0) AS supporting_mentions, coalesce(mentions, 0) < 3 AS insufficient_data FROM j"""))
 def _(spark, sf):
-    return rv.opportunity_interventions(enriched(spark, sf))
+    return rv.opportunity_interventions(enriched_table(spark, sf))
 
 
 @query("place_layer_metrics", with_enriched(f""", w AS (SELECT place_id, CAST(count(*) AS DOUBLE) AS "reviewDensity", avg({SIGN}) * 100 AS "sentimentDensity", """ + ", ".join(
@@ -406,7 +412,7 @@ complaints AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY CASE
 
 @query("complaint_intelligence", with_enriched(f", {COMPLAINTS} SELECT place_id, rank, issue_category, severity, mentions, negative_pct, avg_rating, affected_personas, md5(suggested_intervention) AS advice, confidence, recent_trend FROM complaints"))
 def _(spark, sf):
-    c = rv.complaint_intelligence(enriched(spark, sf))
+    c = rv.complaint_intelligence(enriched_table(spark, sf))
     return c.select("place_id", "rank", "issue_category", "severity", "mentions", "negative_pct", "avg_rating", joined("affected_personas").alias("affected_personas"),
                     F.md5("suggested_intervention").alias("advice"), "confidence", "recent_trend")
 
@@ -417,7 +423,7 @@ posf AS (SELECT place_id, issue_category, review_count AS mentions, positive_pct
 
 @query("positive_features", with_enriched(f", {TOPICS}, {POSF} SELECT * FROM posf"))
 def _(spark, sf):
-    return rv.positive_features(enriched(spark, sf)).drop("quote")
+    return rv.positive_features(enriched_table(spark, sf)).drop("quote")
 
 
 VISIT = f"""vt AS (SELECT place_id, persona, {', '.join(f'count(*) FILTER (WHERE {any_like("low", w)}) AS c{i}' for i, (_, w) in enumerate(lx.VISIT_TIMES))} FROM pe GROUP BY ALL),
@@ -428,7 +434,7 @@ visit AS (SELECT place_id, persona, visit_mentions, CASE WHEN visit_mentions >=
 
 @query("user_group_insights", with_enriched(f", {PERS}, {VISIT} SELECT place_id, persona, label, review_count, primary_needs, likely_visit_time, visit_time_confidence, visit_mentions FROM personas JOIN visit USING (place_id, persona)"))
 def _(spark, sf):
-    return rv.user_group_insights(enriched(spark, sf)).select("place_id", "persona", "label", "review_count", joined("primary_needs").alias("primary_needs"), "likely_visit_time", "visit_time_confidence", "visit_mentions")
+    return rv.user_group_insights(enriched_table(spark, sf)).select("place_id", "persona", "label", "review_count", joined("primary_needs").alias("primary_needs"), "likely_visit_time", "visit_time_confidence", "visit_mentions")
 
 
 @query("activity_patterns", f"WITH {REVIEWS} " + " UNION ALL ".join(
@@ -470,7 +476,7 @@ SELECT b.*, CASE WHEN satisfaction_score >= 80 THEN 'VERY POSITIVE' WHEN satisfa
  coalesce(top_user_group, 'Insufficient data') AS top_user_group, coalesce(critical_issue_cluster, 'None identified') AS critical_issue_cluster
 FROM b LEFT JOIN (SELECT * FROM complaints WHERE rank = 1) c USING (place_id) LEFT JOIN (SELECT * FROM posf WHERE rank = 1) f USING (place_id) LEFT JOIN cc USING (place_id) LEFT JOIN tp USING (place_id)"""))
 def _(spark, sf):
-    return rv.exec_summary(enriched(spark, sf)).withColumn("improvement", F.md5("most_requested_improvement")).drop("most_requested_improvement")
+    return rv.exec_summary(enriched_table(spark, sf)).withColumn("improvement", F.md5("most_requested_improvement")).drop("most_requested_improvement")
 
 
 # --- text mining ----------------------------------------------------------------
@@ -563,7 +569,7 @@ def _(spark, sf):
 @query("temporal_summary", with_enriched(f""", {_series('tr', 'enriched', ['place_id'])} SELECT e.place_id, CAST(count(*) AS BIGINT) AS n, {js('count(published_ts) / CAST(count(*) AS DOUBLE) * 1000e0')} / 10e0 AS dated_share,
  max(trend) AS volume_trend, max(trend_pct) AS volume_trend_pct FROM enriched e LEFT JOIN tr USING (place_id) GROUP BY e.place_id"""))
 def _(spark, sf):
-    return ts.temporal_summary(enriched(spark, sf))
+    return ts.temporal_summary(enriched_table(spark, sf))
 
 
 @query("temporal_months", with_enriched(f"SELECT place_id, {PERIOD['month']} AS period, count(*) AS n, {js(f'(avg({SIGN}) + 1e0) / 2e0 * 100e0')} AS sentiment_score FROM enriched WHERE published_ts IS NOT NULL GROUP BY ALL"))

@@ -9,6 +9,7 @@ from ..functions import lexicon as lx
 from ..functions.geo import haversine_m
 from ..functions.numeric import js_round
 from ..functions.programs import PLANNING_PROGRAMS
+from ..functions.session import written_table
 from ..operators import cells as cl
 from ..operators import filters as fl
 from ..operators import ranking as rk
@@ -390,7 +391,7 @@ ENV_ROWS = [("greenCoveragePct", js("green", 1), "CASE WHEN green >= 25 THEN 'go
 
 
 def environment(spark, sf):
-    r = review_parks(spark, sf)
+    r = written_table(review_parks(spark, sf))
     h = rv.health_score(r, PARK).groupBy("park_id").pivot("key", ["thermalComfort", "biodiversity"]).agg(F.first("score"))
     w = rv.issue_impact(r, PARK).filter(F.col("issue_category") == "water features").select("park_id", F.col("priority_index").alias("water_priority"))
     s = scored(spark, sf)
@@ -481,7 +482,7 @@ r AS (SELECT c.*, ctx.* FROM complaints c LEFT JOIN ctx ON ctx.park_id = CAST(su
 h AS (SELECT *, (issue_category = 'shade / heat comfort' AND (coalesce(avg_heat, 0) >= 55 OR coalesce(avg_green, 100) < 10)) OR (issue_category = 'playground' AND coalesce(avg_access, 100) < 50) OR (issue_category IN ('accessibility','parking') AND coalesce(avg_walk, 0) > 20) AS site_reinforced FROM r)
 SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, 'REQ-' || lpad(CAST(rank AS VARCHAR), 3, '0') AS id, issue_category AS topic, severity, site_reinforced, CASE WHEN severity = 'Critical' THEN 'Must Have' WHEN severity = 'High' AND site_reinforced THEN 'Must Have' WHEN severity = 'High' THEN 'High Priority' WHEN severity = 'Medium' THEN 'Medium Priority' ELSE 'Optional' END AS priority_class, mentions AS evidence_count, confidence FROM h""")
 def _(spark, sf):
-    return rv.design_requirement_matrix(rv.complaint_intelligence(review_parks(spark, sf), PARK), rp.cross_context(scored(spark, sf)), PARK)
+    return rv.design_requirement_matrix(rv.complaint_intelligence(written_table(review_parks(spark, sf)), PARK), rp.cross_context(scored(spark, sf)), PARK)
 
 
 def msum(names):
@@ -504,7 +505,7 @@ def _age_sql():
 
 
 def evidence(spark, sf):
-    r = review_parks(spark, sf)
+    r = written_table(review_parks(spark, sf))
     return rp.review_evidence(rv.persona_analytics(r, PARK), rv.health_score(r, PARK), r.groupBy("park_id").agg(F.count(F.lit(1)).alias("n")), PARK)
 
 
