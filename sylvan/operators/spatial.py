@@ -192,7 +192,7 @@ def clip_half_plane(poly, a, b, c0):
         def edge(i):
             p, q = F.get(v, i), F.get(v, F.pmod(i + 1, F.size(v)))
             sp, sq = side(p), side(q)
-            t = sp / (sp - sq)
+            t = F.try_divide(sp, sp - sq)
             cut = F.struct((p["x"] + (q["x"] - p["x"]) * t).alias("x"), (p["y"] + (q["y"] - p["y"]) * t).alias("y"))
             end = F.struct(q["x"].alias("x"), q["y"].alias("y"))
             none = F.array().cast(POLY)
@@ -296,7 +296,7 @@ def square_grid_cells(parks: DataFrame, cells: DataFrame, min_area_m2: float = 5
     m = math.pi / 180.0 * R_EARTH
     g = g.withColumn("area_m2", open_area(F.col("_clip")) * F.lit(m * m) * F.cos(F.radians(F.col("y0") + step / 2.0))).filter(F.col("area_m2") >= min_area_m2)
     n = F.size("_clip")
-    g = g.withColumns({"lng": F.col("x0") + F.aggregate("_clip", F.lit(0.0), lambda s, q: s + q["x"]) / n, "lat": F.col("y0") + F.aggregate("_clip", F.lit(0.0), lambda s, q: s + q["y"]) / n,
+    g = g.withColumns({"lng": F.col("x0") + F.try_divide(F.aggregate("_clip", F.lit(0.0), lambda s, q: s + q["x"]), n), "lat": F.col("y0") + F.try_divide(F.aggregate("_clip", F.lit(0.0), lambda s, q: s + q["y"]), n),
                        "grid_id": F.concat_ws("-", F.col("site_id").cast("string"), F.col("_i").cast("string"), F.col("_j").cast("string"))})
     g = g.select(*keys, "site_id", "grid_id", "x0", "y0", "lng", "lat", "area_m2")
     hit = assign_points_to_polygons(g, cells, "grid_id", "h3_id", "seq", tile, group_cols=keys)
