@@ -482,3 +482,18 @@ def threshold_findings(metrics: DataFrame, rules, group_cols=PARK) -> DataFrame:
     rt = fixed_table(metrics.sparkSession, [(a, b, float(c), d, e) for a, b, c, d, e in rules], "key string, op string, threshold double, kind string, finding string")
     j = metrics.join(rt, "key")
     return j.filter(F.when(F.col("op") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))).select(*group_cols, "key", "value", "kind", "finding")
+
+
+def gis_summary(population: DataFrame, urban: DataFrame, access: DataFrame, environment: DataFrame, community: DataFrame, group_cols=PARK) -> DataFrame:
+    """Headline values of the five reports side by side, one row per area.
+
+    The people within a 15-minute walk and their share of the population are separate columns.
+    """
+    keys = list(group_cols)
+    p = population.select(*keys, "total_population", "aggregate_density", "daily_users")
+    u = urban.select(*keys, "building_coverage_pct", "impervious_pct", "development_intensity", "connectivity", "dominant_land_use")
+    a = access.select(*keys, "accessibility_score", F.col("pop_15min").alias("pop_15min_walk"), F.col("status").alias("access_status"))
+    e = environment.groupBy(*keys).pivot("key", ["greenCoveragePct", "hotspotAreaPct", "overallEnvironmentalScore"]).agg(F.first("value"))
+    c = community.groupBy(*keys).pivot("key", ["schoolsCount", "facilityAccessScore", "overallCommunityScore"]).agg(F.first("value"))
+    j = p.join(u, keys, "left").join(a, keys, "left").join(e, keys, "left").join(c, keys, "left")
+    return j.withColumn("pop_15min_walk_pct", js_round(F.try_divide("pop_15min_walk", "total_population") * 100.0, 1))

@@ -11,6 +11,7 @@ from ..functions.numeric import js_round
 from ..functions.programs import PLANNING_PROGRAMS
 from ..functions.session import written_table
 from ..operators import cells as cl
+from ..operators import exports as xp
 from ..operators import filters as fl
 from ..operators import ranking as rk
 from ..operators import reports as rp
@@ -541,3 +542,20 @@ t AS (SELECT park_id, sum(population) AS p, count(*) AS n FROM cells GROUP BY pa
 def _(spark, sf):
     rates = rv.issue_impact(review_parks(spark, sf), PARK).select("park_id", F.col("issue_category").alias("category"), F.col("mention_share").alias("rate"))
     return cl.review_signal(ad.cells(spark, sf), rates).select("park_id", "h3_id", "category", "review_signal")
+
+
+@query("gis_summary")
+def _(spark, sf):
+    s, env = environment(spark, sf)
+    r, pts = roads_summary(spark, sf), site_points(spark, sf)
+    return rp.gis_summary(rp.population_kpis(s), rp.urban_kpis(s, r), rp.accessibility_kpis(s, pts, r), env, rp.community_kpis(s, pts))
+
+
+@query("community_program_export", f"WITH {ENRICHED}, {PERS}, {HEALTH}, {EVID}, pg AS ({_prog_sql()}), ar AS (SELECT program, CAST(a AS DOUBLE) AS min_area, CAST(b AS DOUBLE) AS target_area, CAST(c AS DOUBLE) AS max_area FROM (VALUES {values_list([(p['key'], *p['area']) for p in PLANNING_PROGRAMS])}) v(program, a, b, c)) SELECT park_id, program, min_area, target_area, max_area, {js('demand_score / 100e0', 2)} AS priority, {js('demand_score / 100e0', 3)} AS community_demand_score FROM pg JOIN ar USING (program)")
+def _(spark, sf):
+    return xp.community_programs(rp.program_demand(evidence(spark, sf), PARK).select("park_id", "program", "demand_score"))
+
+
+@query("review_summary_complaints", f"WITH {ENRICHED}, {COMPLAINTS} SELECT place_id, rank, issue_category, severity, mentions, confidence FROM complaints WHERE rank <= 8")
+def _(spark, sf):
+    return rv.review_summary(written_table(enriched(spark, sf)))["complaints"].select("place_id", "rank", "issue_category", "severity", "mentions", "confidence")
