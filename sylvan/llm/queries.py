@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, oracles, quality
+from . import bpe, decontaminate, oracles, quality, token_store
 from .common import pick, read
 
 QUERIES: dict = {}
@@ -37,3 +38,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_token_shards")
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
+    folder = token_store.new_folder(spark)
+    manifest = token_store.written_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_documents(manifest, folder)
