@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, quality, token_store
+from . import bpe, decontaminate, oracles, quality, simhash, token_store
 from .common import pick, read
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.new_folder(spark)
     manifest = token_store.written_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read_documents(manifest, folder)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(pick(read(spark, sf_dir, "documents"), "doc_id", "text"))
