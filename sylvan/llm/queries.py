@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, quality, simhash, token_store
+from . import bpe, decontaminate, oracles, pii, quality, simhash, token_store
 from .common import pick, read
 
 QUERIES: dict = {}
@@ -57,3 +57,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(pick(read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
+    found = pii.found(docs, pii.fitted(docs))
+    return found.select("doc_id", *[f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")])
