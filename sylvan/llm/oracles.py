@@ -66,3 +66,73 @@ def decontamination() -> str:
     select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
         sha256(array_to_string(coalesce(items, []), ',')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
     from d left join npos on d.doc_id = npos.doc_id left join items on d.doc_id = items.doc_id"""
+
+
+def url_filter() -> str:
+    from . import url_filter as u
+
+    low = f"translate(coalesce(url, ''), '{u.UPPER}', '{u.LOWER}')"
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    longest = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in longest)
+    verdict = " ".join(f"when {fits(h, p)} then '{v}'" for h, p, v in longest)
+    a = len(u.ALPHABET)
+
+    def log_p(k: str) -> str:
+        p0 = f"(c_{k} + 1) / (all_{k} + {a})"
+        p1 = f"(case when b_n_{k} + b_t_{k} > 0 then (bc_{k} + b_t_{k} * {p0}) / (b_n_{k} + b_t_{k}) else {p0} end)"
+        return f"ln(case when ab_n_{k} + ab_t_{k} > 0 then (n_{k} + ab_t_{k} * {p1}) / (ab_n_{k} + ab_t_{k}) else {p1} end)"
+
+    both = lambda text: ", ".join(text.replace("@", k) for k in ("allow", "block"))
+    return rf"""
+    with cut as (select page_id, coalesce(url, '') as url, case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
+    part as (select page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from cut),
+    rows_ as (select page_id, host, path, case {rule} end as rule, case {verdict} end as verdict, md5(url)[1] in ('0', '1', '2') as held,
+        '^^' || regexp_replace(regexp_replace({low}, '[0-9]', '0', 'g'), '[^a-z0/._\-?=&#%:]', '~', 'g') || '$' as s from part),
+    spread as (select page_id, case when not held then verdict end as v, s[i:i + 2] as gram from (select *, unnest(range(1, length(s) - 1)) as i from rows_)),
+    g as (select gram, gram[1:2] as ab, gram[2:3] as bc, gram[2] as b, gram[3] as c, count(*) filter (v = 'allow') as n_allow, count(*) filter (v = 'block') as n_block from spread group by gram),
+    bc as (select bc, b, c, {both("sum(n_@) as bc_@")} from g group by all),
+    ab as (select ab, {both("sum(n_@) as ab_n_@, count(*) filter (n_@ > 0) as ab_t_@")} from g group by ab),
+    b as (select b, {both("sum(bc_@) as b_n_@, count(*) filter (bc_@ > 0) as b_t_@")} from bc group by b),
+    c as (select c, {both("sum(bc_@) as c_@")} from bc group by c),
+    everything as (select {both("sum(n_@) as all_@")} from g),
+    model as (select gram, {log_p("allow")} - {log_p("block")} as ratio from g join bc using (bc) join ab using (ab) join b on g.b = b.b join c on g.c = c.c, everything),
+    scores as (select page_id, round(avg(ratio), 6) as score from spread join model using (gram) group by page_id),
+    held as (select verdict, score from rows_ join scores using (page_id) where held and verdict is not null),
+    cuts as (select round(0.05 * unnest(range(-20, 21)), 2)::double as x),
+    errors as (select x, round(count(*) filter (verdict = 'allow' and score < x) / count(*) filter (verdict = 'allow') + count(*) filter (verdict = 'block' and score >= x) / count(*) filter (verdict = 'block'), 12) as e from cuts, held group by x),
+    best as (select case when (select count(distinct verdict) from held) = 2 then first(x order by e, abs(x), x) end as x from errors)
+    select page_id, host, path, rule, coalesce(verdict, case when best.x is null or score >= best.x then 'allow' else 'block' end) as verdict from rows_ join scores using (page_id), best"""
+
+
+def licenses() -> str:
+    from . import licenses as m
+
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    low = lambda s: f"translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    norm = lambda s: f"regexp_replace(regexp_replace({low(s)}, {text(m.DROPPED)}, ' ', 'g'), {text(m.EDGES)}, '', 'g')"
+    values = lambda d: ", ".join(f"({text(k)}, {text(v)})" for k, v in d.items())
+    # a sentence's identifier by joins with the tables of names and sentences
+    known = lambda source, key: f"""select s.*, case when regexp_matches(n, {text(m.COPYRIGHT)}) then 'copyright' when regexp_matches(n, {text(m.SPDX)}) then 'spdx:' || a.id
+        when regexp_matches(n, {text(m.GRANT)}) then 'grant:' || b.id else c.id end as id from (select *, {norm(key)} as n from {source}) s
+        left join names a on a.name = regexp_extract(n, {text(m.SPDX)}, 1) left join names b on b.name = regexp_extract(n, {text(m.GRANT)}, 1) left join known c on c.name = n"""
+    rest, got = "' ' || ids || ' '", "[]::varchar[]"
+    steps, last = [], "seq0"
+    for i, (name, seq) in enumerate(m.RULES, 1):
+        pattern, left = text(m.rule_pattern(seq)), text(m.rule_left(seq).replace("$", "\\"))
+        steps.append(f"seq{i} as (select doc_id, case when regexp_matches(rest, {pattern}) then regexp_replace(rest, {pattern}, {left}, 'g') else rest end as rest, case when regexp_matches(rest, {pattern}) then list_append(got, '{name}') else got end as got from {last})")
+        last = f"seq{i}"
+    return rf"""
+    with names(name, id) as (values {values(m.NAMES)}), known(name, id) as (values {values(m.SENTENCES)}),
+    chunk as (select doc_id, unnest(c) as c, generate_subscripts(c, 1) as i from (select doc_id, string_split_regex(regexp_replace(coalesce(text, ''), {text(m.END_MARK)}, '\1\2' || chr(10) || chr(10), 'g'), {text(m.BLANK)}) as c from documents)),
+    whole as ({known("chunk", "c")}),
+    line as (select doc_id, i, unnest(l) as l, generate_subscripts(l, 1) as j from (select doc_id, i, string_split(c, chr(10)) as l from whole where id is null and regexp_matches(lower(c), 'under|{m.CUE}'))),
+    lines as ({known("line", "l")}),
+    ids as (select doc_id, i, 0 as j, id from whole where id is not null union all select doc_id, i, j, id from lines where id is not null),
+    per as (select doc_id, string_agg(id, ' ' order by i, j) as ids from ids group by doc_id),
+    like_ as (select doc_id, count(*) as n from chunk where regexp_matches(c, '(?i){m.CUE}') group by doc_id),
+    seq0 as (select doc_id, {rest} as rest, {got} as got from per),
+    {", ".join(steps)},
+    found as (select doc_id, list_sort(list_distinct(list_concat(got, list_transform(list_filter(string_split(rest, ' '), lambda x: regexp_matches(x, '^(?:grant|spdx):')), lambda x: regexp_replace(x, '^[a-z]+:', ''))))) as l from {last})
+    select d.doc_id, coalesce(like_.n, 0)::bigint as n_license_like, coalesce(replace(per.ids, ' ', ','), '') as sentence_ids, coalesce(array_to_string(l, ','), '') as licenses
+    from documents d left join per on d.doc_id = per.doc_id left join like_ on d.doc_id = like_.doc_id left join found on d.doc_id = found.doc_id"""

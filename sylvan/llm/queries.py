@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, pii, quality, simhash, token_store
+from . import bpe, decontaminate, html_text, licenses, oracles, pii, quality, simhash, token_counts, token_store, url_filter
 from .common import pick, read
 
 QUERIES: dict = {}
@@ -64,3 +64,24 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
     found = pii.found(docs, pii.fitted(docs))
     return found.select("doc_id", *[f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")])
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(pick(read(spark, sf_dir, "pages"), "page_id", "url", "html"))
+
+
+@query("op9_url_filter", oracles.url_filter())
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(pick(read(spark, sf_dir, "pages"), "page_id", "url")).drop("url_score")
+
+
+@query("op10_license_scan", oracles.licenses())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(pick(read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_counts.counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
