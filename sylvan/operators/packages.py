@@ -91,7 +91,7 @@ def normalise_entity(c):
 
 def map_entities(spark) -> DataFrame:
     """Name -> candidate programs with the best method (type, then name, then approved alias); a fixed table."""
-    rows = [(p["type"], p["type"], 1, "exact_type") for p in pg.PROGRAMS] + [(p["name"], p["type"], 2, "exact_name") for p in pg.PROGRAMS] + [(a, p, 3, "approved_alias") for a, p in on.ALIAS_ROWS]
+    rows = [(p["type"], p["type"], 1, "exact_type") for p in pg.PROGRAMS] + [(p["name"], p["type"], 2, "exact_name") for p in pg.PROGRAMS] + [(a, p, 3, "approved_alias") for a, ps in on.ALIASES.items() for p in ps]
     t = spark.createDataFrame(rows, "entity string, program string, rank int, method string").withColumn("entity", normalise_entity(F.col("entity")))
     best = t.groupBy("entity").agg(F.min("rank").alias("rank"))
     g = t.join(best, ["entity", "rank"]).groupBy("entity").agg(F.sort_array(F.collect_set("program")).alias("candidates"), F.min("method").alias("method"))

@@ -145,7 +145,7 @@ def ne(c):
     return f"trim(regexp_replace(replace(lower(regexp_replace({c}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
 
-_ent = values_list([(p["type"], p["type"], 1, "exact_type") for p in pg.PROGRAMS] + [(p["name"], p["type"], 2, "exact_name") for p in pg.PROGRAMS] + [(a, p, 3, "approved_alias") for a, p in on.ALIAS_ROWS])
+_ent = values_list([(p["type"], p["type"], 1, "exact_type") for p in pg.PROGRAMS] + [(p["name"], p["type"], 2, "exact_name") for p in pg.PROGRAMS] + [(a, p, 3, "approved_alias") for a, ps in on.ALIASES.items() for p in ps])
 
 
 @query("compiled_rules", f"""WITH {RULE}, et AS (SELECT {ne('e')} AS e, p, r, m FROM (VALUES {_ent}) v(e, p, r, m)), em AS (SELECT e, list_sort(list(DISTINCT p)) AS c, min(m) AS m FROM et t WHERE r = (SELECT min(r) FROM et x WHERE x.e = t.e) GROUP BY e),
