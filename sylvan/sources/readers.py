@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct as _struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +50,7 @@ COORD_TYPES = {"Point": "array<double>", "MultiPoint": "array<array<double>>", "
 
 
 def read_geojson(spark: SparkSession, paths) -> DataFrame:
-    """Features of FeatureCollection or bare Feature files; other root types give no rows.
+    """Features of FeatureCollection or bare Feature files; :func:`rejected_geojson` lists the other files.
 
     Coordinates are parsed by geometry type into ``points`` (all vertices) and ``ring`` (first ring or line).
     """
@@ -61,6 +61,13 @@ def read_geojson(spark: SparkSession, paths) -> DataFrame:
     return typed_geometry(ex)
 
 
+def rejected_geojson(spark: SparkSession, paths) -> DataFrame:
+    """file, reason: files without features, because they are no JSON object or have another root type."""
+    root = F.get_json_object("value", "$.type")
+    d = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("file"), root.alias("root"))
+    return d.filter(F.col("root").isNull() | ~F.col("root").isin("FeatureCollection", "Feature")).select("file", F.coalesce(F.concat(F.lit("root type "), "root"), F.lit("no JSON object with a type")).alias("reason"))
+
+
 def typed_geometry(df: DataFrame, column: str = "geometry") -> DataFrame:
     """Add geom_type and points (array<struct<lng,lat>>) from a GeoJSON geometry string."""
     t = F.get_json_object(column, "$.type")
@@ -83,71 +90,98 @@ def project_layer(df: DataFrame, prop_map: dict, props: str = "properties") -> D
     return df.filter(F.col("geometry").isNotNull()).withColumn(props, F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
 
 
-def _wkb(buf: bytes, at: int):
-    """(kind, rounded coordinates, next offset) of one WKB geometry; Z and M values are skipped."""
-    order = "<" if buf[at] == 1 else ">"
-    code, at = _struct.unpack_from(order + "I", buf, at + 1)[0], at + 5
-    width = 16 + (8 if 1000 <= code < 3000 else 16 if code >= 3000 else 0)
-    kind = code % 1000
-
-    def vertices(n, pos):
-        out = []
-        for k in range(n):
-            x, y = _struct.unpack_from(order + "dd", buf, pos + k * width)
-            out.append([round(x, 6), round(y, 6)])
-        return out, pos + n * width
-
-    def number(pos):
-        return _struct.unpack_from(order + "I", buf, pos)[0], pos + 4
-
-    if kind == 1:
-        v, at = vertices(1, at)
-        return "Point", v[0], at
-    if kind == 2:
-        n, at = number(at)
-        v, at = vertices(n, at)
-        return "LineString", v, at
-    if kind == 3:
-        n, at = number(at)
-        rings = []
-        for _ in range(n):
-            m, at = number(at)
-            ring, at = vertices(m, at)
-            rings.append(ring)
-        return "Polygon", rings, at
-    names = {4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
-    if kind not in names:
-        raise ValueError(f"geometry code {code} is not supported")
-    n, at = number(at)
-    parts = []
-    for _ in range(n):
-        _, part, at = _wkb(buf, at)
-        parts.append(part)
-    return names[kind], parts, at
-
-
-ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}  # fixed values: header bytes by envelope code
+# Fixed values of the public formats: names by type code, envelope doubles by envelope code.
+WKB_NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
+ENVELOPE_DOUBLES = {0: 0, 1: 4, 2: 6, 3: 6, 4: 8}
+
+
+class _Blob:
+    """A cursor over a binary geometry; runs of vertices are read as arrays."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, at
+
+    def numbers(self, kind: str, n: int) -> np.ndarray:
+        out = np.frombuffer(self.data, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def header(self) -> tuple[str, int, int]:
+        """Byte order, type code without dimensions, and numbers per vertex (ISO codes and the extended flag bits)."""
+        order = ">" if self.numbers("u1", 1)[0] == 0 else "<"
+        code = int(self.numbers(order + "u4", 1)[0])
+        flags, plain = code >> 29, code & 0x1FFFFFFF
+        if flags & 1:  # a reference system id follows
+            self.numbers(order + "u4", 1)
+        iso = plain // 1000
+        return order, plain % 1000, 2 + max(bool(flags & 4) + bool(flags & 2), (0, 1, 1, 2)[iso] if iso < 4 else 99)
+
+    def run(self, order: str, n: int, width: int) -> list:
+        return np.round(self.numbers(order + "f8", n * width).reshape(n, width)[:, :2], 6).tolist()
+
+    def count(self, order: str) -> int:
+        return int(self.numbers(order + "u4", 1)[0])
+
+
+def decode_geometry(data: bytes) -> tuple[str, list | None]:
+    """Type name and coordinates (rounded to 6 decimals) of a GeoPackage, ISO or extended WKB blob; ValueError on bad input.
+
+    Containers wait on a stack for their parts, so nesting costs no recursion.
+    """
+    start = 0
+    if data[:2] == b"GP":
+        if data[3] & 0x10:
+            return "Empty", None
+        start = 8 + 8 * ENVELOPE_DOUBLES[data[3] >> 1 & 7]
+    blob, waiting = _Blob(data, start), []
+    while True:
+        order, kind, width = blob.header()
+        name = WKB_NAMES[kind]
+        if kind >= 4:
+            waiting.append((name, blob.count(order), []))
+            done = None
+        elif kind == 1:
+            done = blob.run(order, 1, width)[0]
+            done = None if done[0] != done[0] else done  # an empty point is not a number
+        elif kind == 2:
+            done = blob.run(order, blob.count(order), width)
+        else:
+            done = [blob.run(order, blob.count(order), width) for _ in range(blob.count(order))]
+        if kind < 4 and not waiting:
+            return name, done
+        if kind < 4:
+            waiting[-1][2].append({"type": name, "coordinates": done} if waiting[-1][0] == "GeometryCollection" else done)
+        while waiting and len(waiting[-1][2]) == waiting[-1][1]:
+            name, _, parts = waiting.pop()
+            if not waiting:
+                return name, parts
+            waiting[-1][2].append({"type": name, "coordinates": parts} if waiting[-1][0] == "GeometryCollection" else parts)
 
 
 def geometry_from_wkb(df: DataFrame, column: str = "geom") -> DataFrame:
-    """Decode a column of GeoPackage geometry blobs: adds geom_type and coordinates (JSON text), null for empty ones.
+    """Decode a column of geometry blobs: adds geom_type, coordinates (JSON text) and geom_error.
 
-    Arrow batches are decoded in parallel on the executors; only the blob column is sent to Python.
+    Null and empty geometries give nulls; a blob that cannot be read gives nulls and the reason, and
+    the job goes on.  Arrow batches are decoded in parallel on the executors.
     """
-    @F.pandas_udf("struct<geom_type:string,coordinates:string>")
+    @F.pandas_udf("struct<geom_type:string,coordinates:string,geom_error:string>")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import json
 
         def one(b):
-            if b is None or bytes(b[0:2]) != b"GP" or (b[3] >> 4) & 1:
-                return None, None
-            kind, coords, _ = _wkb(b, 8 + ENVELOPE.get((b[3] >> 1) & 7, 0))
-            return kind, json.dumps(coords)
+            if b is None:
+                return None, None, None
+            try:
+                kind, coords = decode_geometry(bytes(b))
+            except (ValueError, KeyError, IndexError) as e:
+                return None, None, f"unreadable geometry: {e}"
+            return (None, None, None) if coords is None else (kind, json.dumps(coords), None)
 
         for s in batches:
-            yield pd.DataFrame([one(b) for b in s], columns=["geom_type", "coordinates"])
+            yield pd.DataFrame([one(b) for b in s], columns=["geom_type", "coordinates", "geom_error"])
 
-    return df.withColumn("_g", decode(column)).withColumns({"geom_type": F.col("_g.geom_type"), "coordinates": F.col("_g.coordinates")}).drop("_g")
+    names = ("geom_type", "coordinates", "geom_error")
+    return df.withColumn("_g", decode(column)).withColumns({n: F.col(f"_g.{n}") for n in names}).drop("_g")
 
 
 # Positions of the weather columns.

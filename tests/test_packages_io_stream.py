@@ -107,9 +107,28 @@ def test_geometry_blobs(spark):
     multi = struct.pack("<BII", 1, 5, 1) + line
     d = spark.createDataFrame([(1, bytearray(blob(pt))), (2, bytearray(blob(ptz))), (3, bytearray(blob(multi))), (4, bytearray(blob(pt, 0x10))), (5, None), (6, bytearray(b"XX000000"))], "i int, geom binary")
     got = {r.i: (r.geom_type, r.coordinates) for r in readers.geometry_from_wkb(d).collect()}
+    errors = {r.i for r in readers.geometry_from_wkb(d).collect() if r.geom_error}
+    assert errors == {6}
     assert got == {1: ("Point", "[1.234568, 2.0]"), 2: ("Point", "[3.0, 4.0]"), 3: ("MultiLineString", "[[[0.0, 0.0], [1.0, 1.0]]]"), 4: (None, None), 5: (None, None), 6: (None, None)}
 
 
+def test_geometry_variants():
+    ring = struct.pack("<II", 1, 3) + struct.pack("<6d", 0, 0, 1, 0, 1, 1)
+    poly = struct.pack("<BI", 1, 3) + ring
+    assert readers.decode_geometry(poly) == ("Polygon", [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]])
+    assert readers.decode_geometry(struct.pack("<BII", 1, 6, 2) + poly + poly)[1] == [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]]] * 2
+    ewkb = struct.pack("<BII", 1, 0xA0000001, 4326) + struct.pack("<3d", 5, 6, 7)
+    assert readers.decode_geometry(ewkb) == ("Point", [5.0, 6.0])
+    both = struct.pack("<BII", 1, 7, 2) + ewkb + struct.pack("<BII", 1, 4, 0)
+    assert readers.decode_geometry(both) == ("GeometryCollection", [{"type": "Point", "coordinates": [5.0, 6.0]}, {"type": "MultiPoint", "coordinates": []}])
+    for bad in (b"", b"\x01", poly[:-3], struct.pack("<BI", 1, 99)):
+        try:
+            readers.decode_geometry(bad)
+            raise AssertionError(bad)
+        except (ValueError, KeyError, IndexError):
+            pass
+
+
 def test_weather_and_register(spark, scratch):
     row = ["1999", "7", "2", "15", "0", "x", "41.5"] + ["0"] * 28
     with open(os.path.join(scratch, "st.epw"), "w") as f:
