@@ -124,19 +124,28 @@ def spatial_conflicts(scored: DataFrame, group_cols=PARK) -> DataFrame:
 
 
 def opportunity_evidence(summary: DataFrame, impact: DataFrame, group_cols=PARK) -> DataFrame:
-    """Evidence lines, triggered constraints and users per program."""
+    """What each program's scores rest on, one row per item: position, code, score, n, total, topic, note.
+
+    Codes: demand (score over n cells), reviews (n mentions of the topic, score = negative percent),
+    no_mentions, no_topic, note (the program's published remark on its topic), suitability,
+    feasibility (n of total cells eligible), constraint (one per triggered reason, in ``note``).
+    """
     keys = list(group_cols)
-    i = impact.select(*keys, F.col("issue_category").alias("topic"), js_round(F.col("negative_share") * 100.0).cast("int").alias("_neg"))
+    i = impact.select(*keys, F.col("issue_category").alias("topic"), js_round(F.col("negative_share") * 100.0).alias("_neg"))
     j = summary.join(i, [*keys, "topic"], "left")
-    fi = lambda c: F.col(c).cast("int")
-    topic_line = (F.when(F.col("topic").isNull(), F.lit("No review category applies to this program type -- demand is population/site-signal driven only."))
-                  .when(F.col("mentions") > 0, F.format_string('%d review mention(s) of "%s" (%d%% negative sentiment), spread over cells by population.', F.col("mentions"), F.col("topic"), F.coalesce("_neg", F.lit(0))))
-                  .otherwise(F.format_string('No review mentions found for "%s" in this run -- demand here is population-driven only.', F.col("topic"))))
-    lines = F.array(F.format_string("Population-weighted demand score: %d/100 across %d cells.", fi("demand"), fi("cells")), topic_line,
-                    F.format_string("Site suitability score: %d/100.", fi("suitability")),
-                    F.format_string("%d of %d cells pass hard constraints; feasibility score: %d/100 among eligible cells.", fi("eligible"), fi("cells"), fi("feasibility")))
-    none = F.array(F.lit("No hard constraints triggered for this opportunity in this run."))
-    return j.select(*keys, "program", lines.alias("evidence"), F.when(F.size("avoid_reasons") > 0, F.col("avoid_reasons")).otherwise(none).alias("avoid_conditions"), "users", "preferred")
+    kind = "struct<position:int,code:string,score:double,n:bigint,total:bigint,topic:string,note:string>"
+
+    def item(position, code, score=None, n=None, total=None, topic=None, note=None):
+        return F.struct(*[x if x is not None else F.lit(None) for x in (F.lit(position), code, score, n, total, topic, note)]).cast(kind)
+
+    topic, seen = F.col("topic"), F.col("mentions") > 0
+    review = (F.when(topic.isNull(), item(2, F.lit("no_topic"))).when(seen, item(2, F.lit("reviews"), F.coalesce("_neg", F.lit(0.0)), F.col("mentions"), topic=topic))
+              .otherwise(item(2, F.lit("no_mentions"), topic=topic)))
+    remark = F.try_element_at(F.create_map(*[F.lit(x) for kv in pg.TOPIC_NOTES.items() for x in kv]), F.col("program"))
+    items = F.array(item(1, F.lit("demand"), F.col("demand"), F.col("cells")), review, F.when(remark.isNotNull(), item(3, F.lit("note"), topic=topic, note=remark)),
+                    item(4, F.lit("suitability"), F.col("suitability")), item(5, F.lit("feasibility"), F.col("feasibility"), F.col("eligible"), F.col("cells")))
+    constraints = F.transform("avoid_reasons", lambda r, k: item(6, F.lit("constraint"), note=r).withField("position", (k + 6).cast("int")))
+    return j.select(*keys, "program", F.inline(F.filter(F.concat(items, constraints), lambda x: x.isNotNull())))
 
 
 def all_opportunities(summary: DataFrame, group_cols=PARK) -> DataFrame:

@@ -119,15 +119,21 @@ def _(spark, sf):
     return op.spatial_conflicts(programs(spark, sf)[0]).select("park_id", "h3_id", "program", "in_core", "suitability", "opportunity")
 
 
-@query("opportunity_evidence", f"""WITH {OPP}, {SUMM}, e AS (SELECT s.*, {js('negative_share * 100e0')} AS neg FROM summ s LEFT JOIN impact i ON CAST(substr(i.place_id, 4) AS BIGINT) = s.park_id AND i.issue_category = s.topic)
-SELECT park_id, program, concat_ws('|', printf('Population-weighted demand score: %d/100 across %d cells.', CAST(demand AS BIGINT), cells),
- CASE WHEN topic IS NULL THEN 'No review category applies to this program type -- demand is population/site-signal driven only.' WHEN mentions > 0 THEN printf('%d review mention(s) of "%s" (%d%% negative sentiment), spread over cells by population.', mentions, topic, CAST(coalesce(neg, 0) AS BIGINT)) ELSE printf('No review mentions found for "%s" in this run -- demand here is population-driven only.', topic) END,
- printf('Site suitability score: %d/100.', CAST(suitability AS BIGINT)), printf('%d of %d cells pass hard constraints; feasibility score: %d/100 among eligible cells.', eligible, cells, CAST(feasibility AS BIGINT))) AS evidence,
- CASE WHEN avoid_reasons = '' THEN 'No hard constraints triggered for this opportunity in this run.' ELSE avoid_reasons END AS avoid_conditions FROM e""")
+_none = "CAST(NULL AS DOUBLE)"
+
+
+@query("opportunity_evidence", f"""WITH {OPP}, {SUMM}, notes(program, note) AS (VALUES {values_list(list(pg.TOPIC_NOTES.items()))}),
+e AS (SELECT s.*, {js('negative_share * 100e0')} AS neg, notes.note FROM summ s LEFT JOIN impact i ON CAST(substr(i.place_id, 4) AS BIGINT) = s.park_id AND i.issue_category = s.topic LEFT JOIN notes ON notes.program = s.program),
+c AS (SELECT park_id, program, unnest(string_split(avoid_reasons, '|')) AS note, generate_subscripts(string_split(avoid_reasons, '|'), 1) AS k FROM e WHERE avoid_reasons <> '')
+SELECT park_id, program, 1 AS position, 'demand' AS code, demand AS score, cells AS n, CAST(NULL AS BIGINT) AS total, CAST(NULL AS VARCHAR) AS topic, CAST(NULL AS VARCHAR) AS note FROM e
+UNION ALL SELECT park_id, program, 2, CASE WHEN topic IS NULL THEN 'no_topic' WHEN mentions > 0 THEN 'reviews' ELSE 'no_mentions' END, CASE WHEN mentions > 0 THEN coalesce(neg, 0e0) END, CASE WHEN mentions > 0 THEN mentions END, NULL, topic, NULL FROM e
+UNION ALL SELECT park_id, program, 3, 'note', {_none}, NULL, NULL, topic, note FROM e WHERE note IS NOT NULL
+UNION ALL SELECT park_id, program, 4, 'suitability', suitability, NULL, NULL, NULL, NULL FROM e
+UNION ALL SELECT park_id, program, 5, 'feasibility', feasibility, eligible, cells, NULL, NULL FROM e
+UNION ALL SELECT park_id, program, 5 + k, 'constraint', {_none}, NULL, NULL, NULL, note FROM c""")
 def _(spark, sf):
     s, i = summary(spark, sf)
-    e = op.opportunity_evidence(s, i)
-    return e.select("park_id", "program", F.array_join("evidence", "|").alias("evidence"), F.array_join("avoid_conditions", "|").alias("avoid_conditions"))
+    return op.opportunity_evidence(s, i)
 
 
 @query("movement_cells")
