@@ -205,19 +205,29 @@ def traversal_counts(steps: DataFrame, group_cols=("package_id",), space: str =
     return c.join(top, keys).select(*keys, space, "n", F.greatest(F.lit(1.0), F.least(F.lit(10.0), js_round(F.col("n") / F.greatest(F.lit(1), F.col("_m")) * 10.0))).alias("priority"))
 
 
+def _legs(steps: DataFrame, keys, journey: str, position: str, space: str) -> DataFrame:
+    """Consecutive steps of a journey whose origin differs from the destination."""
+    w = W.partitionBy(*keys, journey).orderBy(position)
+    return steps.withColumns({"origin": F.col(space), "destination": F.lead(space).over(w)}).filter(F.col("destination").isNotNull() & (F.col("origin") != F.col("destination")))
+
+
 def od_demand(steps: DataFrame, group_cols=("package_id",), journey: str = "journey_id", position: str = "position", space: str = "space", persona: str = "persona_id") -> DataFrame:
-    """Origin-destination demand from consecutive journey steps (origin differs from destination).
+    """Origin-destination demand from consecutive journey steps: weight, number of journeys, personas.
 
-    Distinct journeys and personas are reduced pairwise before they are collected, so a busy
-    relation is not gathered row by row; the id lists are an output of the operator.
+    Journeys and personas are reduced pairwise before they are counted; the journeys themselves are
+    rows of :func:`od_journeys`, since a busy relation has very many.
     """
     keys = list(group_cols)
-    w = W.partitionBy(*keys, journey).orderBy(position)
-    legs = steps.withColumns({"origin": F.col(space), "destination": F.lead(space).over(w)}).filter(F.col("destination").isNotNull() & (F.col("origin") != F.col("destination")))
-    per = legs.groupBy(*keys, "origin", "destination", journey).agg(F.sum("weight").alias("_w"), F.min(persona).alias(persona))
+    per = _legs(steps, keys, journey, position, space).groupBy(*keys, "origin", "destination", journey).agg(F.sum("weight").alias("_w"), F.min(persona).alias(persona))
     return per.groupBy(*keys, "origin", "destination").agg(js_round(F.sum("_w"), 6).alias("weight"), F.count(F.lit(1)).alias("journeys"), F.sort_array(F.collect_set(persona)).alias("personas"))
 
 
+def od_journeys(steps: DataFrame, group_cols=("package_id",), journey: str = "journey_id", position: str = "position", space: str = "space") -> DataFrame:
+    """The journeys behind each origin-destination relation, one row per relation and journey."""
+    keys = list(group_cols)
+    return _legs(steps, keys, journey, position, space).select(*keys, "origin", "destination", journey).distinct()
+
+
 # Column order of the experience flow.
 FLOW_TIERS = ["age", "archetype", "activity", "experience", "space", "score", "cost"]
 

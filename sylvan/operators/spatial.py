@@ -71,50 +71,84 @@ def length_per_cell(lines: DataFrame, polygons: DataFrame, group_cols=PARK, **kw
                     F.coalesce(F.try_divide("_sum", "hex_area_km2"), F.lit(0.0)).alias("real_road_density_m_per_km2"))
 
 
-def count_within_radius(queries: DataFrame, points: DataFrame, radius_m: float, query_id: str = "h3_id", group_cols=PARK, out: str = "n", max_lat: float = 85.0) -> DataFrame:
-    """Points within ``radius_m`` of each query.  Points at one place are counted once with a
-    weight, so copies do not multiply the join."""
+def _around(points: DataFrame, lng: str) -> DataFrame:
+    """The points, and copies of those beyond 90 degrees shifted by a full turn, so that both sides of the date line meet."""
+    x = F.col(lng)
+    return points.withColumn(lng, F.explode(F.array_compact(F.array(x, F.when(x > 90, x - 360.0).when(x < -90, x + 360.0)))))
+
+
+def count_within_radius(queries: DataFrame, points: DataFrame, radius_m: float, query_id: str = "h3_id", group_cols=PARK, out: str = "n") -> DataFrame:
+    """Points within ``radius_m`` of each query, anywhere on the globe.
+
+    Tiles are bands of latitude cut into widths that suit the band.  Points at one place are counted
+    once with a weight, so copies do not multiply the join.
+    """
     keys = list(group_cols)
-    size = math.degrees(radius_m / R_EARTH) * 1.0001
-    size_x = size / max(0.01, math.cos(math.radians(max_lat)))
+    angle = radius_m / R_EARTH * 1.0001
+    size = math.degrees(angle)
+
+    def width(band):
+        # degrees of longitude that the radius spans, seen from the band or one next to it
+        edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(size)
+        s = F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(F.radians(F.least(edge, F.lit(89.999999))))
+        return F.when((edge >= 89.9) | (s >= 1), F.lit(720.0)).otherwise(F.degrees(F.asin(F.least(s, F.lit(1.0)))) * 1.0001)
+
+    def column(x, band):
+        return F.floor(F.col(x) / width(band)).cast("int")
+
     spots = points.groupBy(*keys, F.col("lng").alias("_x"), F.col("lat").alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
-    spots = spots.withColumns({"_tx": geo.tile("_x", size_x), "_ty": geo.tile("_y", size)})
-    near = F.array(*[F.struct((geo.tile("lng", size_x) + dx).alias("_tx"), (geo.tile("lat", size) + dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    q = queries.select(*keys, query_id, "lng", "lat", F.inline(near))
+    spots = _around(spots, "_x").withColumn("_ty", geo.tile("_y", size)).withColumn("_tx", column("_x", F.col("_ty")))
+    q = queries.select(*keys, query_id, "lng", "lat", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias("_d")).withColumn("_ty", geo.tile("lat", size) + F.col("_d"))
+    q = q.withColumn("_tx", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: column("lng", F.col("_ty")) + d))).drop("_d")
     hit = q.join(spots, [*keys, "_tx", "_ty"]).filter(geo.haversine_m("lng", "lat", "_x", "_y") <= radius_m)
     c = hit.groupBy(*keys, query_id).agg(F.sum("_w").alias(out))
     return queries.select(*keys, query_id).join(c, [*keys, query_id], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
 def nearest(queries: DataFrame, targets: DataFrame, query_id: str, payload: str, order: str, distance, margin, tile: float,
-            qx: str, qy: str, group_cols=PARK, limit: float = 1e6, growth: int = 4) -> DataFrame:
+            qx: str, qy: str, group_cols=PARK, growth: int = 4) -> DataFrame:
     """Exact nearest target per query: (query_id, distance, payload); null when the area has none.
 
     ``targets`` carry their extent as _x0,_y0,_x1,_y1 and are copied to the tiles they touch.
     A query looks at the 3 x 3 tiles around it; its best distance is final when it does not
     exceed ``margin(size)``, the distance to the outside of that block.  Only the queries
-    left over are repeated on tiles ``growth`` times as wide.
+    left over are repeated on tiles ``growth`` times as wide; tiles as wide as the largest area
+    put all its targets into the block of every query, so the last round settles the rest.
     """
     keys = list(group_cols)
-    rest, size, done = queries.withColumn("_q0", F.lit(True)), tile, None
+    areas = targets.select(*keys).distinct()
+    queries = queries.select(*keys, query_id, qx, qy)
+    ends = queries.select(*keys, F.col(qx).alias("_x0"), F.col(qy).alias("_y0"), F.col(qx).alias("_x1"), F.col(qy).alias("_y1")).unionByName(targets.select(*keys, "_x0", "_y0", "_x1", "_y1"))
+    reach = F.greatest(F.max("_x1") - F.min("_x0"), F.max("_y1") - F.min("_y0"))
+    widest = (ends.groupBy(*keys).agg(reach.alias("r")).join(areas, keys, "left_semi") if keys else ends.agg(reach.alias("r"))).agg(F.max("r")).first()[0] or 0.0
+    if keys:
+        rest = queries.join(areas, keys, "left_semi")
+        none = queries.join(areas, keys, "left_anti")
+    else:
+        rest, none = queries, queries.filter(F.lit(targets.isEmpty()))
+        rest = rest.subtract(none)
+    payload_type = targets.schema[payload].dataType
+    done = none.select(*keys, query_id, F.lit(None).cast("double").alias("distance"), F.lit(None).cast(payload_type).alias(payload))
+    size = tile
     while True:
+        last = size > widest
         t = _cover(targets, size, "_x0", "_y0", "_x1", "_y1")
         near = F.array(*[F.struct((geo.tile(qx, size) + dx).alias("_tx"), (geo.tile(qy, size) + dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
         cand = rest.select(*keys, query_id, qx, qy, F.inline(near)).join(t, [*keys, "_tx", "_ty"])
         best = cand.groupBy(*keys, query_id).agg(F.min(F.struct(distance.alias("d"), F.col(order).alias("o"), F.col(payload).alias("p"))).alias("_b"))
-        step = rest.select(*keys, query_id, qx, qy).join(best, [*keys, query_id], "left")
-        final = F.coalesce(F.col("_b.d") <= margin(size), F.lit(False)) if size < limit else F.lit(True)
+        step = rest.join(best, [*keys, query_id], "left")
+        final = F.lit(True) if last else F.coalesce(F.col("_b.d") <= margin(size), F.lit(False))
         step = cut_lineage(step.withColumn("_final", final))
-        part = step.filter("_final").select(*keys, query_id, F.col("_b.d").alias("distance"), F.col("_b.p").alias(payload))
-        done = part if done is None else done.unionByName(part)
+        done = done.unionByName(step.filter("_final").select(*keys, query_id, F.col("_b.d").alias("distance"), F.col("_b.p").alias(payload)))
         rest = step.filter("NOT _final").select(*keys, query_id, qx, qy)
-        if size >= limit or rest.isEmpty():
+        if last or rest.isEmpty():
             return done
-        size *= growth
+        size = min(size * growth, max(widest * 1.000001, size * 1.000001))
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, query_id: str = "h3_id", payload: str = "feature_id", tile: float = 0.005, group_cols=PARK) -> DataFrame:
     """Nearest point by great-circle distance (metres)."""
+    points = _around(points, "lng")
     t = points.select(*group_cols, F.col("lng").alias("_px"), F.col("lat").alias("_py"), F.col("lng").alias("_x0"), F.col("lat").alias("_y0"),
                       F.col("lng").alias("_x1"), F.col("lat").alias("_y1"), payload)
 
@@ -126,7 +160,7 @@ def nearest_point(queries: DataFrame, points: DataFrame, query_id: str = "h3_id"
         mer = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(east, F.lit(90.0))))) * R_EARTH
         return F.least(mer, F.radians(north) * R_EARTH) * 0.999999
 
-    return nearest(queries, t, query_id, payload, payload, geo.haversine_m("lng", "lat", "_px", "_py"), margin, tile, "lng", "lat", group_cols, limit=60.0)
+    return nearest(queries, t, query_id, payload, payload, geo.haversine_m("lng", "lat", "_px", "_py"), margin, tile, "lng", "lat", group_cols)
 
 
 def nearest_segment(queries: DataFrame, segments: DataFrame, query_id: str, payload: str, tile: float = 500.0, group_cols=PARK) -> DataFrame:
@@ -138,7 +172,7 @@ def nearest_segment(queries: DataFrame, segments: DataFrame, query_id: str, payl
         fx, fy = F.pmod(F.col("x"), F.lit(size)), F.pmod(F.col("y"), F.lit(size))
         return F.least(fx, F.lit(size) - fx, fy, F.lit(size) - fy) + F.lit(size)
 
-    return nearest(queries, t, query_id, payload, payload, geo.segment_distance("x", "y", "ax", "ay", "bx", "by"), margin, tile, "x", "y", group_cols, limit=5e7)
+    return nearest(queries, t, query_id, payload, payload, geo.segment_distance("x", "y", "ax", "ay", "bx", "by"), margin, tile, "x", "y", group_cols)
 
 
 def lines_to_segments(lines: DataFrame, keep=()) -> DataFrame:
@@ -311,15 +345,17 @@ def layer_extent(features: DataFrame, layer: str = "layer", group_cols=()) -> Da
                                                     F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"))
 
 
-def bbox_filter(features: DataFrame, bbox, limit: int = 4000, seq: str = "feature_id") -> DataFrame:
-    """Features whose box meets the query box: the first ``limit`` rows plus the matched count and a truncated flag.
+def bbox_filter(features: DataFrame, bbox, page: int | None = None, seq: str = "feature_id") -> DataFrame:
+    """Features whose box meets the query box, with the matched count.
 
-    Range predicates on stored box columns reach the parquet scan.
+    ``page`` asks for the first rows by ``seq`` only and then flags the cut in ``truncated``.  Range
+    predicates on stored box columns reach the parquet scan.
     """
     x0, y0, x1, y1 = bbox
     hit = features.filter((F.col("max_lng") >= x0) & (F.col("min_lng") <= x1) & (F.col("max_lat") >= y0) & (F.col("min_lat") <= y1))
     n = hit.agg(F.count(F.lit(1)).alias("matched_count"))
-    return hit.orderBy(seq).limit(limit).join(F.broadcast(n), how="inner").withColumn("truncated", F.col("matched_count") > limit)  # one row
+    rows = hit if page is None else hit.orderBy(seq).limit(page)
+    return rows.join(F.broadcast(n), how="inner").withColumn("truncated", F.lit(False) if page is None else F.col("matched_count") > page)  # one row
 
 
 def rounded(df: DataFrame, cols, dp: int = 6) -> DataFrame:

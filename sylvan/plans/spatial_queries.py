@@ -59,7 +59,7 @@ def _(spark, sf):
 
 @query("facilities_within_300m", f"WITH {CELLS}, {POINTS} SELECT c.park_id, h3_id, count(p.feature_id) AS n FROM cells c LEFT JOIN points p ON p.park_id = c.park_id AND abs(p.lat - c.lat) < 0.01e0 AND {HV} <= 300 GROUP BY ALL")
 def _(spark, sf):
-    return sp.count_within_radius(ad.cell_polygons(spark, sf), ad.points(spark, sf), 300.0, max_lat=30.0)
+    return sp.count_within_radius(ad.cell_polygons(spark, sf), ad.points(spark, sf), 300.0)
 
 
 @query("cell_geometry", f"WITH {CELLS}, k AS (SELECT h3_id, min_lng, min_lat, max_lng, max_lat, (max_lng - min_lng) * {M}e0 AS w, (max_lat - min_lat) * {M}e0 AS h FROM cells) SELECT h3_id, {js('(min_lng + max_lng) / 2e0', 6)} AS lng, {js('(min_lat + max_lat) / 2e0', 6)} AS lat, {js('w * h', 2)} AS area, {js('2e0 * (w + h)', 3)} AS perimeter, CASE WHEN w > h THEN 0e0 ELSE 90e0 END AS axis FROM k")
@@ -97,11 +97,10 @@ SEGD = "CASE WHEN pow(bx - ax, 2) + pow(yb - ay, 2) = 0 THEN sqrt(pow(c.x - ax,
 
 
 @query("distance_to_path", f"""WITH {CELLS}, {PATHS}, cx AS (SELECT park_id, h3_id, {XY} FROM cells),
-j AS (SELECT c.park_id, c.h3_id, c.x, c.y, ax, ay, bx, yb, greatest(0e0, least(1e0, ((c.x - ax) * (bx - ax) + (c.y - ay) * (yb - ay)) / nullif(pow(bx - ax, 2) + pow(yb - ay, 2), 0))) AS tt FROM cx c JOIN paths p ON p.park_id = c.park_id)
+j AS (SELECT c.park_id, c.h3_id, c.x, c.y, ax, ay, bx, yb, greatest(0e0, least(1e0, ((c.x - ax) * (bx - ax) + (c.y - ay) * (yb - ay)) / nullif(pow(bx - ax, 2) + pow(yb - ay, 2), 0))) AS tt FROM cx c LEFT JOIN paths p ON p.park_id = c.park_id)
 SELECT park_id, h3_id, {js('min(' + SEGD + ')', 3)} AS distance FROM j c GROUP BY ALL""")
 def _(spark, sf):
     c = ad.cell_polygons(spark, sf).select("park_id", "h3_id", ((F.col("lng") - ad.LNG0) * M).alias("x"), ((F.col("lat") - ad.LAT0) * M).alias("y"))
-    c = c.join(ad.points(spark, sf).select("park_id").distinct(), "park_id", "left_semi")
     return sp.nearest_segment(c, ad.paths(spark, sf), "h3_id", "segment_id").select("park_id", "h3_id", js_round("distance", 3).alias("distance"))
 
 
@@ -110,7 +109,7 @@ def _(spark, sf):
     return sp.layer_extent(ad.points(spark, sf), group_cols=P)
 
 
-@query("bbox_filter", f"WITH {POINTS}, h AS (SELECT * FROM points WHERE lng >= 55.18e0 AND lng <= 55.22e0 AND lat >= 25.12e0 AND lat <= 25.16e0) SELECT feature_id, layer, (SELECT count(*) FROM h) AS matched_count, (SELECT count(*) FROM h) > 4000 AS truncated FROM h ORDER BY feature_id LIMIT 4000")
+@query("bbox_filter", f"WITH {POINTS}, h AS (SELECT * FROM points WHERE lng >= 55.18e0 AND lng <= 55.22e0 AND lat >= 25.12e0 AND lat <= 25.16e0) SELECT feature_id, layer, (SELECT count(*) FROM h) AS matched_count, false AS truncated FROM h")
 def _(spark, sf):
     p = ad.points(spark, sf).withColumns({"min_lng": F.col("lng"), "max_lng": F.col("lng"), "min_lat": F.col("lat"), "max_lat": F.col("lat")})
     return sp.bbox_filter(p, (55.18, 25.12, 55.22, 25.16)).select("feature_id", "layer", "matched_count", "truncated")
@@ -147,11 +146,10 @@ def _(spark, sf):
     return g.select("park_id", "site_id", "grid_id", "parent_h3_id", js_round("area_m2", 4).alias("area_m2"), js_round("population", 4).alias("population"))
 
 
-@query("nearest_cell_transfer", f"WITH {SCORED}, {POINTS}, j AS (SELECT p.park_id, feature_id, h3_id, heat_score, void_pct, row_number() OVER (PARTITION BY p.park_id, feature_id ORDER BY {haversine('p.lng', 'p.lat', 'c.lng', 'c.lat')}, h3_id) AS r FROM points p JOIN sc c ON c.park_id = p.park_id) SELECT park_id, feature_id, h3_id, heat_score, void_pct FROM j WHERE r = 1")
+@query("nearest_cell_transfer", f"WITH {SCORED}, {POINTS}, j AS (SELECT p.park_id, feature_id, h3_id, heat_score, void_pct, row_number() OVER (PARTITION BY p.park_id, feature_id ORDER BY {haversine('p.lng', 'p.lat', 'c.lng', 'c.lat')}, h3_id) AS r FROM points p LEFT JOIN sc c ON c.park_id = p.park_id) SELECT park_id, feature_id, h3_id, heat_score, void_pct FROM j WHERE r = 1")
 def _(spark, sf):
     s = scored(spark, sf)
-    pts = ad.points(spark, sf).join(s.select("park_id").distinct(), "park_id", "left_semi")
-    return sp.nearest_cell_transfer(pts, s, ["heat_score", "void_pct"]).drop("distance").filter(F.col("h3_id").isNotNull())
+    return sp.nearest_cell_transfer(ad.points(spark, sf), s, ["heat_score", "void_pct"]).drop("distance")
 
 
 REG = f"reg0 AS (SELECT s_suppkey // 60 AS park_id, s_suppkey AS s, 'r' || s_suppkey AS region_id, (['HardBarrier','DestinationOnly','PermeableLandscape','PreferredCorridor'])[CAST(s_suppkey % 4 AS INTEGER) + 1] AS behavior, CAST(s_suppkey % 5 AS DOUBLE) AS priority, {ad.LNG0}e0 + (s_suppkey*37 % 80) / 1000e0 AS min_lng, {ad.LAT0}e0 + (s_suppkey*53 % 70) / 1000e0 AS min_lat FROM supplier), reg AS (SELECT *, min_lng + (s % 9 + 4) / 1000e0 AS max_lng, min_lat + (s % 7 + 4) / 1000e0 AS max_lat FROM reg0)"
@@ -274,6 +272,11 @@ def _(spark, sf):
     return gr.od_demand(j).withColumn("personas", F.array_join("personas", "|"))
 
 
+@query("od_demand_journeys", f"WITH {JOUR}, l AS (SELECT *, space AS origin, lead(space) OVER (PARTITION BY package_id, journey_id ORDER BY position, part_id) AS destination FROM jn) SELECT DISTINCT package_id, origin, destination, journey_id FROM l WHERE destination IS NOT NULL AND origin <> destination")
+def _(spark, sf):
+    return gr.od_journeys(ad.journeys(spark, sf).withColumn("position", F.struct("position", "part_id")))
+
+
 FLOWC = ["age", "archetype", "space", "score"]
 
 
