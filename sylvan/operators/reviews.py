@@ -354,6 +354,19 @@ def cleaning_summary(df: DataFrame, group_cols=PLACE) -> DataFrame:
         F.sum("s").alias("very_short"), F.sum("m").alias("flagged"))
 
 
+def median_rating(df: DataFrame, keys, out: str = "_median") -> DataFrame:
+    """The rating at place n div 2 of the sorted non-null ratings, for any scale.
+
+    Equal ratings are counted before the shuffle, so the window sees distinct ratings only.
+    """
+    by = [F.lit(0).alias("_one")] if not keys else list(keys)
+    names = ["_one"] if not keys else list(keys)
+    c = df.filter(F.col("rating").isNotNull()).groupBy(*by, F.col("rating").cast("double").alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
+    w = W.partitionBy(*names)
+    c = c.withColumns({"_upto": F.sum("_c").over(w.orderBy("_r").rowsBetween(W.unboundedPreceding, W.currentRow)), "_all": F.sum("_c").over(w)})
+    return c.filter(F.col("_upto") > F.floor(F.col("_all") / F.lit(2))).groupBy(*names).agg(F.min("_r").alias(out)).drop("_one")
+
+
 def nlp_kpis(df: DataFrame, group_cols=PLACE) -> DataFrame:
     """Review KPI table in long form: key, value."""
     keys = list(group_cols)
@@ -362,17 +375,14 @@ def nlp_kpis(df: DataFrame, group_cols=PLACE) -> DataFrame:
     n = F.count(F.lit(1))
     agg = [n.alias("_n"), F.avg("rating").alias("_avg"), F.avg(sign()).alias("_sc"), share(pos()).alias("_p"), share(neg()).alias("_g"),
            share(F.col("sentiment") == "NEUTRAL").alias("_u"), count_where(F.col("issue_category") != lx.DEFAULT_CATEGORY).alias("actionableReviews"),
-           count_where(pos()).alias("praiseReviews"), F.size(F.collect_set("issue_category")).alias("_div"), F.avg("category_confidence").alias("_cf"),
-           *[count_where(F.col("rating") <= r).alias(f"_le{r}") for r in range(6)]]
+           count_where(pos()).alias("praiseReviews"), F.size(F.collect_set("issue_category")).alias("_div"), F.avg("category_confidence").alias("_cf")]
     agg += [count_where(F.array_contains("categories", c)).alias(k) for k, c in lx.MENTION_TOPICS]
     agg += [count_where(tx.contains_any(F.col("_low"), w)).alias(k) for k, w in lx.MENTION_GROUPS]
     g = d.groupBy(*keys).agg(*agg) if keys else d.agg(*agg)
-    mid = F.floor(F.col("_n") / F.lit(2))
-    median = None
-    for r in range(6):  # ratings are 0..5: the first rating whose cumulative count passes n div 2
-        median = F.when(F.col(f"_le{r}") > mid, F.lit(float(r))) if median is None else median.when(F.col(f"_le{r}") > mid, F.lit(float(r)))
+    m = median_rating(df, keys)
+    g = g.join(m, keys, "left") if keys else g.join(F.broadcast(m), how="left")  # one row
     vals = {
-        "totalReviews": F.col("_n"), "avgRating": js_round("_avg", 1), "medianRating": median,
+        "totalReviews": F.col("_n"), "avgRating": js_round("_avg", 1), "medianRating": F.col("_median"),
         "positiveShare": js_round(F.col("_p") * 1000.0) / 10.0, "neutralShare": js_round(F.col("_u") * 1000.0) / 10.0, "negativeShare": js_round(F.col("_g") * 1000.0) / 10.0,
         "overallSentimentScore": js_round((F.col("_sc") + 1.0) / 2.0 * 100.0), "actionabilityScore": js_round(F.col("actionableReviews") / F.col("_n") * 100.0),
         "issueDiversityScore": js_round(F.col("_div") / F.lit(20.0) * 100.0), "topicConfidence": js_round(F.col("_cf") * 100.0),
@@ -540,9 +550,12 @@ def review_summary(df: DataFrame, group_cols=PLACE) -> dict[str, DataFrame]:
 
 
 def design_requirement_matrix(complaints: DataFrame, context: DataFrame, group_cols=PLACE, n: int = 12) -> DataFrame:
-    """Top complaints against site evidence.  ``context``: avg_heat, avg_green, avg_walk, avg_access per group."""
+    """Top complaints against site evidence.  ``context``: the group keys, avg_heat, avg_green, avg_walk, avg_access."""
     j = complaints.filter(F.col("rank") <= n)
-    j = j.join(context, list(group_cols), "left") if set(group_cols) <= set(context.columns) else j.join(F.broadcast(context.limit(1)), how="left")
+    missing = set(group_cols) - set(context.columns)
+    if missing:
+        raise ValueError(f"site evidence lacks the keys {sorted(missing)}")
+    j = j.join(context, list(group_cols), "left")
     cat, sev = F.col("issue_category"), F.col("severity")
     heat = (cat == "shade / heat comfort") & (F.coalesce("avg_heat", F.lit(0.0)).__ge__(55) | (F.coalesce("avg_green", F.lit(100.0)) < 10))
     play = (cat == "playground") & (F.coalesce("avg_access", F.lit(100.0)) < 50)

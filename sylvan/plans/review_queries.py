@@ -543,10 +543,14 @@ def _(spark, sf):
     return ts.place_time_series(enriched(spark, sf), "quarter")
 
 
+#: The dimension of places in the given tables.
+SOURCES = [f"src{i}" for i in range(20)]
+
+
 @query("place_time_matrix", with_enriched(f", l AS ({_pts('place_id')} UNION ALL {_pts(chr(39) + '(all)' + chr(39))}) SELECT period, " + ", ".join(
-    f'max(avg_rating) FILTER (WHERE place_id = {q(p)}) AS "{p}"' for p in ["src0", "src1", "src2", "src3", "(all)"]) + " FROM l GROUP BY period"))
+    f'max(avg_rating) FILTER (WHERE place_id = {q(p)}) AS "{p}"' for p in [*SOURCES, "(all)"]) + " FROM l GROUP BY period"))
 def _(spark, sf):
-    return ts.place_time_matrix(enriched(spark, sf), "avg_rating", ["src0", "src1", "src2", "src3"], "quarter")
+    return ts.place_time_matrix(enriched(spark, sf), "avg_rating", SOURCES, "quarter")
 
 
 @query("topic_evolution", with_enriched(f", c AS (SELECT {PERIOD['month']} AS period, issue_category, count(*) AS n FROM enriched WHERE published_ts IS NOT NULL GROUP BY ALL) SELECT *, n / CAST(sum(n) OVER (PARTITION BY period) AS DOUBLE) AS share FROM c"))
