@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +29,29 @@ def _lower(text) -> Column:
     return F.lower(F.coalesce(c(text), F.lit("")))
 
 
+def trie_pattern(words) -> str:
+    """One regular expression for all words, longest first at each place, with shared beginnings.
+
+    A text is then read once for the whole list instead of once per word.
+    """
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        parts = [re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", ch) + build(child) for ch, child in node.items() if ch]
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")" if parts else ""
+        return f"(?:{body})?" if "" in node and body else body
+
+    return build(root)
+
+
 def contains_any(lowered: Column, words) -> Column:
-    """Some word occurs as a substring.  One small lambda over a constant array, so a long
-    word list does not blow up the generated code."""
-    return let(lowered, lambda t: F.exists(F.expr(str_array(words)), lambda w: F.contains(t, w)))
+    """Some word occurs as a substring; the text is read once."""
+    return F.rlike(c(lowered), F.lit(trie_pattern(words)))
 
 
 def text_matches_any(text, words) -> Column:
@@ -38,17 +59,34 @@ def text_matches_any(text, words) -> Column:
     return contains_any(_lower(text), words)
 
 
-def _hits(t: Column, words) -> Column:
-    return F.size(F.filter(F.expr(str_array(words)), lambda w: F.contains(t, w)))
+def found_words(lowered: Column, words) -> Column:
+    """The distinct words that occur as substrings, overlapping ones too.
+
+    A look-ahead gives the longest word at every place of the text; words that begin a longer one
+    are added from the list.
+    """
+    words = list(dict.fromkeys(words))
+    raw = F.array_distinct(F.regexp_extract_all(c(lowered), F.lit(f"(?=({trie_pattern(words)}))"), F.lit(1)))
+    begun = {w: [x for x in words if x != w and w.startswith(x)] for w in words}
+    begun = {w: x for w, x in begun.items() if x}
+    if not begun:
+        return raw
+    table = F.create_map(*[x for w, xs in begun.items() for x in (F.lit(w), F.expr(str_array(xs)))])
+    keys = F.expr(str_array(begun))
+    return let(raw, lambda r: F.array_distinct(F.concat(r, F.flatten(F.transform(F.array_intersect(r, keys), lambda w: F.try_element_at(table, w))))))
+
+
+def _hits(found: Column, words) -> Column:
+    return F.size(F.array_intersect(F.expr(str_array(words)), found))
 
 
 def hit_count(lowered: Column, words) -> Column:
-    return let(lowered, lambda t: _hits(t, words))
+    return F.size(found_words(lowered, words))
 
 
 def sentiment_hits(text) -> Column:
     """struct<pos, neg>: positive and negative words present."""
-    return let(_lower(text), lambda t: F.struct(_hits(t, lx.POSITIVE_WORDS).alias("pos"), _hits(t, lx.NEGATIVE_WORDS).alias("neg")))
+    return let(found_words(_lower(text), [*lx.POSITIVE_WORDS, *lx.NEGATIVE_WORDS]), lambda f: F.struct(_hits(f, lx.POSITIVE_WORDS).alias("pos"), _hits(f, lx.NEGATIVE_WORDS).alias("neg")))
 
 
 def word_frame(lowered) -> Column:
@@ -63,15 +101,15 @@ def word_frame(lowered) -> Column:
 
 def category_scores(text, lexicon=None) -> Column:
     """array<int>: per category, one point per keyword found, one more as a whole word."""
-    words = "array(" + ", ".join(str_array(w) for _, w, _ in lexicon or lx.ISSUE_LEXICON) + ")"
+    lists = [w for _, w, _ in lexicon or lx.ISSUE_LEXICON]
+    words = "array(" + ", ".join(str_array(w) for w in lists) + ")"
 
     def points(v):
         # The whole-word test runs only for keywords that occur at all.
-        return lambda ks: F.aggregate(ks, F.lit(0), lambda acc, k: F.when(
-            F.contains(v["t"], k), acc + 1 + F.contains(v["f"], F.concat(F.lit(" "), k, F.lit(" "))).cast("int")).otherwise(acc))
+        return lambda ks: F.aggregate(F.array_intersect(ks, v["w"]), F.lit(0), lambda acc, k: acc + 1 + F.contains(v["f"], F.concat(F.lit(" "), k, F.lit(" "))).cast("int"))
 
-    framed = let(_lower(text), lambda t: F.struct(t.alias("t"), word_frame(t).alias("f")))
-    return let(framed, lambda v: F.transform(F.expr(words), points(v)))
+    seen = let(_lower(text), lambda t: F.struct(found_words(t, [w for ws in lists for w in ws]).alias("w"), word_frame(t).alias("f")))
+    return let(seen, lambda v: F.transform(F.expr(words), points(v)))
 
 
 def classify_issue(text, lexicon=None) -> Column:
@@ -95,8 +133,8 @@ def classify_issue(text, lexicon=None) -> Column:
 def labels_matched(lowered, labelled_words) -> Column:
     """array<string> of the labels with at least one word in the text, in list order."""
     pairs = "array(" + ", ".join(f"named_struct('n', '{n}', 'k', {str_array(w)})" for n, w in labelled_words) + ")"
-    return let(c(lowered), lambda t: F.transform(
-        F.filter(F.expr(pairs), lambda x: F.exists(x["k"], lambda w: F.contains(t, w))), lambda x: x["n"]))
+    found = found_words(c(lowered), [w for _, ws in labelled_words for w in ws])
+    return let(found, lambda f: F.transform(F.filter(F.expr(pairs), lambda x: F.arrays_overlap(x["k"], f)), lambda x: x["n"]))
 
 
 def match_all_categories(text, lexicon=None) -> Column:
