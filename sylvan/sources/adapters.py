@@ -56,13 +56,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to as many partitions as the session setting ``spark.sylvan.inputPartitions`` names.
+
+    Unset by default: large inputs split by row group on their own.  It is for a table kept as one
+    row group, which no scan can split.
+    """
+    n = df.sparkSession.conf.get("spark.sylvan.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
+
+
 def idiv(x, n):
     """Integer quotient of non-negative integers."""
     return F.floor(x / F.lit(n)).cast("long")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
     i = F.col("doc_id")
     phrase = F.get(F.expr(str_array(PHRASES)), ((i * 3) % 40).cast("int"))
     ts = F.timestamp_add("HOUR", (i * 5) % 24, F.timestamp_add("DAY", (i * 13) % 1400, F.lit("2023-01-01").cast("timestamp")))
@@ -81,7 +91,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternative review source: user turns of conversations."""
-    d = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    d = spread(table(spark, sf_dir, "conversations").filter(F.col("role") == "user"))
     return d.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
         F.concat(F.lit("c"), (F.col("conv_id") % 7).cast("string")).alias("place_id"),
