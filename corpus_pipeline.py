@@ -43,10 +43,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, and the digests that show the ids decode to the text."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encoded(docs.select(F.col("doc_id"), F.col("lang"), F.col("source"), F.coalesce("text", F.lit("")).alias("text")), path, public_tokenizers.PATTERN)
-    both = bpe.decoded(coded.drop("text"), path)
-    return both.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    rows = docs.select("doc_id", "lang", "source", "text")
+    return bpe.digests(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("doc_id", "lang", "source"), with_ids=True)
 
 
 STAGES = [

@@ -18,19 +18,20 @@ Defined results: a null text is an empty one and gives no ids; ids that are unkn
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship
 
 #: Bounds of the tables that grow with the texts; each is emptied when full.
-MAX_STATES, MAX_WORDS, MAX_PAIRS = 150_000, 400_000, 300_000
+MAX_STATES, MAX_WORDS, MAX_PAIRS = 100_000, 250_000, 150_000
+MAX_SPINES = 20_000
 #: Rows that leave a task at once.
 ROWS = 500
 
@@ -61,21 +62,21 @@ class Transducer:
             self.token_at[node] = rank
         self.inner = parents
         # the tokens below a node are neighbours in the order of their bytes
-        self.sorted = [ranks[b] for b in sorted(ranks)]
-        self.span: dict[int, tuple[int, int]] = {}
+        self.sorted = array("I", [ranks[b] for b in sorted(ranks)])
+        self.low, self.high = array("I", [0]) * nodes, array("I", [0]) * nodes
         for place, rank in enumerate(self.sorted):
             node = 0
             for b in self.bytes_of[rank]:
                 node = self.child[node << 8 | b]
-                low = self.span.get(node)
-                # a node's own token comes first and is not below it
-                self.span[node] = (low[0] if low else place + (self.token_at.get(node) == rank), place + 1)
+                if not self.high[node]:  # a node's own token comes first and is not below it
+                    self.low[node] = place + (self.token_at.get(node) == rank)
+                self.high[node] = place + 1
         self.leading: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, tuple | None] = {}
         # do ranks rise along merges? then one look at the edges decides; else the bytes are merged
         self.rising = all(max(x[1] for x in s[:-1]) <= rank and all(p[1] <= q[1] for p, q in zip(s, s[1:]))
-                          for rank in ranks.values() if (both := self._spines(rank)) for s in both if len(s) > 1)
+                          for rank in ranks.values() if (both := self._edges(rank)) for s in both if len(s) > 1)
         self._forget()
 
     def _forget(self) -> None:
@@ -102,20 +103,18 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _spines(self, token: int) -> tuple[tuple, tuple]:
+    def _edges(self, token: int) -> tuple[tuple, tuple] | None:
         """(bytes, rank at which it is absorbed) of the parts that ever stood at the left and at the right edge of a token.
 
         None for a token that its own bytes do not merge to.
         """
-        known = self.spines.get(token, 0)
-        if known != 0:
-            return known
-        parts = [self.bytes_of[token][i:i + 1] for i in range(len(self.bytes_of[token]))]
+        data = self.bytes_of[token]
+        parts = [data[i:i + 1] for i in range(len(data))]
         left, right = [[parts[0], 1 << 30]], [[parts[-1], 1 << 30]]
         while len(parts) > 1:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
             if rank == 1 << 30:
-                break
+                return None
             if at == 0:
                 left[-1][1] = rank
                 left.append([parts[0] + parts[1], 1 << 30])
@@ -123,7 +122,14 @@ class Transducer:
                 right[-1][1] = rank
                 right.append([parts[-2] + parts[-1], 1 << 30])
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        known = self.spines[token] = None if len(parts) > 1 else (tuple(map(tuple, left)), tuple(map(tuple, right)))
+        return tuple(map(tuple, left)), tuple(map(tuple, right))
+
+    def _spines(self, token: int) -> tuple[tuple, tuple] | None:
+        known = self.spines.get(token, 0)
+        if known == 0:
+            if len(self.spines) >= MAX_SPINES:
+                self.spines.clear()
+            known = self.spines[token] = self._edges(token)
         return known
 
     def fits(self, left: int, right: int) -> bool:
@@ -171,9 +177,9 @@ class Transducer:
         if known is None:
             if len(self.leading) >= MAX_PAIRS:
                 self.leading.clear()
-            low, high = self.span[node]
             spine, apart = self._spines(left)[1], self._apart
-            known = self.leading[key] = any(apart(spine, self._spines(t)[0]) for t in self.sorted[low:high] if self.spines[t] is not None)
+            below = (self._spines(self.sorted[i]) for i in range(self.low[node], self.high[node]))
+            known = self.leading[key] = any(apart(spine, s[0]) for s in below if s is not None)
         return known
 
     def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -266,22 +272,22 @@ class Encoder:
 
         self.transducer, self.split = Transducer(ranks), regex.compile(pattern)
         self.split_latin = latin_pattern(pattern)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.encode(word.encode("utf-8")))
+    def word(self, word: str) -> bytes:
+        ids = array("I", self.transducer.encode(word.encode("utf-8"))).tobytes()
         if len(word) <= 64:
             if len(self.words) >= MAX_WORDS:
                 self.words.clear()
             self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> array:
-        ids, known = array("I"), self.words.get
-        add = ids.extend
-        for i in self._pieces(text):
-            add(known(i) or self.word(i))
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        out, known = bytearray(), self.words.get
+        for w in self._pieces(text):
+            out += known(w) or self.word(w)
+        return bytes(out)
 
     def _pieces(self, text: str) -> Iterable[str]:
         split = self.split
@@ -346,6 +352,13 @@ class Decoder:
             out.append(text)
         return "".join(out)
 
+    def decode(self, raw: bytes) -> str:
+        """The whole text of ids as :meth:`Encoder.encode` gives them."""
+        self.reset()
+        ids = array("I")
+        ids.frombytes(raw)
+        return self.feed(ids) + self.finish()
+
     def finish(self) -> str:
         rest = "�" if self.state else ""
         self.reset()
@@ -385,7 +398,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
     """``docs`` with their ids as little-endian unsigned 32-bit integers in one binary column."""
     def make():
         own = encoder(path, pattern)
-        return lambda t: own.encode(t or "").tobytes()
+        return lambda t: own.encode(t or "")
 
     return _mapped(docs, text, out, T.BinaryType(), make)
 
@@ -395,18 +408,32 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     def make():
         own = decoder(path)
 
-        def text(raw: bytes | None) -> str:
-            own.reset()
-            got = array("I")
-            got.frombytes(raw or b"")
-            return own.feed(got) + own.finish()
-
-        return text
+        return lambda raw: own.decode(raw or b"")
 
     return _mapped(docs, ids, out, T.StringType(), make)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them."""
-    both = decoded(encoded(docs, path, pattern).select("doc_id", "ids"), path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The ``keep`` columns, n_tokens, and the digests of the ids and of the bytes decoded from them (and the ids).
+
+    Encoder and decoder share a worker, so the tables are held once and ids and texts need not leave it.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(*keep, "text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        enc, dec = encoder(path, pattern), decoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, texts = [], []
+                for x in part.column(len(keep)):
+                    ids.append(enc.encode(x.as_py() or ""))
+                    texts.append(hashlib.sha256(dec.decode(ids[-1]).encode("utf-8")).hexdigest())
+                made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(texts, pa.string()), *([pa.array(ids, pa.binary())] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+    return rows.mapInArrow(run, schema)
