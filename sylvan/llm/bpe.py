@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import ship
 
 #: Bounds of the tables that grow with the texts; each is emptied when full.
-MAX_STATES, MAX_WORDS, MAX_PAIRS = 100_000, 250_000, 150_000
+MAX_STATES, MAX_WORDS, MAX_PAIRS = 250_000, 500_000, 300_000
 MAX_SPINES = 20_000
 #: Rows that leave a task at once.
 ROWS = 500
