@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import formulas as fm
 from ..functions import programs as pg
 from ..operators import cells as cl
 from ..operators import filters as fl
 from ..operators import opportunity as op
 from ..operators import reviews as rv
 from ..sources import adapters as ad
+from .cell_sql import CELL_SQL
 from .registry import query
 from .site_queries import WIDTH, review_parks
 from .review_queries import IMP
@@ -43,7 +43,7 @@ def _prog(i, p):
 
 
 OPP = f"""{SITE}, {WIDTH}, wc AS (SELECT c.*, coalesce(w.road_width_m, 5e0) AS road_width_m FROM site c LEFT JOIN width w USING (park_id)),
-ss AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in fm.cell_formulas().items())} FROM wc), {ENRICHED}, {IMP},
+ss AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in CELL_SQL.items())} FROM wc), {ENRICHED}, {IMP},
 tr AS (SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, {_ts} FROM impact GROUP BY place_id),
 tt AS (SELECT park_id, sum(population) AS tp_, count(*) AS tn_ FROM ss GROUP BY park_id),
 sj AS (SELECT ss.*, tt.tp_, tt.tn_, tr.* EXCLUDE (park_id) FROM ss JOIN tt USING (park_id) LEFT JOIN tr USING (park_id)),

@@ -17,6 +17,7 @@ from ..operators import ranking as rk
 from ..operators import reports as rp
 from ..operators import reviews as rv
 from ..sources import adapters as ad
+from .cell_sql import CELL_SQL
 from .registry import query
 from .review_queries import COMPLAINTS, HEALTH, IMP, PERS, enriched
 from .sqlbase import CELLS, ENRICHED, POINTS, ROADS, haversine, js, norm, q, values_list
@@ -32,7 +33,7 @@ TIER_WIDTH = "CASE tier " + " ".join(f"WHEN {q(k)} THEN {float(v)}e0" for k, v i
 WIDTH = f"""{ROADS}, tiered AS (SELECT *, {tier_sql()} AS tier FROM roads),
 width AS (SELECT park_id, sum(length * {TIER_WIDTH}) / sum(length) AS road_width_m FROM tiered GROUP BY park_id)"""
 SCORED = f"""{CELLS}, {WIDTH}, wcells AS (SELECT c.*, coalesce(w.road_width_m, 5e0) AS road_width_m FROM cells c LEFT JOIN width w USING (park_id)),
-sc AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in fm.cell_formulas().items())} FROM wcells)"""
+sc AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in CELL_SQL.items())} FROM wcells)"""
 
 
 def scored(spark, sf):

@@ -36,3 +36,12 @@ def test_matches_duckdb(spark, scratch, name):
     cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(cols)
     assert norm([tuple(r) for r in df.collect()], df.columns) == norm(cur.fetchall(), cols)
+
+
+def test_changed_weight_turns_the_oracle_red(spark, scratch, monkeypatch):
+    from sylvan.functions import formulas as fm
+
+    real = fm.cell_formulas()
+    monkeypatch.setattr(fm, "cell_formulas", lambda *a, **k: {**real, "heat_score": real["heat_score"].replace("0.7e0", "0.6e0")})
+    with pytest.raises(AssertionError):
+        test_matches_duckdb(spark, scratch, "cell_scores")
