@@ -28,6 +28,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -183,14 +184,58 @@ class Shard:
         self.file.close()
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share out the cores
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """A tokenizer of the library, called once per distinct word.
+
+    For vocabularies that drop white space: no token then reaches over a blank or line break, so the
+    ids of a text are those of its pieces between them, one after another.  Known pieces are kept up
+    to ``MOST_BYTES``, then forgotten all at once.
+    """
+
+    MOST_BYTES, PIECES, TOGETHER = 80_000_000, 20_000, 1000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share out the cores
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # the names of special tokens inside a text are ordinary text
+        self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
+        if self.library.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in self.library.encode(w, add_special_tokens=False).ids]:
+            raise ValueError("this vocabulary keeps white space")
+
+    def vocabulary(self) -> int:
+        return self.library.get_vocab_size(with_added_tokens=True)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        pieces, out = text.replace("\n", " ").split(" "), []
+        for at in range(0, len(pieces), self.PIECES):
+            part = pieces[at:at + self.PIECES]
+            if self.held > self.MOST_BYTES:
+                self.known, self.held = {"": b""}, 0
+            known = self.known
+            new = [w for w in set(part) if w not in known]
+            for i in range(0, len(new), self.TOGETHER):
+                self._learn(new[i:i + self.TOGETHER])
+            out.extend(map(known.__getitem__, part))
+        return b"".join(out)
+
+    def _learn(self, new: list[str]) -> None:
+        """One call for many pieces; a token belongs to the piece its first character lies in."""
+        made = self.library.encode(" ".join(new), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in new)])
+        ids = np.array(made.ids, "<u4")
+        first = np.searchsorted(np.array([a for a, _ in made.offsets], np.int64), starts) if len(ids) else np.zeros(len(starts), np.int64)
+        for w, a, b in zip(new, first[:-1].tolist(), first[1:].tolist()):
+            self.known[w] = ids[a:b].tobytes()
+            self.held += 4 * (len(w) + b - a) + 150
+
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # the names of special tokens inside a text are ordinary text
-    return own
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def written_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -205,23 +250,21 @@ def written_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, done, shard = TaskContext.get().partitionId(), [], None
+        part, done, shard, end = TaskContext.get().partitionId(), [], None, end_id.to_bytes(4, "little")
         own = tokenizer(path)
-        width = 2 if max(own.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+        width = 2 if max(own.vocabulary() - 1, end_id) < 1 << 16 else 4
 
         def close() -> None:
             n, ids, key = len(shard.keys), shard.offsets[-1], [shard.keys[i] if i >= shard.empty_keys else None for i in (0, -1 % len(shard.keys))]
             done.append((part, len(done), shard.close(), key[0], key[1], n, ids))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                for key, made in zip(piece.column(0).to_pylist(), own.encode_batch_fast(piece.column(1).to_pylist(), add_special_tokens=False)):
-                    shard = shard or ShardWriter(folder, width)
-                    shard.add(key, np.array([*made.ids, end_id], np.uint32))
-                    if shard.offsets[-1] >= shard_ids or len(shard.keys) >= shard_docs:
-                        close()
-                        shard = None
+            for key, text in zip(batch.column(0), batch.column(1)):
+                shard = shard or ShardWriter(folder, width)
+                shard.add(key.as_py(), np.frombuffer(own.encode(text.as_py()) + end, "<u4"))
+                if shard.offsets[-1] >= shard_ids or len(shard.keys) >= shard_docs:
+                    close()
+                    shard = None
         if shard:
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "shard", "first_key", "last_key", "n_docs", "n_ids"), r)) for r in done], schema=pa.schema(
