@@ -17,8 +17,7 @@ from sylvan.llm.common import read, written_table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and every certified cutoff."""
-    judged = quality.judged(docs, read(spark, sf_dir, "labels"), docs.columns)
-    return judged.filter("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.judged(docs, read(spark, sf_dir, "labels")).filter("q.kept").select("doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,10 +126,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
     Rows are matched by doc_id and a digest of the text, so documents that share an id are judged apart.
     """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_t")]
-    tagged = docs.withColumn("_key", F.concat_ws(":", *key))
-    dirty = hits(tagged.select(F.col("_key").alias("doc_id"), F.col("text")), benchmark, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_key")).distinct()
-    return tagged.join(dirty, "_key", "left_anti").drop("_key")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
+    dirty = hits(docs.select(key.alias("doc_id"), F.col("text")), benchmark, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct()
+    return tagged.join(dirty, "key", "left_anti").select("doc.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -113,7 +113,7 @@ def base_failed(m: str = "_m") -> Column:
 
 
 def stratum(lang: str = "lang", strata=STRATA) -> Column:
-    return F.when(F.col(f"`{lang}`").isin(*strata), F.col(f"`{lang}`")).otherwise(F.lit(OTHER))
+    return F.when(F.col(lang).isin(*strata), F.col(lang)).otherwise(F.lit(OTHER))
 
 
 def _ln_gamma(x: Column) -> Column:
@@ -166,24 +166,23 @@ def certified_cutoffs(documents: DataFrame, labels: DataFrame, alpha: float = AL
     return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in grid])
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: list[str], alpha: float = ALPHA, delta: float = DELTA, strata=STRATA, grid=None) -> DataFrame:
-    """``keep`` columns of ``docs`` (doc_id, text, lang and more), the base counts, ``base_failed``, ``kept`` and ``rejected_by``.
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, strata=STRATA, grid=None) -> DataFrame:
+    """doc (struct of all columns of ``docs``) and q: the base counts, base_failed, kept, rejected_by and stratum.
 
-    The measures are computed once and written; the cutoffs and the verdicts both read them.
+    ``docs``: doc_id, text, lang and any more.  The measures are computed once and written; the
+    cutoffs and the verdicts both read them.
     """
     grid = grid or GRID
-    m = measured(docs)
-    values = rule_values()
-    row = m.select(*[F.col(f"`{k}`") for k in keep], F.struct(
-        F.col("doc_id").alias("doc_id"), stratum(strata=strata).alias("stratum"), base_failed().alias("base_failed"), F.col("_m").alias("m"), *[v.alias(r) for r, v in values.items()]).alias("_q"))
-    row = written_table(row)
-    cuts = certified_cutoffs(row.select("_q.doc_id", "_q.stratum", "_q.base_failed", *[f"_q.{r}" for r in grid]), pick_labels(labels), alpha, delta, strata, grid)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("text"))
+    row = written_table(measured(rows).select("doc", F.struct(
+        stratum("doc.lang", strata).alias("stratum"), base_failed().alias("base_failed"), F.col("_m").alias("m"), *[v.alias(r) for r, v in rule_values().items()]).alias("_q")))
+    cuts = certified_cutoffs(row.select("doc.doc_id", "_q.stratum", "_q.base_failed", *[f"_q.{r}" for r in grid]), pick_labels(labels), alpha, delta, strata, grid)
     # len(strata) + 1 rows at most, whatever the input
     out = row.withColumn("_s", F.col("_q.stratum")).join(F.broadcast(cuts.withColumnRenamed("stratum", "_s")), "_s", "left")
     over = F.filter(F.array(*[F.when(F.col(f"_q.{r}") > F.col(f"cut_{r}"), F.lit(r)) for r in grid]), lambda x: x.isNotNull())
-    return out.select(
-        *[F.col(f"`{k}`") for k in keep], *[F.col(f"_q.m.{b}").alias(f"q_{b}") for b in BASE], F.col("_q.base_failed").alias("q_base_failed"),
-        (~F.col("_q.base_failed") & (F.size(over) == 0)).alias("q_kept"), F.array_join(over, ",").alias("q_rejected_by"), F.col("_q.stratum").alias("q_stratum"))
+    return out.select("doc", F.struct(
+        *[F.col(f"_q.m.{b}").alias(b) for b in BASE], F.col("_q.base_failed").alias("base_failed"), (~F.col("_q.base_failed") & (F.size(over) == 0)).alias("kept"),
+        F.array_join(over, ",").alias("rejected_by"), F.col("_q.stratum").alias("stratum")).alias("q"))
 
 
 def pick_labels(labels: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_quality_rules", oracles.quality_rules())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    out = quality.judged(docs, read(spark, sf_dir, "labels"), ["doc_id"])
-    return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in (*quality.BASE, "base_failed", "kept", "rejected_by")])
+    out = quality.judged(docs, read(spark, sf_dir, "labels"))
+    return out.select("doc.doc_id", *[f"q.{c}" for c in (*quality.BASE, "base_failed", "kept", "rejected_by")])
 
 
 @query("op2_decontamination", oracles.decontamination())

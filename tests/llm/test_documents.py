@@ -206,7 +206,7 @@ def test_pipeline_stages_on_planted_rows(spark):
     prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
     a, b, item = prose(120), prose(120), prose(30)
     rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (3, b + " " + item, "en", "s", 1), (4, prose(100) + " mail me@site.org now", "de", "s", 1), (5, "short", "en", "s", 1), (6, None, None, None, None), (7, prose(200), "fr", "s", 1)]
-    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, rid string")
+    d = spark.createDataFrame([(*r, "x", "y", "z", "v", "u", "t") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, _m string, q string, fp string, pii string, `a.b` string")
     lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     import tempfile
@@ -231,7 +231,7 @@ def test_pipeline_stages_on_planted_rows(spark):
 def test_pipeline_on_test_tables(spark):
     """Every stage against brute force over its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r["doc_id"] for r in quality.judged(docs, spark.read.parquet(f"{SF}/labels.parquet"), ["doc_id"]).filter("q_kept").collect()}
+    good = {r["doc_id"] for r in quality.judged(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("q.kept").select("doc.doc_id").collect()}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good)
     first = set(slow_groups([(i, simhash.fingerprint(t)) for i, t in rows]).values())
