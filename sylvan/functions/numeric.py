@@ -29,11 +29,6 @@ def js_round(x, dp: int = 0) -> Column:
     return F.floor(x * p + F.lit(0.5)).cast("double") / p
 
 
-def py_round(x, dp: int = 0) -> Column:
-    """Half-to-even rounding, used for values of the layer preparation stage."""
-    return F.bround(c(x).cast("double"), dp)
-
-
 def truthy_or(x, default) -> Column:
     """``x`` unless it is null, NaN or 0."""
     x = c(x).cast("double")
@@ -54,11 +49,6 @@ def norm(x, top) -> Column:
     return clamp(lit(x) / F.lit(float(top)) * F.lit(100.0), F.lit(0.0), F.lit(100.0))
 
 
-def safe_div(a, b, default=0.0) -> Column:
-    a, b = lit(a), lit(b)
-    return F.when(b.isNull() | (b == 0), lit(default)).otherwise(a / b)
-
-
 def wsum(*terms) -> Column:
     """Left-to-right weighted sum: wsum((x, .4), (y, .6))."""
     return reduce(lambda a, b: a + b, [lit(x) * F.lit(float(w)) for x, w in terms])

@@ -381,7 +381,7 @@ def journeys(summary: DataFrame, group_cols=("park_id",), n: int = 8) -> DataFra
     to = paths.select(F.col("start").alias("entry"), F.col("end").alias("program"), F.when(F.col("start") == F.col("end"), F.array("start")).otherwise(capped_path(F.col("path"), 3)).alias("_in"))
     on_ = paths.select(F.col("start").alias("program"), F.col("end").alias("amenity"), capped_path(F.col("path"), 2).alias("_out"))
     d = d.join(to, ["entry", "program"], "left").join(on_, ["program", "amenity"], "left")
-    tail = F.when(F.col("amenity").isNotNull() & (F.col("amenity") != F.col("program")), F.slice("_out", 2, 100)).otherwise(F.array().cast("array<string>"))
+    tail = F.when(F.col("amenity").isNotNull() & (F.col("amenity") != F.col("program")), F.slice("_out", 2, F.size("_out"))).otherwise(F.array().cast("array<string>"))
     full = F.concat(F.coalesce("_in", F.array("program")), F.coalesce(tail, F.array().cast("array<string>")))
     s = d.select(*keys, "age_group", "tier", F.col("program").alias("destination"), "rank", "entry", "amenity", F.posexplode(full).alias("position", "space"))
     role = F.when(F.col("space") == F.col("entry"), "entry").when(F.col("space") == F.col("destination"), "primary_activity").when(F.col("space") == F.col("amenity"), "amenity").otherwise("circulation")

@@ -479,6 +479,9 @@ def program_demand(evidence: DataFrame, group_cols) -> DataFrame:
 
 def threshold_findings(metrics: DataFrame, rules, group_cols=PARK) -> DataFrame:
     """Rules (key, '>=' or '<', threshold, kind, finding) against metric rows; a small fixed table, equi-joined on the metric key."""
+    unknown = {r[1] for r in rules} - {">=", "<"}
+    if unknown:
+        raise ValueError(f"unknown comparison {sorted(unknown)}")
     rt = fixed_table(metrics.sparkSession, [(a, b, float(c), d, e) for a, b, c, d, e in rules], "key string, op string, threshold double, kind string, finding string")
     j = metrics.join(rt, "key")
     return j.filter(F.when(F.col("op") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))).select(*group_cols, "key", "value", "kind", "finding")
