@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs are certified on labelled holdouts (operator 1, JVM side only).
 
-Every rule rejects a document when one of its measures exceeds a cutoff.  A cutoff may be used
-in a stratum only if the labelled good documents of that stratum show, by the exact binomial
-test (the Clopper-Pearson upper bound), that the rule rejects at most its share of ``alpha`` of
-the good documents.  The level ``delta`` is divided by the number of tests made over all strata,
-rules and cutoffs, so all certificates hold together with probability 1 - delta; since the rules'
-shares add up to ``alpha``, so does the false rejection rate of a stratum.
+Every rule rejects a document when one of its measures exceeds a cutoff.  The joint settings of
+all rules stand in one order fixed before any data are seen: it begins without rules, and each
+setting tightens one rule by one cutoff, the strictest setting last.  In each stratum the settings
+are tested in this order by the exact binomial test (the Clopper-Pearson upper bound): do they
+reject, all rules taken together, at most ``alpha`` of the labelled good documents?  The first
+failure ends the stratum, and the last setting before it is used.  A sequence tested in a fixed
+order needs no correction for its length, so only the strata divide ``delta``, and all certificates
+hold together with probability 1 - delta.
 
 Defined results: a null text counts as empty; a document of an unlisted or null language belongs
 to the stratum ``other``; a stratum with too few labels certifies nothing and rejects by the base
@@ -146,24 +148,40 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * total))
 
 
+def settings(grid=None) -> list[tuple[str, float]]:
+    """The fixed order of joint settings: setting i uses the last cutoff of every rule among the first i + 1 entries.
+
+    All rules go from their loosest to their strictest cutoff in step, by the share of their cutoffs passed.
+    """
+    grid = grid or GRID
+    order = sorted(((i + 1) / len(cuts), n, i) for n, cuts in enumerate(grid.values()) for i in range(len(cuts)))
+    names, loose_first = list(grid), [sorted(map(float, cuts), reverse=True) for cuts in grid.values()]
+    return [(names[n], loose_first[n][i]) for _, n, i in order]
+
+
 def certified_cutoffs(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, strata=STRATA, grid=None) -> DataFrame:
-    """One row per stratum with the lowest certified cutoff of every rule (null: the rule is not used).
+    """One row per stratum with the cutoff of every rule in the strictest certified setting (null: the rule is not used).
 
     ``documents``: doc_id, stratum, base_failed and the rule measures.  ``labels``: doc_id, quality.
     Counts are kept per stratum before anything is moved; the result has len(strata) + 1 rows at most.
     """
     grid = grid or GRID
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("_g")).filter("_g = 1").select("doc_id")
+    steps = settings(grid)
+    # the first setting that rejects the document: stricter ones reject it too
+    first = F.least(*[F.when(F.col(r) > c, F.lit(i)) for i, (r, c) in enumerate(steps)], F.lit(len(steps)))
     # the method only decides about documents that pass the base rules, so its risk is measured on those
-    held = documents.filter(~F.col("base_failed")).join(good, "doc_id")
-    tests = sum(len(v) for v in grid.values()) * (len(strata) + 1)
-    name = lambda r, i: f"{r}_{i}"
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(r) > c, 1)).alias(name(r, i)) for r, cuts in grid.items() for i, c in enumerate(cuts)])
-    share, level = alpha / len(grid), delta / tests
-    flat = counts.select("stratum", "n", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(name(r, i)).alias("k")) for r, cuts in grid.items() for i, c in enumerate(cuts)])).alias("t")).select("stratum", "n", "t.*")
-    passed = flat.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), share)).filter(F.col("p_value") <= level)
-    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in grid])
+    held = documents.filter(~F.col("base_failed")).join(good, "doc_id").select("stratum", first.alias("_first"))
+    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("_first") <= i, 1)).alias(f"k_{i}") for i in range(len(steps))])
+    flat = counts.select("stratum", "n", F.posexplode(F.array(*[f"k_{i}" for i in range(len(steps))])).alias("step", "k"))
+    failed = F.when(binomial_tail(F.col("k"), F.col("n"), alpha) > delta / (len(strata) + 1), F.col("step"))
+    passed = flat.groupBy("stratum").agg(F.coalesce(F.min(failed), F.lit(len(steps))).alias("_passed")).filter("_passed > 0")
+
+    def cutoff(rule: str) -> Column:
+        so_far = [min((c for r, c in steps[:i + 1] if r == rule), default=None) for i in range(len(steps))]
+        return F.get(F.array(*[F.lit(c).cast("double") for c in so_far]), F.col("_passed") - 1)
+
+    return passed.select("stratum", *[cutoff(r).alias(f"cut_{r}") for r in grid])
 
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, strata=STRATA, grid=None) -> DataFrame:

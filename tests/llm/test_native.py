@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvan.llm import decontaminate, licenses, quality, queries, url_filter
 
-SF = "/root/testdata/sf0.001"
+SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 LONG = "alpha beta gamma delta " * 30_000
 ROWS = [(1, None, "en"), (2, "", None), (3, " \t\n", "xx"), (4, "a b c a b c a b c", "en"), (5, LONG, "de"), (6, "one two three\none two three\n#$%", "fr"), (6, "one two three\none two three\n#$%", "fr"),
         (None, "word " * 60, "en"), (7, " ".join(f"w{i}" for i in range(80)), "en")]
@@ -77,6 +77,31 @@ def test_certified_cutoffs_limit_false_rejection(spark):
     assert few.count() == 0
 
 
+def test_joint_settings_need_few_labels(spark):
+    # 230 good labels certify all rules jointly at 2 %, 220 do not; the rules' false rejections count together
+    rules = list(quality.GRID)
+    fine = {"symbol_share": 0.0, "dup_line_share": 0.0, "repeat_share": 0.0, "long_words": 5.0, "short_words": -5.0}
+    rows = [(i, "en", False, *fine.values()) for i in range(230)] + [(i, "de", False, *fine.values()) for i in range(1000, 1220)]
+    rows += [(i, "fr", False, *({**fine, rules[i % 5]: 1e9} if i < 2030 else fine).values()) for i in range(2000, 3000)]  # each rule alone rejects 0.6 %
+    d = spark.createDataFrame(rows, f"doc_id long, stratum string, base_failed boolean, {', '.join(r + ' double' for r in rules)}")
+    cut = {r["stratum"]: r.asDict() for r in quality.certified_cutoffs(d, labels(spark, [(r[0], 1, 0) for r in rows])).collect()}
+    assert cut["en"] == {"stratum": "en", **{f"cut_{r}": min(c) for r, c in quality.GRID.items()}} and "de" not in cut
+    assert 0 < sum(cut["fr"][f"cut_{r}"] is not None for r in rules) < 5
+    steps = quality.settings()
+    assert sorted(steps) == sorted((r, c) for r, cuts in quality.GRID.items() for c in cuts)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="test tables are not here")
+def test_labelled_bad_documents_are_rejected(spark):
+    lab = spark.read.parquet(f"{SF01}/labels.parquet")
+    got = quality.judged(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang"), lab).select("doc.doc_id", "q.*")
+    n = {(r["stratum"], r["quality"]): (r["n"], r["rejected"]) for r in got.filter("not base_failed").join(lab.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+         .groupBy("stratum", "quality").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("kept"), 1)).alias("rejected")).collect()}
+    print(n)
+    for (_, quality_), (of, rejected) in n.items():
+        assert rejected <= 0.02 * of if quality_ else rejected > 0.5 * of
+
+
 def brute_hits(doc, items):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     w, spots, named = find(doc), set(), set()
