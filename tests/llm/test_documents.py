@@ -201,6 +201,13 @@ def test_differencing(spark):
     assert html_text.extracted(d.limit(0)).count() == 0
 
 
+def test_shared_passage_stays_in_articles(spark):
+    said = "A passage that three articles quote"
+    pages = [(i, f"http://h.org/a/{i}", page(f"<article><p>{f'Own words of page {i} '.strip() * 9}</p><p>{said}</p></article>")) for i in range(3)]
+    got = html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and all(r["text"].split("\n")[1:] == [said] for r in got)
+
+
 def test_pipeline_stages_on_planted_rows(spark):
     rng = random.Random(13)
     prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
