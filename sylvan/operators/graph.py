@@ -14,6 +14,7 @@ from ..functions.geo import haversine_m
 from ..functions.numeric import js_round
 from ..functions.session import cut_lineage
 from .cells import is_circulation, road_tier
+from .ranking import exact_rank
 from .reports import graph_degree
 from .spatial import assign_points_to_polygons, middle_vertex, sum_per_cell
 
@@ -138,9 +139,42 @@ def _waves(start: DataFrame, links: DataFrame, keys, frm: str, to: str, factor)
     return out.groupBy(*idx, "node").agg(F.sum("value").alias("value"))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, group_cols=PARK) -> DataFrame:
+def pivots(edges: DataFrame, group_cols=PARK, n: int = 500) -> DataFrame:
+    """Pivot sources (group, src, pivot): ``n`` nodes of each group in the order of a hash of the node, all of them in smaller groups."""
+    keys = list(group_cols)
+    order = [F.xxhash64("node"), F.col("node")]
+    ranked = exact_rank(graph_nodes(edges, keys), keys, order, "pivot")
+    return ranked.filter(F.col("pivot") <= n).select(*keys, F.col("node").alias("src"), "pivot")
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame, group_cols=PARK, batch: int | None = None) -> DataFrame:
     """Weighted betweenness from a table of pivot sources, normalised and rescaled by N/k.
 
+    With ``batch``, ``pivots`` has a column pivot (1, 2, ... in each group), and so many pivots of
+    each group are searched at a time, which bounds the state; the dependencies of all are summed.
+    """
+    keys = list(group_cols)
+    if batch:
+        pivots = cut_lineage(pivots)
+        last = pivots.agg(F.max("pivot")).first()[0] or 0
+        parts = [cut_lineage(dependencies(edges, pivots.filter(F.col("pivot").between(i, i + batch - 1)).select(*keys, "src"), keys)) for i in range(1, last + 1, batch)]
+    else:
+        parts = [dependencies(edges, pivots, keys)]
+    dep = parts[0] if parts else dependencies(edges, pivots.select(*keys, "src"), keys)
+    for p in parts[1:]:
+        dep = dep.unionByName(p)
+    dep = dep.groupBy(*keys, "node").agg(F.sum("_b").alias("_b"))
+    nodes = graph_nodes(edges, keys)
+    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    k = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    j = nodes.join(dep, [*keys, "node"], "left").join(n, keys).join(k, keys)
+    scale = F.col("_n") / F.col("_k") / ((F.col("_n") - 1) * (F.col("_n") - 2))
+    return j.select(*keys, "node", F.when(F.col("_n") > 2, F.coalesce("_b", F.lit(0.0)) * scale).otherwise(F.coalesce("_b", F.lit(0.0))).alias("betweenness"))
+
+
+def dependencies(edges: DataFrame, pivots: DataFrame, group_cols=PARK) -> DataFrame:
+    """Sum of the dependencies of all pivots on each node: (group, node, _b).
+
     Path counts and dependencies are linear, so both are sums over waves along the
     shortest-path graph: forward from the pivot for the counts, backward for the
     dependencies.  No ordering of nodes and no per-source program is needed.
@@ -159,13 +193,7 @@ def betweenness(edges: DataFrame, pivots: DataFrame, group_cols=PARK) -> DataFra
     links = cut_lineage(dag.join(su, [*idx, "u"]).join(sv, [*idx, "v"]).select(*idx, "u", "v", (F.col("_su") / F.col("_sv")).alias("_f")))
     first = links.groupBy(*idx, F.col("u").alias("node")).agg(F.sum("_f").alias("value"))
     delta = _waves(first, links, keys, "v", "u", F.col("_f"))
-    dep = delta.filter(F.col("node") != F.col("src")).groupBy(*keys, "node").agg(F.sum("value").alias("_b"))
-    nodes = graph_nodes(edges, keys)
-    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    k = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    j = nodes.join(dep, [*keys, "node"], "left").join(n, keys).join(k, keys)
-    scale = F.col("_n") / F.col("_k") / ((F.col("_n") - 1) * (F.col("_n") - 2))
-    return j.select(*keys, "node", F.when(F.col("_n") > 2, F.coalesce("_b", F.lit(0.0)) * scale).otherwise(F.coalesce("_b", F.lit(0.0))).alias("betweenness"))
+    return delta.filter(F.col("node") != F.col("src")).groupBy(*keys, "node").agg(F.sum("value").alias("_b"))
 
 
 def bfs_paths(adjacency: DataFrame, pairs: DataFrame, group_cols=()) -> DataFrame:

@@ -9,7 +9,6 @@ from ..functions.formulas import CIRCULATION
 from ..functions.numeric import js_round
 from ..operators import cells as cl
 from ..operators import graph as gr
-from ..operators import ranking as rk
 from ..operators import spatial as sp
 from ..sources import adapters as ad
 from .registry import query
@@ -230,15 +229,11 @@ def _(spark, sf):
     return gr.cell_barriers(ad.road_shapes(spark, sf), ad.cell_polygons(spark, sf))
 
 
+#: Sources of each network searched at a time.
+PIVOT_BATCH = 250
 PIV = "pdeg AS (SELECT park_id, u AS src, count(*) AS d FROM sym GROUP BY ALL), piv AS (SELECT park_id, src FROM (SELECT *, row_number() OVER (PARTITION BY park_id ORDER BY d DESC, src) AS r FROM pdeg) WHERE r <= 5)"
 
 
-def _pivots(edges):
-    """Pivot sources: the five best-connected nodes of each network."""
-    deg = gr.both_directions(edges).groupBy("park_id", "u").agg(F.count(F.lit(1)).alias("d"))
-    return rk.top_n_by(deg, "d", 5, P, seq="u").select("park_id", F.col("u").alias("src"))
-
-
 @query("closeness", f"WITH RECURSIVE {EDGES}, src AS (SELECT DISTINCT park_id, u AS src FROM sym), {sssp('src')}, n AS (SELECT park_id, count(*) AS n FROM src GROUP BY park_id), g AS (SELECT park_id, src, count(*) AS reached, sum(distance) AS s FROM sssp GROUP BY ALL) "
        f"SELECT g.park_id, src AS node, reached, {js('coalesce((reached - 1) / nullif(s, 0) * ((reached - 1) / CAST(nullif(n - 1, 0) AS DOUBLE)), 0e0)', 9)} AS closeness FROM g JOIN n USING (park_id)")
 def _(spark, sf):
@@ -254,8 +249,9 @@ dw(park_id, src, node, value, k) AS (SELECT park_id, src, u, sum(f), 0 FROM lk G
 bt AS (SELECT park_id, node, sum(value) AS b FROM dw WHERE node <> src GROUP BY ALL), nn AS (SELECT DISTINCT park_id, u AS node FROM sym), cn AS (SELECT park_id, count(*) AS n FROM nn GROUP BY park_id), ck AS (SELECT park_id, count(*) AS k FROM piv GROUP BY park_id)
 SELECT nn.park_id, nn.node, {js('coalesce(b, 0e0) * (n / CAST(k AS DOUBLE) / ((n - 1) * (n - 2)))', 9)} AS betweenness FROM nn LEFT JOIN bt ON bt.park_id = nn.park_id AND bt.node = nn.node JOIN cn ON cn.park_id = nn.park_id JOIN ck ON ck.park_id = nn.park_id""")
 def _(spark, sf):
+    # min(500, N) sources of each network, as in the reference
     e = gr.cut_lineage(gr.routing_edges(ad.roads(spark, sf)))
-    return sp.rounded(gr.betweenness(e, gr.cut_lineage(_pivots(e))), ["betweenness"], 9)
+    return sp.rounded(gr.betweenness(e, gr.pivots(e), batch=PIVOT_BATCH), ["betweenness"], 9)
 
 
 JOUR = "jn AS (SELECT o_custkey // 900 AS package_id, o_orderkey AS journey_id, o_orderpriority AS persona_id, CAST(1 + o_orderkey % 4 AS DOUBLE) AS weight, l_linenumber * 100 + l_suppkey AS position, l_partkey AS part_id, l_partkey % 44 AS space FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

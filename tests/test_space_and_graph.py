@@ -150,6 +150,21 @@ def test_paths_closeness_betweenness(spark):
         assert got[v] == pytest.approx(between[v] / ((n - 1) * (n - 2)))
 
 
+def test_betweenness_query_uses_all_nodes_of_small_networks(spark, monkeypatch):
+    from sylvan.plans import QUERIES, spatial_queries
+
+    es, _ = graph_fixture()
+    e = edges_of(spark, es)
+    src = gr.graph_nodes(e).select("park_id", F.col("node").alias("src"))
+    assert src.count() > 5
+    want = {r.node: r.betweenness for r in gr.betweenness(e, src).collect()}
+    monkeypatch.setattr(spatial_queries.ad, "roads", lambda *_: None)
+    monkeypatch.setattr(spatial_queries.gr, "routing_edges", lambda _: e)
+    monkeypatch.setattr(spatial_queries, "PIVOT_BATCH", 4)
+    got = {r.node: r.betweenness for r in QUERIES["betweenness"](spark, None).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and gr.pivots(e, n=5).count() == 5
+
+
 def test_bfs_takes_first_discoverer(spark):
     adj = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "d", 3), ("c", "d", 4), ("d", "e", 5)], "source string, target string, seq int")
     pairs = spark.createDataFrame([("a", "e"), ("e", "a"), ("a", "z"), ("a", "a")], "start string, end string")
