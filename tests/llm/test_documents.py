@@ -186,6 +186,18 @@ def test_page_lines():
     assert html_text.page_lines("<div>" * 50_000 + "x") == [("x", False)]
 
 
+def test_article_in_a_wrapper_with_a_telling_name():
+    text = "<article><p>First of the article<p>Second</article>"
+    for wrapper in ("div class='layout has-sidebar'", "div class='content no-ads'", "div id='search-results'", "div class='search'", "div id=content role=search", "form", "div class=widget><section class=overlay"):
+        lines = html_text.page_lines(page(f"<div>Hi</div><{wrapper}>{text}</{wrapper.split()[0]}><p>by"))
+        assert lines == [("First of the article", True), ("Second", True)], wrapper
+        assert html_text.page_lines(page(f"<{wrapper}><main><p>One</main></{wrapper.split()[0]}>")) == [("One", True)], wrapper
+    own = "<div>The text of a page without article, longer than its teasers</div>"
+    assert html_text.page_lines(page(f"{own}<div class='related'>{text}</div>"))[0][0] == "The text of a page without article, longer than its teasers"
+    assert html_text.page_lines(page(f"<article>Own</article><div class='related'>{text}</div>")) == [("Own", True)]
+    assert html_text.page_lines(page(f"<aside>{text}</aside><div hidden>{text}</div><div class='cookie-notice'>no</div><article class='comment'>no</article>")) == []
+
+
 def test_differencing(spark):
     frame = "<div>Welcome to our site, enjoy</div><div>{}</div><div>Second part of page {}</div><div>All about this site and more</div>"
     pages = [(i, f"http://h.org/a/{i}", f"<body>{frame.format('Own words of page ' + str(i) * 30, i)}</body>") for i in range(6)]
