@@ -213,6 +213,21 @@ def test_differencing(spark):
     assert html_text.extracted(d.limit(0)).count() == 0
 
 
+def test_differencing_with_a_long_frame_and_copies(spark):
+    frame = [f"Frame line {i} of the site, as long as it is" for i in range(7)]
+    body = lambda *own: "".join(f"<div>{x}</div>" for x in (*frame[:4], *own, *frame[4:]))
+    texts = [f"Own words of page {i}, in one line of length" for i in range(3)]
+    own = [(i, f"http://h.org/a/{i}", body(f"{t} 1", f"{t} 2", f"{t} 3"), [f"{t} {k}" for k in (1, 2, 3)]) for i, t in enumerate(texts)]
+    assert all(sum(map(len, frame)) > 0.69 * (sum(map(len, frame)) + sum(map(len, x[3]))) for x in own)
+    # nine equal copies in a row, nine excerpts of one text in a row, then another page
+    own += [(10 + i, f"http://c.org/a/{i}", body("Copied text"), ["Copied text"]) for i in range(9)] + [(19, "http://c.org/z", body("Other text"), ["Other text"])]
+    own += [(20 + i, f"http://n.org/a/{i}", body(*[f"Part {k}" for k in range(i + 1)]), [f"Part {k}" for k in range(i + 1)]) for i in range(9)] + [(30 + i, f"http://n.org/z/{i}", body(f"Other {i}"), [f"Other {i}"]) for i in range(16)]
+    # the only page that is no copy stands three places away
+    own += [(50 + i, f"http://t.org/a/{i}", body(*[f"Part {k}" for k in range(i + 1)]), [f"Part {k}" for k in range(i + 1)]) for i in range(3)] + [(53, "http://t.org/z", body("Other"), ["Other"])]
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame([x[:3] for x in own], "page_id long, url string, html string")).collect()}
+    assert got == {x[0]: "\n".join(x[3]) for x in own}
+
+
 def test_shared_passage_stays_in_articles(spark):
     said = "A passage that three articles quote"
     pages = [(i, f"http://h.org/a/{i}", page(f"<article><p>{f'Own words of page {i} '.strip() * 9}</p><p>{said}</p></article>")) for i in range(3)]
