@@ -123,7 +123,8 @@ def scanned(docs: DataFrame) -> DataFrame:
         # a chunk is a sentence, wrapped or not; else its lines are tried on their own
         return let(F.array(identifier(chunk)), lambda own: F.when(own[0].isNotNull(), own).otherwise(F.transform(F.split(chunk, "\n"), identifier)))
 
-    any_cue = f"(?i){CUE}|(?:licensed|released|distributed|published|provided|available)[\\x20\\x09-\\x0D]+under"
+    # as wide as the rules: what normalisation turns into a blank may stand between the words
+    any_cue = "(?i)" + f"{CUE}|(?:licen[cs]ed|released|distributed|published|provided|available) under".replace(" ", DROPPED)
     found = docs.select("doc_id", F.when(text.rlike(any_cue), F.filter(F.flatten(F.transform(chunks, ids)), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")).alias("ids"),
                         F.when(text.rlike(any_cue), F.size(F.filter(chunks, lambda c: c.rlike(f"(?i){CUE}")))).otherwise(0).cast("long").alias("n_license_like"))
     # each rule in turn reports its license and takes its identifiers out of the sequence

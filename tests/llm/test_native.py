@@ -174,6 +174,12 @@ def test_licenses(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_licenses_with_marks_between_the_words(spark):
+    texts = ["This project is **released** under MIT", "# This project is released\n# under MIT", "All rights **reserved**", "released (under) MIT", "Plain words under a tree, released"]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [("grant:MIT", "MIT"), ("grant:MIT", "MIT"), ("all-rights", ""), ("grant:MIT", "MIT"), ("", "")]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_matches_duckdb(spark, scratch, name):
     duckdb = pytest.importorskip("duckdb")
