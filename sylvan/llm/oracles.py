@@ -136,3 +136,80 @@ def licenses() -> str:
     found as (select doc_id, list_sort(list_distinct(list_concat(got, list_transform(list_filter(string_split(rest, ' '), lambda x: regexp_matches(x, '^(?:grant|spdx):')), lambda x: regexp_replace(x, '^[a-z]+:', ''))))) as l from {last})
     select d.doc_id, coalesce(like_.n, 0)::bigint as n_license_like, coalesce(replace(per.ids, ' ', ','), '') as sentence_ids, coalesce(array_to_string(l, ','), '') as licenses
     from documents d left join per on d.doc_id = per.doc_id left join like_ on d.doc_id = like_.doc_id left join found on d.doc_id = found.doc_id"""
+
+
+def secret_scan() -> str:
+    """Windows are written out one by one, their characters counted anew: nothing is carried from window to window."""
+    key = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    assign = rf"""{key}["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", assign, 0, 0), ("access", "AKIA[A-Z0-9]{16,}", 0, 0), ("hex", "[0-9a-f]{24,}", 0, 0),
+             ("entropy_base64", "[A-Za-z0-9+/_-]{24,}", 24, 4.0), ("entropy_hex", "[0-9A-Fa-f]{20,}", 20, 3.0), ("entropy_upper", "[A-Z0-9]{20,}", 20, 3.7)]
+    raw = " union all ".join(
+        f"select doc_id, {i} as k, '{k}' as kind, {w} as w, {bits}::double as bits, string_split_regex(t, '{p}') as b, regexp_extract_all(t, '{p}') as m from docs where regexp_matches(t, '{p}')"
+        for i, (k, p, w, bits) in enumerate(kinds))
+    allowed = ["[A-Za-z+/_-]+", "[0-9+/_-]+", "(?:[A-Za-z]{0,15}[0-9]{0,4}[+/_-])*[A-Za-z]{0,15}[0-9]{0,4}",
+               "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", ".*(?:EXAMPLE|example).*"]
+    known = " or ".join(f"regexp_full_match(v, '{a}')" for a in allowed)
+    before = r"(?:sha(?:1|224|256|384|512)|md5|commit|revision|integrity|base64)[\x20:=,\x22''-]*$"
+    return rf"""
+    with docs as (select doc_id, coalesce(text, '') as t, row_number() over () as r from documents),
+    raw as ({raw.replace("select doc_id,", "select r,")}),
+    one as (select r, k, kind, w, bits, unnest(b[1:len(m)]) as b, unnest(m) as v, generate_subscripts(m, 1) as i from raw),
+    placed as (select *, (sum(length(b) + length(v)) over (partition by r, k order by i) - length(v))::bigint as s from one),
+    base as (select r, k, kind, s, s + length(v) as e from placed where case k when 0 then length(regexp_extract(v, '{assign}', 1)) >= 6 when 1 then length(v) >= 20 when 2 then length(v) >= 24 end),
+    cand as (select placed.*, s + length(v) as e from placed join docs using (r) where k > 2 and not ({known}) and not regexp_matches(lower(substr(t, greatest(s - 16, 0) + 1, s - greatest(s - 16, 0))), '{before}')),
+    win as (select r, k, s, w, bits, o, substr(v, o, w) as x from (select *, unnest(range(1, length(v) - w + 2)) as o from cand)),
+    chars as (select r, k, s, o, w, bits, ch, count(*) as c from (select *, unnest(string_split(x, '')) as ch from win) group by all),
+    sums as (select r, k, s, o, sum(round(c * log2(c) * 1048576))::bigint as total, any_value(w) as w, any_value(bits) as bits from chars group by r, k, s, o),
+    hot as (select distinct r, k, s from sums where total <= floor((log2(w) - bits) * w * 1048576)),
+    tall as (select c.* from cand c join hot using (r, k, s)),
+    first_ as (select * from tall where k = 3),
+    second as (select * from tall t where k = 4 and not exists (select 1 from first_ f where f.r = t.r and f.s < t.e and t.s < f.e)),
+    third as (select * from tall t where k = 5 and not exists (select 1 from (select * from first_ union all select * from second) f where f.r = t.r and f.s < t.e and t.s < f.e)),
+    every as (select * from base union all select r, k, kind, s, e from first_ union all select r, k, kind, s, e from second union all select r, k, kind, s, e from third),
+    per as (select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, count(*) filter (k > 2) as n_entropy,
+        string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from every group by r)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_entropy, 0) as n_entropy
+    from docs left join per using (r)"""
+
+
+def merkle_manifest(levels: int = 6) -> str:
+    """Places by row numbers; ``levels`` levels in every tree, enough for 16 ** levels rows of a source."""
+    value = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end"
+    leaf = lambda text: "sha256(" + " || ".join([value("doc_id"), value("source"), value("lang"), value("n_chars"), value(text)]) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, b: {step}), 4294967295)"
+
+    def tree(name: str, start: str) -> str:
+        out, nodes = [], start
+        for k in range(levels):
+            out.append(f"{name}r{k} as (select g, pos // 16 as run, string_agg(h, '' order by pos) as slots, any_value(n) as n from {nodes} where n > 1 group by g, pos // 16)")
+            out.append(f"{name}l{k + 1} as (select g, run as pos, sha256(slots) as h, (n + 15) // 16 as n from {name}r{k})")
+            nodes = f"{name}l{k + 1}"
+        tops = " union all ".join(f"select g, h from {t} where n = 1" for t in [start, *[f"{name}l{k + 1}" for k in range(levels)]])
+        return ", ".join([*out, f"{name}top as ({tops})"])
+
+    def way(table: str, name: str, g: str, pos: str) -> str:
+        """Siblings and the fold along a way, one step after the other."""
+        out = []
+        for k in range(levels):
+            p = f"({pos} // {16 ** k})"
+            at = f"64 * ({p} % 16)"
+            a, b = f"substr(r.slots, 1, {at})", f"substr(r.slots, {at} + 65)"
+            out.append(f"""{name}w{k} as (select t.* exclude (sib, fold), sib || coalesce({a} || {b}, '') as sib, case when r.slots is null then fold else sha256({a} || fold || {b}) end as fold
+                from {table} t left join {name}r{k} r on r.g = {g} and r.run = {p} // 16)""")
+            table = f"{name}w{k}"
+        return ", ".join(out)
+
+    last = f"bw{levels - 1}"
+    return f"""
+    with d as (select doc_id, coalesce('=' || source, '-') as src, {leaf("text")} as h, case when doc_id is not null and ({crc}) % 5 = 0 then {leaf(low)} else {leaf("text")} end as other from documents),
+    a0 as (select src as g, doc_id, h, other, row_number() over (partition by src order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by src) as n from d),
+    {tree("a", "a0")},
+    b0 as (select '' as g, g as src, h, row_number() over (order by g) - 1 as pos, count(*) over () as n from atop),
+    {tree("b", "b0")},
+    s as (select a0.*, b0.h as subroot, b0.pos as spos, '' as sib, other as fold from a0 join b0 on b0.src = a0.g),
+    {way("s", "a", "t.g", "pos")},
+    {way(f"aw{levels - 1}", "b", "''", "spos")}
+    select doc_id, {last}.h as leaf, subroot, btop.h as root, sha256(sib) as proof_sha256, fold as folded_root, fold = btop.h as verified from {last}, btop"""

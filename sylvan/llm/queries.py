@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, licenses, oracles, pii, quality, simhash, token_counts, token_store, url_filter
+from . import bpe, decontaminate, html_text, licenses, merkle, oracles, pii, quality, secrets_scan, simhash, token_counts, token_store, url_filter, whitening
 from .common import pick, read
 
 QUERIES: dict = {}
@@ -85,3 +85,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
     return token_counts.counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_secret_scan", oracles.secret_scan())
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scanned(pick(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    base = [p[0] for p in secrets_scan.PATTERNS]
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base], F.sha2(secrets_scan.joined(of(*base)), 256).alias("base_sha256"),
+        secrets_scan.joined(F.col("secrets")).alias("spans"), (F.size("secrets") - F.size(of(*base))).cast("long").alias("n_entropy"))
+
+
+@query("op13_merkle_manifest", oracles.merkle_manifest())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = merkle.build(pick(read(spark, sf_dir, "documents"), *merkle.FIELDS), tampered=merkle.lowered_sample())
+    root = F.lit(m.root).cast("string")
+    folded = merkle.folded(F.coalesce("other", "leaf"), F.col("way"))
+    out = merkle.proofs(m).select(F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(merkle.siblings(F.col("way")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model, error = whitening.whitened(pick(read(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]) if model is not None and len(model.values) else F.array().cast("array<double>")
+    return out.select(
+        F.col("key").alias("vec_id"), "component", F.lit(model.n if model else None).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("component") - 1).alias("explained"), F.lit(error).alias("identity_error"))
