@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,24 @@ def written_table(df: DataFrame) -> DataFrame:
     path = os.path.join(spark.sparkContext.getCheckpointDir(), "tables", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it on their path; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # the driver serves the file itself, so its own temporary folder will do
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sylvan_core.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

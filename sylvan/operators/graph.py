@@ -1,7 +1,7 @@
 """Road-graph operators: routing edges, shortest paths, centrality, paths and flows.
 
-Iterative work keeps one state table per round on the shared checkpoint folder; only the
-rows that changed take part in the next join.
+Searches by length run in :mod:`.overlay`: exact inside the parts of a network, joined over the ends
+of the edges between them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.formulas import R_EARTH_ETL, WALK_SPEED
 from ..functions.geo import haversine_m
 from ..functions.numeric import js_round
-from ..functions.session import cut_lineage
+from ..functions.session import cut_lineage, written_table
+from . import overlay
 from .cells import is_circulation, road_tier
 from .ranking import exact_rank
 from .reports import graph_degree
@@ -50,27 +51,14 @@ def entrance_node(nodes: DataFrame, group_cols=PARK) -> DataFrame:
     return g.select(*group_cols, F.col("_e.node").alias("src"), F.col("_e.lng").alias("entrance_lng"), F.col("_e.lat").alias("entrance_lat"), F.col("_e.snap_m").alias("snap_m"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, group_cols=PARK, max_distance: float | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, group_cols=PARK, max_distance: float | None = None, most: int = overlay.MOST) -> DataFrame:
     """Shortest distance from every source to every reachable node: (group, src, node, distance).
 
-    Relaxation over joins: the nodes whose distance improved meet their edges, candidates are
-    reduced to the minimum before the state is updated.  ``max_distance`` bounds the search
-    (20 minutes of walking need 1600 m).
+    Networks of more than ``most`` nodes are cut into parts, see :mod:`.overlay`.  ``max_distance``
+    bounds the search (20 minutes of walking need 1600 m).
     """
     keys = list(group_cols)
-    sym = cut_lineage(both_directions(edges, keys))
-    state = sources.select(*keys, "src", F.col("src").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("_new"))
-    while True:
-        front = state.filter("_new").select(*keys, "src", F.col("node").alias("u"), "distance")
-        cand = front.join(sym, [*keys, "u"]).select(*keys, "src", F.col("v").alias("node"), (F.col("distance") + F.col("length")).alias("_c"))
-        if max_distance is not None:
-            cand = cand.filter(F.col("_c") <= max_distance)
-        cand = cand.groupBy(*keys, "src", "node").agg(F.min("_c").alias("_c"))
-        merged = state.drop("_new").join(cand, [*keys, "src", "node"], "full_outer")
-        better = F.col("_c").isNotNull() & (F.col("distance").isNull() | (F.col("_c") < F.col("distance")))
-        state = cut_lineage(merged.select(*keys, "src", "node", F.when(better, F.col("_c")).otherwise(F.col("distance")).alias("distance"), better.alias("_new")))
-        if state.filter("_new").isEmpty():
-            return state.drop("_new")
+    return overlay.distances(overlay.network(edges, keys, most), sources, max_distance)
 
 
 def cell_network_distance(dist: DataFrame, nodes: DataFrame, polygons: DataFrame, group_cols=PARK, **kw) -> DataFrame:
@@ -113,87 +101,61 @@ def graph_nodes(edges: DataFrame, group_cols=PARK) -> DataFrame:
     return edges.select(*group_cols, F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def closeness(edges: DataFrame, sources: DataFrame, group_cols=PARK) -> DataFrame:
+def closeness(edges: DataFrame, sources: DataFrame, group_cols=PARK, net: overlay.Network | None = None) -> DataFrame:
     """Closeness of each source with the component-size correction: (r-1)/sum(d) * (r-1)/(N-1)."""
     keys = list(group_cols)
-    n = graph_nodes(edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    g = shortest_paths(edges, sources, keys).groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("reached"), F.sum("distance").alias("_s"))
+    net = net or overlay.network(edges, keys)
+    n = net.nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     r = F.col("reached") - 1
-    c = F.coalesce(F.try_divide(r, "_s") * F.try_divide(r, F.col("_n") - 1), F.lit(0.0))
-    return g.join(n, keys).select(*keys, F.col("src").alias("node"), "reached", c.alias("closeness"))
+    c = F.coalesce(F.try_divide(r, "total") * F.try_divide(r, F.col("_n") - 1), F.lit(0.0))
+    return overlay.totals(net, sources).join(n, keys).select(*keys, F.col("src").alias("node"), "reached", c.alias("closeness"))
 
 
-def _waves(start: DataFrame, links: DataFrame, keys, frm: str, to: str, factor) -> DataFrame:
-    """Sum of repeated propagation: value(to) = sum(value(from) * factor), wave after wave, until none is left."""
-    idx = [*keys, "src"]
-    wave, parts = cut_lineage(start), []
-    while True:
-        parts.append(wave)
-        nxt = wave.withColumnRenamed("node", frm).join(links, [*idx, frm]).groupBy(*idx, F.col(to).alias("node")).agg(F.sum(F.col("value") * factor).alias("value"))
-        wave = cut_lineage(nxt)
-        if wave.isEmpty():
-            break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*idx, "node").agg(F.sum("value").alias("value"))
+#: Sources of the betweenness of one network.
+PIVOTS = 500
 
 
-def pivots(edges: DataFrame, group_cols=PARK, n: int = 500) -> DataFrame:
+def pivots(edges: DataFrame, group_cols=PARK, n: int = PIVOTS) -> DataFrame:
     """Pivot sources (group, src, pivot): ``n`` nodes of each group in the order of a hash of the node, all of them in smaller groups."""
     keys = list(group_cols)
-    order = [F.xxhash64("node"), F.col("node")]
+    order = [F.md5(F.col("node").cast("string").cast("binary")), F.col("node")]
     ranked = exact_rank(graph_nodes(edges, keys), keys, order, "pivot")
     return ranked.filter(F.col("pivot") <= n).select(*keys, F.col("node").alias("src"), "pivot")
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, group_cols=PARK, batch: int | None = None) -> DataFrame:
-    """Weighted betweenness from a table of pivot sources, normalised and rescaled by N/k.
-
-    With ``batch``, ``pivots`` has a column pivot (1, 2, ... in each group), and so many pivots of
-    each group are searched at a time, which bounds the state; the dependencies of all are summed.
-    """
+def betweenness(edges: DataFrame, pivots: DataFrame, group_cols=PARK, net: overlay.Network | None = None) -> DataFrame:
+    """Weighted betweenness from a table of pivot sources, normalised and rescaled by N/k."""
     keys = list(group_cols)
-    if batch:
-        pivots = cut_lineage(pivots)
-        last = pivots.agg(F.max("pivot")).first()[0] or 0
-        parts = [cut_lineage(dependencies(edges, pivots.filter(F.col("pivot").between(i, i + batch - 1)).select(*keys, "src"), keys)) for i in range(1, last + 1, batch)]
-    else:
-        parts = [dependencies(edges, pivots, keys)]
-    dep = parts[0] if parts else dependencies(edges, pivots.select(*keys, "src"), keys)
-    for p in parts[1:]:
-        dep = dep.unionByName(p)
-    dep = dep.groupBy(*keys, "node").agg(F.sum("_b").alias("_b"))
-    nodes = graph_nodes(edges, keys)
-    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    net = net or overlay.network(edges, keys)
+    pivots = cut_lineage(pivots.select(*keys, "src"))
+    dep = overlay.dependencies(net, pivots)
+    n = net.nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     k = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    j = nodes.join(dep, [*keys, "node"], "left").join(n, keys).join(k, keys)
+    j = net.nodes.select(*keys, "node").join(dep, [*keys, "node"], "left").join(n, keys).join(k, keys)
     scale = F.col("_n") / F.col("_k") / ((F.col("_n") - 1) * (F.col("_n") - 2))
-    return j.select(*keys, "node", F.when(F.col("_n") > 2, F.coalesce("_b", F.lit(0.0)) * scale).otherwise(F.coalesce("_b", F.lit(0.0))).alias("betweenness"))
+    x = F.coalesce("dependency", F.lit(0.0))
+    return j.select(*keys, "node", F.when(F.col("_n") > 2, x * scale).otherwise(x).alias("betweenness"))
 
 
-def dependencies(edges: DataFrame, pivots: DataFrame, group_cols=PARK) -> DataFrame:
-    """Sum of the dependencies of all pivots on each node: (group, node, _b).
+def space_syntax(edges: DataFrame, positions: DataFrame, group_cols=PARK, n_pivots: int = PIVOTS) -> DataFrame:
+    """Integration and Choice of every node with a position: 0-100 within its network, two decimals, with position and degree.
 
-    Path counts and dependencies are linear, so both are sums over waves along the
-    shortest-path graph: forward from the pivot for the counts, backward for the
-    dependencies.  No ordering of nodes and no per-source program is needed.
+    Integration is the closeness from every node, Choice the betweenness from the pivots.
     """
     keys = list(group_cols)
-    idx = [*keys, "src"]
-    dist = cut_lineage(shortest_paths(edges, pivots, keys))
-    sym = both_directions(edges, keys)
-    a = dist.select(*idx, F.col("node").alias("u"), F.col("distance").alias("_du"))
-    b = dist.select(*idx, F.col("node").alias("v"), F.col("distance").alias("_dv"))
-    dag = a.join(sym, [*keys, "u"]).join(b, [*idx, "v"]).filter(F.col("_du") + F.col("length") == F.col("_dv")).select(*idx, "u", "v")
-    dag = cut_lineage(dag)
-    sigma = _waves(pivots.select(*keys, "src", F.col("src").alias("node"), F.lit(1.0).alias("value")), dag, keys, "u", "v", F.lit(1.0))
-    su = sigma.select(*idx, F.col("node").alias("u"), F.col("value").alias("_su"))
-    sv = sigma.select(*idx, F.col("node").alias("v"), F.col("value").alias("_sv"))
-    links = cut_lineage(dag.join(su, [*idx, "u"]).join(sv, [*idx, "v"]).select(*idx, "u", "v", (F.col("_su") / F.col("_sv")).alias("_f")))
-    first = links.groupBy(*idx, F.col("u").alias("node")).agg(F.sum("_f").alias("value"))
-    delta = _waves(first, links, keys, "v", "u", F.col("_f"))
-    return delta.filter(F.col("node") != F.col("src")).groupBy(*keys, "node").agg(F.sum("value").alias("_b"))
+    edges = cut_lineage(edges)
+    net = overlay.network(edges, keys)
+    close = closeness(edges, net.nodes.select(*keys, F.col("node").alias("src")), keys, net).select(*keys, "node", "closeness")
+    j = written_table(close.join(betweenness(edges, pivots(edges, keys, n_pivots), keys, net), [*keys, "node"]))
+    ends = j.groupBy(*keys).agg(*[f(c).alias(f"_{name}_{c}") for c in ("closeness", "betweenness") for name, f in (("lo", F.min), ("hi", F.max))])
+
+    def scaled(c: str):
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        return F.bround((F.col(c) - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo) * 100.0, 2)
+
+    degree = edges.select(*keys, F.explode(F.array("a", "b")).alias("node")).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("degree"))
+    out = j.join(ends, keys).join(degree, [*keys, "node"]).join(positions.select(*keys, "node", "lng", "lat"), [*keys, "node"])
+    return out.select(*keys, "node", "lng", "lat", scaled("closeness").alias("integration"), scaled("betweenness").alias("choice"), "degree")
 
 
 def bfs_paths(adjacency: DataFrame, pairs: DataFrame, group_cols=()) -> DataFrame:

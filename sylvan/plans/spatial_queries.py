@@ -229,9 +229,7 @@ def _(spark, sf):
     return gr.cell_barriers(ad.road_shapes(spark, sf), ad.cell_polygons(spark, sf))
 
 
-#: Sources of each network searched at a time.
-PIVOT_BATCH = 250
-PIV = "pdeg AS (SELECT park_id, u AS src, count(*) AS d FROM sym GROUP BY ALL), piv AS (SELECT park_id, src FROM (SELECT *, row_number() OVER (PARTITION BY park_id ORDER BY d DESC, src) AS r FROM pdeg) WHERE r <= 5)"
+PIV = f"pnode AS (SELECT DISTINCT park_id, u AS src FROM sym), piv AS (SELECT park_id, src FROM (SELECT *, row_number() OVER (PARTITION BY park_id ORDER BY md5(src::VARCHAR), src) AS r FROM pnode) WHERE r <= {gr.PIVOTS})"
 
 
 @query("closeness", f"WITH RECURSIVE {EDGES}, src AS (SELECT DISTINCT park_id, u AS src FROM sym), {sssp('src')}, n AS (SELECT park_id, count(*) AS n FROM src GROUP BY park_id), g AS (SELECT park_id, src, count(*) AS reached, sum(distance) AS s FROM sssp GROUP BY ALL) "
@@ -242,16 +240,29 @@ def _(spark, sf):
     return sp.rounded(gr.closeness(e, src), ["closeness"], 9)
 
 
-@query("betweenness", f"""WITH RECURSIVE {EDGES}, {PIV}, {sssp('piv')}, dag AS (SELECT a.park_id, a.src, a.node AS u, b.node AS v FROM sssp a JOIN sym e ON e.park_id = a.park_id AND e.u = a.node JOIN sssp b ON b.park_id = a.park_id AND b.src = a.src AND b.node = e.v WHERE a.distance + e.length = b.distance),
+BETW = f"""dag AS (SELECT a.park_id, a.src, a.node AS u, b.node AS v FROM sssp a JOIN sym e ON e.park_id = a.park_id AND e.u = a.node JOIN sssp b ON b.park_id = a.park_id AND b.src = a.src AND b.node = e.v WHERE a.distance + e.length = b.distance),
 sw(park_id, src, node, value, k) AS (SELECT park_id, src, src, 1e0, 0 FROM piv UNION ALL SELECT w.park_id, w.src, d.v, sum(w.value), w.k + 1 FROM sw w JOIN dag d ON d.park_id = w.park_id AND d.src = w.src AND d.u = w.node GROUP BY w.park_id, w.src, d.v, w.k),
 sg AS (SELECT park_id, src, node, sum(value) AS s FROM sw GROUP BY ALL), lk AS (SELECT d.*, a.s / b.s AS f FROM dag d JOIN sg a ON a.park_id = d.park_id AND a.src = d.src AND a.node = d.u JOIN sg b ON b.park_id = d.park_id AND b.src = d.src AND b.node = d.v),
 dw(park_id, src, node, value, k) AS (SELECT park_id, src, u, sum(f), 0 FROM lk GROUP BY park_id, src, u UNION ALL SELECT w.park_id, w.src, l.u, sum(w.value * l.f), w.k + 1 FROM dw w JOIN lk l ON l.park_id = w.park_id AND l.src = w.src AND l.v = w.node GROUP BY w.park_id, w.src, l.u, w.k),
-bt AS (SELECT park_id, node, sum(value) AS b FROM dw WHERE node <> src GROUP BY ALL), nn AS (SELECT DISTINCT park_id, u AS node FROM sym), cn AS (SELECT park_id, count(*) AS n FROM nn GROUP BY park_id), ck AS (SELECT park_id, count(*) AS k FROM piv GROUP BY park_id)
-SELECT nn.park_id, nn.node, {js('coalesce(b, 0e0) * (n / CAST(k AS DOUBLE) / ((n - 1) * (n - 2)))', 9)} AS betweenness FROM nn LEFT JOIN bt ON bt.park_id = nn.park_id AND bt.node = nn.node JOIN cn ON cn.park_id = nn.park_id JOIN ck ON ck.park_id = nn.park_id""")
+bt AS (SELECT park_id, node, sum(value) AS b FROM dw WHERE node <> src GROUP BY ALL), nn AS (SELECT DISTINCT park_id, u AS node FROM sym), cn AS (SELECT park_id, count(*) AS n FROM nn GROUP BY park_id), ck AS (SELECT park_id, count(*) AS k FROM piv GROUP BY park_id)"""
+BETW_SELECT = f"""SELECT nn.park_id, nn.node, {js('coalesce(b, 0e0) * (n / CAST(k AS DOUBLE) / ((n - 1) * (n - 2)))', 9)} AS betweenness FROM nn LEFT JOIN bt ON bt.park_id = nn.park_id AND bt.node = nn.node JOIN cn ON cn.park_id = nn.park_id JOIN ck ON ck.park_id = nn.park_id"""
+
+
+@query("betweenness", f"WITH RECURSIVE {EDGES}, {PIV}, {sssp('piv')}, {BETW} {BETW_SELECT}")
 def _(spark, sf):
-    # min(500, N) sources of each network, as in the reference
+    # min(500, N) sources of each network
     e = gr.cut_lineage(gr.routing_edges(ad.roads(spark, sf)))
-    return sp.rounded(gr.betweenness(e, gr.pivots(e), batch=PIVOT_BATCH), ["betweenness"], 9)
+    return sp.rounded(gr.betweenness(e, gr.pivots(e)), ["betweenness"], 9)
+
+
+@query("space_syntax", f"""WITH RECURSIVE {EDGES}, {CNODES}, {PIV}, {sssp('pnode')}, cs AS (SELECT park_id, src AS node, count(*) AS reached, sum(distance) AS s FROM sssp GROUP BY ALL), cn0 AS (SELECT park_id, count(*) AS n FROM pnode GROUP BY park_id),
+cl AS (SELECT park_id, node, coalesce((reached - 1) / nullif(s, 0) * ((reached - 1) / CAST(nullif(n - 1, 0) AS DOUBLE)), 0e0) AS c FROM cs JOIN cn0 USING (park_id)),
+{BETW.replace('FROM sssp a JOIN', 'FROM (SELECT s.* FROM sssp s JOIN piv USING (park_id, src)) a JOIN')}, bw AS ({BETW_SELECT}),
+dg AS (SELECT park_id, u AS node, count(*) AS degree FROM sym GROUP BY ALL), x AS (SELECT park_id, node, c, betweenness AS b FROM cl JOIN bw USING (park_id, node)), mm AS (SELECT park_id, min(c) AS c0, max(c) AS c1, min(b) AS b0, max(b) AS b1 FROM x GROUP BY park_id)
+SELECT park_id, node, lng, lat, round_even((c - c0) / CASE WHEN c1 = c0 THEN 1e0 ELSE c1 - c0 END * 100e0, 2) AS integration, round_even((b - b0) / CASE WHEN b1 = b0 THEN 1e0 ELSE b1 - b0 END * 100e0, 2) AS choice, degree FROM x JOIN mm USING (park_id) JOIN dg USING (park_id, node) JOIN nodes USING (park_id, node)""")
+def _(spark, sf):
+    lines = ad.road_shapes(spark, sf)
+    return gr.space_syntax(gr.routing_edges(lines), gr.node_coordinates(lines.filter(cl.is_circulation())))
 
 
 JOUR = "jn AS (SELECT o_custkey // 900 AS package_id, o_orderkey AS journey_id, o_orderpriority AS persona_id, CAST(1 + o_orderkey % 4 AS DOUBLE) AS weight, l_linenumber * 100 + l_suppkey AS position, l_partkey AS part_id, l_partkey % 44 AS space FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

@@ -160,7 +160,6 @@ def test_betweenness_query_uses_all_nodes_of_small_networks(spark, monkeypatch):
     want = {r.node: r.betweenness for r in gr.betweenness(e, src).collect()}
     monkeypatch.setattr(spatial_queries.ad, "roads", lambda *_: None)
     monkeypatch.setattr(spatial_queries.gr, "routing_edges", lambda _: e)
-    monkeypatch.setattr(spatial_queries, "PIVOT_BATCH", 4)
     got = {r.node: r.betweenness for r in QUERIES["betweenness"](spark, None).collect()}
     assert got == pytest.approx(want, abs=1e-9) and gr.pivots(e, n=5).count() == 5
 
