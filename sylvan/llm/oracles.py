@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import quality as q
-
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
@@ -16,9 +14,13 @@ def rules_cte() -> str:
         "long_words": "coalesce(word_chars / nullif(n_words, 0), 0.0)",
         "short_words": "-coalesce(word_chars / nullif(n_words, 0), 0.0)",
     }
-    grid = ", ".join(f"('{r}', {c}::double)" for r, cuts in q.GRID.items() for c in cuts)
-    value = " ".join(f"when '{r}' then {r}" for r in q.GRID)
-    tests, a = sum(map(len, q.GRID.values())) * (len(q.STRATA) + 1), q.ALPHA / len(q.GRID)
+    # rules and cutoffs stated again: the statement must not follow the operator's table
+    cutoffs = {
+        "symbol_share": "0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5", "dup_line_share": "0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8",
+        "repeat_share": "0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45", "long_words": "8, 9, 10, 12, 15, 20, 30, 50", "short_words": "-4, -3.5, -3, -2.5, -2, -1.5"}
+    grid = " union all ".join(f"select {i} as rank, '{r}' as rule, unnest([{c}]::double[]) as cutoff" for i, (r, c) in enumerate(cutoffs.items()))
+    value = " ".join(f"when '{r}' then {r}" for r in cutoffs)
+    alpha, level = 0.02, "0.05 / 5"
     return rf"""
     raw as (select doc_id, lang, coalesce(text, '') as t, {_WORDS} as w,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
@@ -26,21 +28,26 @@ def rules_cte() -> str:
     again as (select doc_id, g from grams group by all having count(*) > 1),
     spots as (select doc_id, i from grams join again using (doc_id, g)),
     rep as (select doc_id, count(distinct i + k) as n from spots, (values (0), (1), (2)) v(k) group by doc_id),
-    counted as (select raw.doc_id, case when lang in ({", ".join(f"'{s}'" for s in q.STRATA)}) then lang else '{q.OTHER}' end as stratum,
+    counted as (select raw.doc_id, case when lang in ('en', 'de', 'fr', 'es') then lang else 'other' end as stratum,
         len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(lines) as n_lines
         from raw left join rep on raw.doc_id = rep.doc_id),
     measured as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {", ".join(f"{v} as {r}" for r, v in values.items())} from counted),
     good as (select doc_id from labels where doc_id is not null group by doc_id having max(case when quality = 1 then 1 else 0 end) = 1),
-    grid(rule, cutoff) as (values {grid}),
-    risk as (select stratum, rule, cutoff, count(*) as n, count(*) filter (case rule {value} end > cutoff) as k
-        from measured join good using (doc_id) cross join grid where not base_failed group by all),
-    tested as (select *, case when k >= n * {a} then 1.0 else list_sum(list_transform(range(0, k + 1),
-        lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) end as p from risk),
-    cuts as (select stratum, rule, min(cutoff) as cutoff from tested where p <= {q.DELTA} / {tests} group by all),
+    grid as ({grid}),
+    loose as (select *, row_number() over (partition by rule order by cutoff desc) as i, count(*) over (partition by rule) as m from grid),
+    steps as (select rule, cutoff, row_number() over (order by i / m, rank, i) - 1 as step from loose),
+    held as (select doc_id, stratum, n_words, {", ".join(cutoffs)} from measured join good using (doc_id) where not base_failed),
+    firsts as (select stratum, h.doc_id, min(step) as first from held h left join steps on case rule {value} end > cutoff group by all),
+    sizes as (select stratum, count(*) as n from firsts group by stratum),
+    risk as (select stratum, step, any_value(n) as n, count(*) filter (first <= step) as k from firsts join sizes using (stratum) cross join (select distinct step from steps) group by stratum, step),
+    tested as (select *, case when k >= n * {alpha} then 1.0 else list_sum(list_transform(range(0, k + 1),
+        lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) end as p from risk),
+    ends as (select stratum, coalesce(min(step) filter (p > {level}), (select count(*) from steps)) as passed from tested group by stratum),
+    cuts as (select stratum, rule, min(cutoff) as cutoff from ends join steps on step < passed group by all),
     over_cut as (select distinct doc_id, rule from measured join cuts using (stratum) where case rule {value} end > cutoff),
-    blame as (select doc_id, {", ".join(f"max(case when rule = '{r}' then 1 else 0 end) as has_{r}" for r in q.GRID)} from over_cut group by doc_id),
-    judged as (select m.*, not base_failed and b.doc_id is null as kept, concat_ws(',', {", ".join(f"case when has_{r} = 1 then '{r}' end" for r in q.GRID)}) as rejected_by
+    blame as (select doc_id, {", ".join(f"max(case when rule = '{r}' then 1 else 0 end) as has_{r}" for r in cutoffs)} from over_cut group by doc_id),
+    judged as (select m.*, not base_failed and b.doc_id is null as kept, concat_ws(',', {", ".join(f"case when has_{r} = 1 then '{r}' end" for r in cutoffs)}) as rejected_by
         from measured m left join blame b on m.doc_id = b.doc_id)"""
 
 
