@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, ship, written_table
+from .common import ensure_checkpoint_dir, only_tables_of, ship, written_table
 
 SHARD_IDS, SHARD_DOCS = 64_000_000, 500_000
 END_ID = 1
@@ -187,12 +187,14 @@ class Shard:
 class WordEncoder:
     """A tokenizer of the library, called once per distinct word.
 
-    For vocabularies that drop white space: no token then reaches over a blank or line break, so the
-    ids of a text are those of its pieces between them, one after another.  Known pieces are kept up
-    to ``MOST_BYTES``, then forgotten all at once.
+    For vocabularies that drop white space, lower-case, and part letters from marks: no token then
+    reaches over a blank or line break, so the ids of a text are those of its pieces between them,
+    one after another.  Known pieces are kept up to ``MOST_BYTES``, then forgotten all at once.
     """
 
-    MOST_BYTES, PIECES, TOGETHER = 80_000_000, 20_000, 1000
+    MOST_BYTES, PIECES, TOGETHER = 240_000_000, 20_000, 1000
+    #: ASCII marks without the apostrophe, which contractions need.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share out the cores
@@ -204,6 +206,9 @@ class WordEncoder:
         self.held = 0
         if self.library.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this vocabulary keeps white space")
+        one = lambda w: self.library.encode(w, add_special_tokens=False).ids
+        if one("Ab,.") != one("ab") + one(",.") or one("AB***") != one("ab") + one("***"):
+            raise ValueError("this vocabulary keeps capitals, or joins letters and marks")
 
     def vocabulary(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
@@ -223,14 +228,39 @@ class WordEncoder:
         return b"".join(out)
 
     def _learn(self, new: list[str]) -> None:
+        """Marks after a letter are a pre-token of their own and A-Z are lower-cased, so ``Word,`` is ``word`` and ``,``."""
+        apart, need, known = [], set(), self.known
+        for w in new:
+            core, mark = w.rstrip(self.MARKS), ""
+            if core and core[-1].isalpha():
+                mark = w[len(core):]
+            else:
+                core = w
+            if core.isascii():
+                core = core.lower()
+            if core not in known:
+                need.add(core)
+            if mark and mark not in known:
+                need.add(mark)
+            apart.append((w, core, mark))
+        self._ask(list(need))
+        for w, core, mark in apart:
+            if mark:
+                known[w] = known[core] + known[mark]
+            elif w is not core:
+                known[w] = known[core]
+            self.held += 4 * len(w) + 150
+
+    def _ask(self, new: list[str]) -> None:
         """One call for many pieces; a token belongs to the piece its first character lies in."""
         made = self.library.encode(" ".join(new), add_special_tokens=False)
         starts = np.cumsum([0, *(len(w) + 1 for w in new)])
         ids = np.array(made.ids, "<u4")
-        first = np.searchsorted(np.array([a for a, _ in made.offsets], np.int64), starts) if len(ids) else np.zeros(len(starts), np.int64)
+        first = 4 * np.searchsorted(np.array([a for a, _ in made.offsets], np.int64), starts) if len(ids) else np.zeros(len(starts), np.int64)
+        raw = ids.tobytes()
         for w, a, b in zip(new, first[:-1].tolist(), first[1:].tolist()):
-            self.known[w] = ids[a:b].tobytes()
-            self.held += 4 * (len(w) + b - a) + 150
+            self.known[w] = raw[a:b]
+            self.held += 4 * len(w) + b - a + 150
 
 
 @lru_cache(maxsize=2)
@@ -251,6 +281,7 @@ def written_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID
         from pyspark import TaskContext
 
         part, done, shard, end = TaskContext.get().partitionId(), [], None, end_id.to_bytes(4, "little")
+        only_tables_of("token_store", tokenizer.cache_clear)
         own = tokenizer(path)
         width = 2 if max(own.vocabulary() - 1, end_id) < 1 << 16 else 4
 
