@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import only_tables_of, ship
 
 #: Bounds of the tables that grow with the texts; each is emptied when full.
 MAX_STATES, MAX_WORDS, MAX_PAIRS = 250_000, 500_000, 300_000
@@ -375,6 +375,11 @@ def decoder(path: str) -> Decoder:
     return Decoder({i: b for b, i in load_ranks(path).items()})
 
 
+def forget_tables() -> None:
+    encoder.cache_clear()
+    decoder.cache_clear()
+
+
 def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> DataFrame:
     """``df`` with the column ``out`` that ``make()`` computes from ``column``, a few hundred rows at a time."""
     ship(df.sparkSession)
@@ -383,6 +388,7 @@ def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> Dat
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only_tables_of("bpe", forget_tables)
         f = make()
         arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
         for batch in batches:
@@ -424,6 +430,7 @@ def digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only_tables_of("bpe", forget_tables)
         enc, dec = encoder(path, pattern), decoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

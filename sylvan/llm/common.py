@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.session import ensure_checkpoint_dir, written_table
 from ..functions.text import let
 
-__all__ = ["ascii_lower", "ensure_checkpoint_dir", "let", "pick", "read", "ship", "spaced_words", "written_table"]
+__all__ = ["ascii_lower", "ensure_checkpoint_dir", "let", "only_tables_of", "pick", "read", "ship", "spaced_words", "written_table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six white-space characters of the contracts: space and \x09 to \x0D.
@@ -55,3 +57,21 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+_tables: dict[str, Callable[[], None]] = {}
+
+
+def only_tables_of(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called as a task begins in a Python worker: forget the tables that other operators left in it.
+
+    Workers outlive their tasks and serve all stages of a session, so tables of several operators
+    would add up.  ``clear`` forgets the tables that ``owner`` is about to build.
+    """
+    others = [n for n in _tables if n != owner]
+    for n in others:
+        _tables.pop(n)()
+    if others:
+        gc.collect()
+    if clear:
+        _tables[owner] = clear

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import only_tables_of, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of training, and of an entity in pieces.
@@ -334,6 +334,7 @@ def found(docs: DataFrame, field: Field, mask: bool = False) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only_tables_of("pii")
         own = Field(weights)
         arrow = pa.struct([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in kind])
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import exact_rank
-from .common import ship, written_table
+from .common import only_tables_of, ship, written_table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE = 8192
@@ -70,6 +70,7 @@ def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fp") -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only_tables_of("simhash")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -152,6 +153,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only_tables_of("simhash")
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()

@@ -19,8 +19,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import Encoder, encoder
-from .common import ship
+from .bpe import Encoder, encoder, forget_tables
+from .common import only_tables_of, ship
 
 BLOCK = 64
 #: A border is settled once this many characters after it are known.
@@ -177,6 +177,7 @@ def counted(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str],
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only_tables_of("bpe", forget_tables)
         coder = encoder(path, pattern)
 
         def row(text: str) -> tuple:
