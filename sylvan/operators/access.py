@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.numeric import any_of, count_where
+from ..functions.numeric import count_where
+from . import skyline
 from .spatial import _cover, nearest_segment
 
 SITE = ("park_id", "site_id")
@@ -122,15 +123,34 @@ def candidate_summary(c: DataFrame, pairs: DataFrame, group_cols=SITE) -> DataFr
 OBJECTIVES = ["o_combined", "o_additional", "o_overlap", "o_separation", "o_transit", "o_intersections", "o_service_road", "o_low_barrier"]
 
 
-def evaluate_combinations(pairs: DataFrame, c: DataFrame, group_cols=SITE) -> DataFrame:
-    """Every main x secondary x service choice of three different eligible candidates with its 8 minimised objectives."""
+def service_choices(pairs: DataFrame, c: DataFrame, group_cols=SITE, margin: float = 0.0) -> DataFrame:
+    """Candidates worth trying as service entrance beside any pair: fewer than three others beat them on road and barrier.
+
+    A pair rules out two candidates at most, so whatever three others beat is beaten beside every
+    pair.  ``margin``: half a unit or more of the rounding that objectives get afterwards.
+    """
+    e = c.filter("eligible").select(*group_cols, "candidate_id", "road_norm", "barrier_norm")
+    return skyline.band(e, group_cols, "candidate_id", ["road_norm", "barrier_norm"], 3, pairs, ("candidate_a", "candidate_b"), [2 * margin, 6 * margin])
+
+
+def evaluate_combinations(pairs: DataFrame, c: DataFrame, group_cols=SITE, services: DataFrame | None = None, salt: int = 16) -> DataFrame:
+    """Main x secondary x service choices of three different eligible candidates with their 8 minimised objectives.
+
+    All candidates are tried as service entrance, or those in ``services`` (group, candidate_id).
+    Pairs are dealt by site and main entrance, so one site fills ``salt`` tasks.
+    """
     keys = list(group_cols)
     both = pairs.select(*keys, F.inline(F.array(
         F.struct(F.col("candidate_a").alias("main"), F.col("candidate_b").alias("secondary"), F.col("additional_b").alias("_add"), "distance_m", "overlap_ratio", "combined_population"),
         F.struct(F.col("candidate_b").alias("main"), F.col("candidate_a").alias("secondary"), F.col("additional_a").alias("_add"), "distance_m", "overlap_ratio", "combined_population"))))
     n = c.filter("eligible").select(*keys, "candidate_id", "transit_norm", "intersection_norm", "road_norm", "barrier_norm")
     ren = lambda who: n.select(*keys, F.col("candidate_id").alias(who), *[F.col(x).alias(f"{who}_{x}") for x in ("transit_norm", "intersection_norm", "road_norm", "barrier_norm")])
-    t = both.join(ren("main"), [*keys, "main"]).join(ren("secondary"), [*keys, "secondary"]).join(ren("service"), keys).filter((F.col("service") != F.col("main")) & (F.col("service") != F.col("secondary")))
+    third = ren("service")
+    if services is not None:
+        third = third.join(services.withColumnRenamed("candidate_id", "service"), [*keys, "service"], "left_semi")
+    third = third.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    t = both.join(ren("main"), [*keys, "main"]).join(ren("secondary"), [*keys, "secondary"]).withColumn("_s", F.pmod(F.hash("main"), F.lit(salt)))
+    t = t.join(third, [*keys, "_s"]).filter((F.col("service") != F.col("main")) & (F.col("service") != F.col("secondary")))
     return t.select(*keys, "main", "secondary", "service", (-F.col("combined_population")).alias("o_combined"), (-F.col("_add")).alias("o_additional"), F.col("overlap_ratio").alias("o_overlap"), (-F.col("distance_m")).alias("o_separation"),
                     (-(F.col("main_transit_norm") + F.col("secondary_transit_norm"))).alias("o_transit"), (-(F.col("main_intersection_norm") + F.col("secondary_intersection_norm"))).alias("o_intersections"),
                     (-F.col("service_road_norm")).alias("o_service_road"), (-(F.col("main_barrier_norm") + F.col("secondary_barrier_norm") + F.col("service_barrier_norm")) / 3.0).alias("o_low_barrier"))
@@ -138,12 +158,4 @@ def evaluate_combinations(pairs: DataFrame, c: DataFrame, group_cols=SITE) -> Da
 
 def non_dominated(t: DataFrame, group_cols=SITE, objectives=None) -> DataFrame:
     """Combinations that no other combination of the same site beats in one objective without losing in another."""
-    keys, obj = list(group_cols), list(objectives or OBJECTIVES)
-    o = t.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(x).alias(f"_{x}") for x in obj]).distinct()
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    for x in obj:
-        cond = cond & (F.col(f"_{x}") <= F.col(x))
-    return t.join(o, cond & any_of([F.col(f"_{x}") < F.col(x) for x in obj]), "left_anti")
+    return skyline.non_dominated(t, group_cols, objectives or OBJECTIVES)

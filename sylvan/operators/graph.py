@@ -158,26 +158,60 @@ def space_syntax(edges: DataFrame, positions: DataFrame, group_cols=PARK, n_pivo
     return out.select(*keys, "node", "lng", "lat", scaled("closeness").alias("integration"), scaled("betweenness").alias("choice"), "degree")
 
 
+def bfs_tree(adjacency: DataFrame, starts: DataFrame, group_cols=()) -> tuple[DataFrame, int]:
+    """(group, start, node, parent, level) of every node reachable from the starts, and the number of levels.
+
+    ``adjacency``: source, target, seq (neighbours are tried in seq order, both directions); of
+    several edges between two nodes the first counts.  A node belongs to its first discoverer: the
+    one that stands first in its own level, which is the order of (parent's place, seq).  A
+    neighbour of a level lies in the level before, the same or the next one, so two levels are all
+    that is looked at; the visited set is never read or rewritten.
+    """
+    keys = list(group_cols)
+    both = F.array(F.struct(F.col("source").alias("u"), F.col("target").alias("v"), F.col("seq").cast("long").alias("q")), F.struct(F.col("target").alias("u"), F.col("source").alias("v"), F.col("seq").cast("long").alias("q")))
+    adj = adjacency.select(*keys, F.inline(both)).filter(F.col("u") != F.col("v"))
+    adj = written_table(adj.groupBy(*keys, "u", "v").agg(F.min("q").alias("q")))
+    own = [*keys, "start"]
+    level = written_table(starts.select(*own).distinct().select(*own, F.col("start").alias("node"), F.col("start").alias("parent"), F.lit(1).cast("long").alias("place"), F.lit(0).alias("level")))
+    levels, before = [], level
+    while not level.isEmpty():
+        levels.append(level)
+        cand = level.select(*own, F.col("node").alias("u"), "place").join(adj, [*keys, "u"])
+        cand = cand.groupBy(*own, F.col("v").alias("node")).agg(F.min(F.struct("place", "q", "u")).alias("m"))
+        old = level.select(*own, "node").unionByName(before.select(*own, "node"))
+        fresh = cand.join(old, [*own, "node"], "left_anti")
+        place = F.row_number().over(W.partitionBy(*own).orderBy("m.place", "m.q", "node")).cast("long")
+        before, level = level, written_table(fresh.select(*own, "node", F.col("m.u").alias("parent"), place.alias("place"), F.lit(len(levels)).alias("level")))
+    out = (levels or [level])[0]
+    for t in levels[1:]:
+        out = out.unionByName(t)
+    return out.drop("place"), len(levels)
+
+
 def bfs_paths(adjacency: DataFrame, pairs: DataFrame, group_cols=()) -> DataFrame:
     """Fewest-hop path per (start, end): array of nodes, or the direct hop when there is none.
 
-    ``adjacency``: source, target, seq (neighbours are tried in seq order, both directions).
-    One frontier join per level; a node keeps the path of its first discoverer, which is
-    the smallest list of neighbour positions.
+    The search keeps parents only.  Paths come from pointer jumping: ancestors at 1, 2, 4, ... steps
+    by joining the table with itself, then each path is filled in from the longest jump down, so
+    the rounds grow with the logarithm of the longest path and no path is carried along.
     """
     keys = list(group_cols)
-    adj = adjacency.select(*keys, F.inline(F.array(F.struct(F.col("source").alias("u"), F.col("target").alias("v"), F.col("seq").alias("q")), F.struct(F.col("target").alias("u"), F.col("source").alias("v"), F.col("seq").alias("q")))))
-    adj = cut_lineage(adj.filter(F.col("u") != F.col("v")).groupBy(*keys, "u", "v").agg(F.min("q").alias("q")))
-    front = cut_lineage(pairs.select(*keys, "start").distinct().select(*keys, "start", F.col("start").alias("node"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("ord")))
-    seen = front
-    while True:
-        nxt = front.withColumnRenamed("node", "u").join(adj, [*keys, "u"]).select(*keys, "start", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"), F.concat("ord", F.array(F.col("q").cast("long"))).alias("ord"))
-        nxt = nxt.join(seen.select(*keys, "start", "node"), [*keys, "start", "node"], "left_anti")
-        front = cut_lineage(nxt.groupBy(*keys, "start", "node").agg(F.min(F.struct("ord", "path")).alias("_m")).select(*keys, "start", "node", F.col("_m.path").alias("path"), F.col("_m.ord").alias("ord")))
-        if front.isEmpty():
-            break
-        seen = cut_lineage(seen.unionByName(front))
-    j = pairs.join(seen.select(*keys, "start", F.col("node").alias("end"), "path"), [*keys, "start", "end"], "left")
+    own = [*keys, "start"]
+    tree, depth = bfs_tree(adjacency, pairs.select(*own), keys)
+    tree = written_table(tree)
+    jumps = [tree.filter(F.col("level") > 0).select(*own, "node", F.col("parent").alias("up"))]
+    while 1 << len(jumps) < depth:
+        last = jumps[-1]
+        again = last.select(*own, F.col("node").alias("up"), F.col("up").alias("_up2"))
+        jumps.append(written_table(last.join(again, [*own, "up"]).select(*own, "node", F.col("_up2").alias("up"))))
+    ends = pairs.select(*own, "end").distinct().join(tree.withColumnRenamed("node", "end"), [*own, "end"])
+    steps = ends.select(*own, "end", F.col("end").alias("node"), F.col("level").alias("at"))
+    for i in range(len(jumps) - 1, -1, -1):
+        # every known place of a path gives the one 2^i steps before it
+        more = steps.join(jumps[i], [*own, "node"]).select(*own, "end", F.col("up").alias("node"), (F.col("at") - (1 << i)).alias("at"))
+        steps = written_table(steps.unionByName(more))
+    paths = steps.groupBy(*own, "end").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("_p")).select(*own, "end", F.col("_p.node").alias("path"))
+    j = pairs.join(paths, [*own, "end"], "left")
     return j.withColumn("path", F.coalesce("path", F.array("start", "end")))
 
 

@@ -169,7 +169,9 @@ def _per_group(net: Network, work: DataFrame, function, schema: str, table: Data
         for row in pdf.itertuples(index=False):
             cols = function(row)
             size = len(next(iter(cols.values())))
-            out.append(pd.DataFrame({**{f.name: [getattr(row, f.name)] * size for f in kept}, **cols}))
+            # plain objects: Arrow-backed strings come in chunks, which Spark does not take
+            own = {f.name: pd.Series([getattr(row, f.name)] * size, dtype=object) for f in kept}
+            out.append(pd.DataFrame({**own, **{k: pd.Series(v, dtype=object) if np.asarray(v).dtype == object else v for k, v in cols.items()}}))
         return pd.concat(out)
 
     return rows.groupBy(*by).applyInPandas(run, f"{head}, {schema}")

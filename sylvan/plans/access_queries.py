@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
 from ..operators import access as ac
-from ..operators.graph import cut_lineage
+from ..functions.session import cut_lineage, written_table
 from ..operators.spatial import rounded
 from ..sources import adapters as ad
 from .registry import query
@@ -119,4 +119,8 @@ def _(spark, sf):
 
 @query("non_dominated_combinations", f"WITH {COMBO} SELECT * FROM combo a WHERE NOT EXISTS (SELECT 1 FROM combo b WHERE b.park_id = a.park_id AND b.site_id = a.site_id AND " + " AND ".join(f"b.{o} <= a.{o}" for o in ac.OBJECTIVES) + " AND (" + " OR ".join(f"b.{o} < a.{o}" for o in ac.OBJECTIVES) + "))")
 def _(spark, sf):
-    return ac.non_dominated(cut_lineage(combos(spark, sf)))
+    m, mem = metrics(spark, sf)
+    m = cut_lineage(m)
+    pairs = cut_lineage(ac.candidate_pairs(m, mem))
+    tried = ac.evaluate_combinations(pairs, m, services=ac.service_choices(pairs, m, margin=1e-6))
+    return ac.non_dominated(written_table(rounded(tried, ac.OBJECTIVES, 6)))

@@ -16,7 +16,7 @@ from ..operators import packages as pk
 from ..operators import reviews as rv
 from ..operators.spatial import rounded
 from ..sources import adapters as ad
-from .opportunity_queries import summary
+from .opportunity_queries import OPP, SUMM, summary
 from .registry import query
 from .review_queries import IMP
 from .site_queries import SCORED, review_parks, scored
@@ -269,27 +269,67 @@ def _(spark, sf):
 
 # --- journeys and synthesis -----------------------------------------------------
 
-@query("journeys")
+_aff = ", ".join(f"({q(k)}, {q(on.AGE_TIERS[k])}, {q(cats[0])}, {q(cats[1])}, [{', '.join(map(q, cats))}], [{', '.join(map(q, tokens))}])" for k, (cats, tokens) in on.AFFINITY.items())
+
+
+def dest(weight: str) -> str:
+    """Relevance of every area program for every age group."""
+    return f"""aff AS (SELECT * FROM (VALUES {_aff}) v(age_group, tier, c0, c1, cats, tokens)),
+ds AS (SELECT park_id, age_group, tier, program, program_order, name, category, opportunity, target_area, len(list_filter(tokens, lambda t: contains(lower(replace(users, '|', ' ')), t))) AS n, c0, c1, cats FROM summ, aff WHERE geometry_type = 'area' AND target_area IS NOT NULL),
+dr AS (SELECT *, n * 25e0 + CASE WHEN category = c0 THEN 25e0 WHEN category = c1 THEN 12e0 ELSE 0e0 END + opportunity * {weight} AS relevance, n > 0 OR list_contains(cats, category) AS relevant FROM ds)"""
+
+
+_adj = ", ".join(f"({q(p['type'])}, {q(t)}, {i * 100 + k})" for i, p in enumerate(pg.PROGRAMS) for k, t in enumerate(p["preferred"] + p["movement"] + p["service"]))
+_best = lambda cat, out: f"(SELECT park_id, program AS {out} FROM summ WHERE category = {q(cat)} QUALIFY row_number() OVER (PARTITION BY park_id ORDER BY opportunity DESC, program_order) = 1)"
+_cap = lambda p, n: f"CASE WHEN len({p}) <= {n + 2} THEN {p} ELSE list_concat({p}[1:{n + 1}], {p}[len({p}):len({p})]) END"
+#: Paths as whole lists with the places of the neighbours taken, the smallest list of a node winning.
+JRN = f"""{dest('0.3e0')}, d8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY park_id, age_group ORDER BY relevance DESC, program_order) AS rank FROM dr WHERE relevant) WHERE rank <= 8),
+dj AS (SELECT d8.*, entry, amenity FROM d8 LEFT JOIN {_best('Arrival / Access', 'entry')} e USING (park_id) LEFT JOIN {_best('Comfort / Amenities', 'amenity')} a USING (park_id)),
+ad0 AS (SELECT * FROM (VALUES {_adj}) v(s, t, q)), adj AS (SELECT u, v, min(q) AS q FROM (SELECT s AS u, t AS v, q FROM ad0 UNION ALL SELECT t, s, q FROM ad0) WHERE u <> v GROUP BY u, v),
+prs AS (SELECT DISTINCT entry AS a, program AS b FROM dj WHERE entry IS NOT NULL UNION SELECT DISTINCT program, amenity FROM dj WHERE amenity IS NOT NULL),
+bfs(a, node, path, ord) USING KEY (a, node) AS (SELECT DISTINCT a, a, [a], [-1] FROM prs UNION SELECT b.a, j.v, arg_min(list_append(b.path, j.v), list_append(b.ord, j.q)), min(list_append(b.ord, j.q)) FROM bfs b JOIN adj j ON j.u = b.node LEFT JOIN recurring.bfs r ON r.a = b.a AND r.node = j.v WHERE r.node IS NULL GROUP BY b.a, j.v),
+pth AS (SELECT prs.a, prs.b, coalesce(path, [prs.a, prs.b]) AS path FROM prs LEFT JOIN bfs ON bfs.a = prs.a AND bfs.node = prs.b),
+jf AS (SELECT dj.*, list_concat(coalesce(CASE WHEN i.a = i.b THEN [i.a] ELSE {_cap('i.path', 3)} END, [program]), coalesce(CASE WHEN amenity IS NOT NULL AND amenity <> program THEN ({_cap('o.path', 2)})[2:] ELSE [] END, [])) AS full_ FROM dj LEFT JOIN pth i ON i.a = entry AND i.b = program LEFT JOIN pth o ON o.a = program AND o.b = amenity),
+jrn AS (SELECT park_id, 'journey_' || age_group || '_' || program AS journey_id, age_group, tier, program AS destination, rank, pos - 1 AS position, space, CASE WHEN space = entry THEN 'entry' WHEN space = program THEN 'primary_activity' WHEN space = amenity THEN 'amenity' ELSE 'circulation' END AS role
+  FROM (SELECT *, unnest(full_) AS space, generate_subscripts(full_, 1) AS pos FROM jf))"""
+
+
+@query("journeys", f"WITH RECURSIVE {OPP}, {SUMM}, {JRN} SELECT * FROM jrn")
 def _(spark, sf):
     return pk.journeys(written_table(summary(spark, sf)[0]))
 
 
-@query("journey_traversals")
+@query("journey_traversals", f"WITH RECURSIVE {OPP}, {SUMM}, {JRN}, c AS (SELECT park_id, space, count(*) AS n FROM jrn GROUP BY ALL) SELECT park_id, space, n, greatest(1e0, least(10e0, {js('n / CAST(greatest(1, max(n) OVER (PARTITION BY park_id)) AS DOUBLE) * 10e0')})) AS priority FROM c")
 def _(spark, sf):
     return gr.traversal_counts(pk.journeys(written_table(summary(spark, sf)[0])), ["park_id"])
 
 
-@query("experience_matrix")
+def _named(*ws):
+    return "(" + " OR ".join(f"contains(lower(name), '{w}')" for w in ws) + ")"
+
+
+_rates = " ".join(f"WHEN {q(m)} THEN {r}e0" for m, r in on.MATERIAL_RATES.items())
+MATRIX = f"""{dest('0.4e0')}, bst AS (SELECT * FROM dr QUALIFY row_number() OVER (PARTITION BY park_id, age_group ORDER BY relevance DESC, program_order) = 1),
+mx0 AS (SELECT park_id, age_group, tier, program, name, category, target_area, CASE WHEN {_named('play', 'sensory')} THEN 'EPDM_RUBBER' WHEN {_named('plaza', 'court', 'fitness', 'loop', 'jog', 'event')} THEN 'HIGH_ALBEDO_PAVING' WHEN {_named('garden', 'planting', 'nature', 'habitat', 'bioswale')} THEN 'NATURAL_GRAVEL' ELSE 'TURF' END AS material,
+  CASE WHEN tier IN ('Kids', 'Old') THEN 'GATEWAY_NODE' WHEN category IN ('Arrival / Access', 'Movement') THEN 'PERIMETER_LOOP' WHEN tier = 'Teens' THEN 'ACTIVE_EDGE' ELSE 'INNER_BUFFER' END AS zone, CASE tier WHEN 'Old' THEN 'MORNING' WHEN 'Kids' THEN 'MIDDAY' ELSE 'EVENING' END AS "window" FROM bst),
+mx AS (SELECT *, CASE material {_rates} END AS cost_rate FROM mx0),
+syn0 AS (SELECT park_id, program, count(*) AS n, any_value(target_area) AS area, any_value(cost_rate) AS rate, string_agg(DISTINCT age_group, '|' ORDER BY age_group) AS archetypes FROM mx GROUP BY ALL), synt AS (SELECT park_id, sum(area) AS t FROM syn0 GROUP BY park_id),
+syn1 AS (SELECT syn0.*, CASE WHEN t > 15000e0 AND t > 0 THEN 15000e0 / t ELSE 1e0 END AS f FROM syn0 JOIN synt USING (park_id)),
+syn2 AS (SELECT park_id, program, n, CASE WHEN f <> 1 THEN greatest(1e0, {js('area * f')}) ELSE area END AS area, rate, archetypes, CAST(CASE WHEN n = 1 THEN 3 ELSE least(10, 3 + n * 2) END AS DOUBLE) AS overlap_score FROM syn1),
+syn AS (SELECT *, {js('(18e0 + overlap_score) / 4e0')} AS composite FROM syn2)"""
+
+
+@query("experience_matrix", f"WITH {OPP}, {SUMM}, {MATRIX} SELECT * FROM mx")
 def _(spark, sf):
     return pk.experience_matrix(summary(spark, sf)[0])
 
 
-@query("synthesis_metadata")
+@query("synthesis_metadata", f"WITH {OPP}, {SUMM}, {MATRIX}, m AS (SELECT park_id, {js('sum(area)')} AS total_area, {js('sum(area * rate)')} AS total_cost FROM syn GROUP BY park_id) SELECT *, CASE WHEN total_cost <= 9000000e0 THEN 'WITHIN_BUDGET' ELSE 'EXCEEDS_BUDGET' END AS budget_status FROM m")
 def _(spark, sf):
     return pk.finalise_synthesis(written_table(pk.experience_matrix(summary(spark, sf)[0])), 15000.0, 9000000.0)["metadata"]
 
 
-@query("shared_spaces")
+@query("shared_spaces", f"WITH {OPP}, {SUMM}, {MATRIX} SELECT *, CASE WHEN composite >= 8 THEN 'High' WHEN composite >= 5 THEN 'Medium' ELSE 'Low' END AS band FROM syn WHERE n >= 2")
 def _(spark, sf):
     return pk.finalise_synthesis(written_table(pk.experience_matrix(summary(spark, sf)[0])), 15000.0, 9000000.0)["shared"].withColumn("archetypes", F.array_join("archetypes", "|"))
 

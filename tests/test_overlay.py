@@ -99,3 +99,11 @@ def test_space_syntax_is_scaled(spark, town):
     assert len(two) == 35 and len(rows) == 36
     assert all(0 <= r.integration <= 100 and 0 <= r.choice <= 100 and 2 <= r.degree <= 4 for r in two)
     assert max(r.choice for r in two) == 100.0 and next(r for r in rows if r.park_id == 4).choice == 0.0
+
+
+def test_names_as_nodes_and_networks(spark):
+    edges = spark.createDataFrame([("x", f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(20)], "town string, a string, b string, length double")
+    net = ov.network(edges, ["town"], most=6)
+    src = spark.createDataFrame([("x", "n00")], "town string, src string")
+    assert {r.node: r.distance for r in ov.distances(net, src).collect()} == {f"n{i:02d}": float(i) for i in range(21)}
+    assert {r.node: r.dependency for r in ov.dependencies(net, src).collect()} == {f"n{i:02d}": 20.0 - i for i in range(1, 20)}
