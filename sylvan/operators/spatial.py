@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.formulas import R_EARTH
 from ..functions.numeric import js_round
-from ..functions.session import cut_lineage
+from . import quadtree
 
 PARK = ("park_id",)
 
@@ -105,74 +105,35 @@ def count_within_radius(queries: DataFrame, points: DataFrame, radius_m: float,
     return queries.select(*keys, query_id).join(c, [*keys, query_id], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, query_id: str, payload: str, order: str, distance, margin, tile: float,
-            qx: str, qy: str, group_cols=PARK, growth: int = 4) -> DataFrame:
-    """Exact nearest target per query: (query_id, distance, payload); null when the area has none.
-
-    ``targets`` carry their extent as _x0,_y0,_x1,_y1 and are copied to the tiles they touch.
-    A query looks at the 3 x 3 tiles around it; its best distance is final when it does not
-    exceed ``margin(size)``, the distance to the outside of that block.  Only the queries
-    left over are repeated on tiles ``growth`` times as wide; tiles as wide as the largest area
-    put all its targets into the block of every query, so the last round settles the rest.
-    """
+def nearest_point(queries: DataFrame, points: DataFrame, query_id: str = "h3_id", payload: str = "feature_id", group_cols=PARK) -> DataFrame:
+    """Nearest point by great-circle distance (metres), exact: (query_id, distance, payload), null when the area has none."""
     keys = list(group_cols)
-    areas = targets.select(*keys).distinct()
-    queries = queries.select(*keys, query_id, qx, qy)
-    ends = queries.select(*keys, F.col(qx).alias("_x0"), F.col(qy).alias("_y0"), F.col(qx).alias("_x1"), F.col(qy).alias("_y1")).unionByName(targets.select(*keys, "_x0", "_y0", "_x1", "_y1"))
-    reach = F.greatest(F.max("_x1") - F.min("_x0"), F.max("_y1") - F.min("_y0"))
-    widest = (ends.groupBy(*keys).agg(reach.alias("r")).join(areas, keys, "left_semi") if keys else ends.agg(reach.alias("r"))).agg(F.max("r")).first()[0] or 0.0
-    if keys:
-        rest = queries.join(areas, keys, "left_semi")
-        none = queries.join(areas, keys, "left_anti")
-    else:
-        rest, none = queries, queries.filter(F.lit(targets.isEmpty()))
-        rest = rest.subtract(none)
-    payload_type = targets.schema[payload].dataType
-    done = none.select(*keys, query_id, F.lit(None).cast("double").alias("distance"), F.lit(None).cast(payload_type).alias(payload))
-    size = tile
-    while True:
-        last = size > widest
-        t = _cover(targets, size, "_x0", "_y0", "_x1", "_y1")
-        near = F.array(*[F.struct((geo.tile(qx, size) + dx).alias("_tx"), (geo.tile(qy, size) + dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-        cand = rest.select(*keys, query_id, qx, qy, F.inline(near)).join(t, [*keys, "_tx", "_ty"])
-        best = cand.groupBy(*keys, query_id).agg(F.min(F.struct(distance.alias("d"), F.col(order).alias("o"), F.col(payload).alias("p"))).alias("_b"))
-        step = rest.join(best, [*keys, query_id], "left")
-        final = F.lit(True) if last else F.coalesce(F.col("_b.d") <= margin(size), F.lit(False))
-        step = cut_lineage(step.withColumn("_final", final))
-        done = done.unionByName(step.filter("_final").select(*keys, query_id, F.col("_b.d").alias("distance"), F.col("_b.p").alias(payload)))
-        rest = step.filter("NOT _final").select(*keys, query_id, qx, qy)
-        if last or rest.isEmpty():
-            return done
-        size = min(size * growth, max(widest * 1.000001, size * 1.000001))
-
-
-def nearest_point(queries: DataFrame, points: DataFrame, query_id: str = "h3_id", payload: str = "feature_id", tile: float = 0.005, group_cols=PARK) -> DataFrame:
-    """Nearest point by great-circle distance (metres)."""
     points = _around(points, "lng")
-    t = points.select(*group_cols, F.col("lng").alias("_px"), F.col("lat").alias("_py"), F.col("lng").alias("_x0"), F.col("lat").alias("_y0"),
+    t = points.select(*keys, F.col("lng").alias("_px"), F.col("lat").alias("_py"), F.col("lng").alias("_x0"), F.col("lat").alias("_y0"),
                       F.col("lng").alias("_x1"), F.col("lat").alias("_y1"), payload)
 
-    def margin(size):
-        fx, fy = F.pmod(F.col("lng"), F.lit(size)), F.pmod(F.col("lat"), F.lit(size))
-        east = F.least(fx, F.lit(size) - fx) + F.lit(size)
-        north = F.least(fy, F.lit(size) - fy) + F.lit(size)
-        # distance to the nearest meridian and parallel of the block, slightly reduced
-        mer = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(east, F.lit(90.0))))) * R_EARTH
-        return F.least(mer, F.radians(north) * R_EARTH) * 0.999999
+    def box_distance():
+        east = F.greatest(F.lit(0.0), F.col("_x0") - F.col("lng"), F.col("lng") - F.col("_x1"))
+        north = F.greatest(F.lit(0.0), F.col("_y0") - F.col("lat"), F.col("lat") - F.col("_y1"))
+        # distance to the nearest meridian and parallel of the box, slightly reduced
+        mer = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(east, F.lit(90.0)))))
+        return F.greatest(mer, F.radians(north)) * (R_EARTH * 0.999999)
 
-    return nearest(queries, t, query_id, payload, payload, geo.haversine_m("lng", "lat", "_px", "_py"), margin, tile, "lng", "lat", group_cols)
+    return quadtree.nearest(queries, t, query_id, payload, payload, lambda g: geo.haversine_m("lng", "lat", g["_px"], g["_py"]), box_distance, ["_px", "_py"], "lng", "lat", keys)
 
 
-def nearest_segment(queries: DataFrame, segments: DataFrame, query_id: str, payload: str, tile: float = 500.0, group_cols=PARK) -> DataFrame:
-    """Nearest line segment in planar metres.  ``segments``: ax, ay, bx, by; ``queries``: x, y."""
-    t = segments.select(*group_cols, "ax", "ay", "bx", "by", payload, F.least("ax", "bx").alias("_x0"), F.least("ay", "by").alias("_y0"),
+def nearest_segment(queries: DataFrame, segments: DataFrame, query_id: str, payload: str, group_cols=PARK) -> DataFrame:
+    """Nearest line segment in planar metres, exact.  ``segments``: ax, ay, bx, by; ``queries``: x, y."""
+    keys, ends = list(group_cols), ["ax", "ay", "bx", "by"]
+    t = segments.select(*keys, *ends, payload, F.least("ax", "bx").alias("_x0"), F.least("ay", "by").alias("_y0"),
                         F.greatest("ax", "bx").alias("_x1"), F.greatest("ay", "by").alias("_y1"))
 
-    def margin(size):
-        fx, fy = F.pmod(F.col("x"), F.lit(size)), F.pmod(F.col("y"), F.lit(size))
-        return F.least(fx, F.lit(size) - fx, fy, F.lit(size) - fy) + F.lit(size)
+    def box_distance():
+        east = F.greatest(F.lit(0.0), F.col("_x0") - F.col("x"), F.col("x") - F.col("_x1"))
+        north = F.greatest(F.lit(0.0), F.col("_y0") - F.col("y"), F.col("y") - F.col("_y1"))
+        return F.sqrt(east * east + north * north) * 0.999999
 
-    return nearest(queries, t, query_id, payload, payload, geo.segment_distance("x", "y", "ax", "ay", "bx", "by"), margin, tile, "x", "y", group_cols)
+    return quadtree.nearest(queries, t, query_id, payload, payload, lambda g: geo.segment_distance("x", "y", *[g[e] for e in ends]), box_distance, ends, "x", "y", keys)
 
 
 def lines_to_segments(lines: DataFrame, keep=()) -> DataFrame:

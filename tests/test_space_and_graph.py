@@ -48,7 +48,7 @@ def test_nearest_matches_brute_force(spark, seed):
     t = [(0, i, rnd.uniform(0, 0.2), rnd.uniform(0, 0.2)) for i in range(20)]
     qd = spark.createDataFrame(q, "park_id int, h3_id string, lng double, lat double")
     td = spark.createDataFrame(t, "park_id int, feature_id int, lng double, lat double")
-    got = {r.h3_id: r.distance for r in sp.nearest_point(qd, td, tile=0.01).collect()}
+    got = {r.h3_id: r.distance for r in sp.nearest_point(qd, td).collect()}
     want = {r.h3_id: r.d for r in qd.crossJoin(td.select(F.col("lng").alias("x"), F.col("lat").alias("y"))).groupBy("h3_id").agg(F.min(geo.haversine_m("lng", "lat", "x", "y")).alias("d")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
