@@ -85,6 +85,7 @@ def plant_derivations(df: DataFrame) -> DataFrame:
     w, habit, dens = F.col("water_demand"), F.coalesce(F.col("habit"), F.lit("")), F.col("foliage_density")
     canopy, dbh = F.coalesce(F.col("canopy_m").try_cast("double"), F.lit(0.0)), F.coalesce(F.col("dbh_m").try_cast("double"), F.lit(0.0))
     has = lambda t: F.contains(F.lower(habit), F.lit(t))
+    # Planting roles and hydrozone labels.
     role = (F.when(has("tree") & dens.isin("Dense", "Very Dense", "Extremely Dense"), "Canopy / shaded hollow").when(has("tree"), "Crest / structure tree")
             .when(has("grass"), "Slope stabilization / movement texture").when(has("groundcover"), "Groundcover / erosion control").otherwise("Shrub / habitat layer"))
     zone = (F.when(w == "Very Low", "HZ-CREST Desert Crest").when(w == "Low", "HZ-SLOPE Stabilized Slope").when(F.startswith(w, F.lit("Moderate")), "HZ-HOLLOW Shaded Hollow").otherwise("HZ-WATER Specialized Water"))

@@ -154,6 +154,13 @@ def all_opportunities(summary: DataFrame, group_cols=PARK) -> DataFrame:
     return summary.withColumn("rank", F.row_number().over(w))
 
 
+def summary_opportunities(summary: DataFrame, group_cols=PARK) -> DataFrame:
+    """The opportunity rows of the headline summary: every program of an area in rank order with scores, users, areas and adjacency lists."""
+    cols = ["program", "name", "category", "geometry_type", "scale", "opportunity", "demand", "suitability", "feasibility", "confidence", "readiness", "priority", "users",
+            "min_area", "target_area", "max_area", "preferred", "avoid_adjacent", "service", "movement"]
+    return all_opportunities(summary, group_cols).select(*group_cols, "rank", *cols)
+
+
 # Movement routes (program, radial band, closed loop?, cells to select).
 ROUTES = [("walkingPromenade", 0.45, False, 12), ("joggingLoop", 0.76, True, 14), ("exerciseCyclingLoop", 0.96, True, 16), ("accessibleRoutes", 0.4, False, 10),
           ("shadedCirculation", 0.48, False, 10), ("serviceAccess", 1.0, False, 2)]

@@ -116,6 +116,7 @@ def compile_rules(rules: DataFrame, blocked: DataFrame) -> DataFrame:
     reason = (F.when(F.coalesce("_b", F.lit(False)), "active_conflict").when(numeric_bad, "invalid_numeric_provenance").when(ns == 0, "source_unmapped").when(ns > 1, "source_ambiguous")
               .when(nt == 0, "target_unmapped").when(nt > 1, "target_ambiguous").when(s0 == t0, "self_relationship"))
     text = normalise_entity(F.concat_ws(" ", "rule_category", "relationship", "numeric_parameter"))
+    # Words of the graph layers and of directed relations.
     layer = (F.when(text.rlike("visibility|sightline|supervision|overlook"), "visibility").when(text.rlike("distance|setback|separation|buffer|proximity"), "distance")
              .when(text.rlike("avoid|prohibit|constraint|exclusion"), "constraints").when(text.rlike("movement|circulation|route|sequence|access|connectivity"), "movement").otherwise("functional"))
     directed = layer.isin("visibility", "movement") | normalise_entity(F.col("relationship")).rlike("depends|serves|provides|leads|feeds|requires")
@@ -126,6 +127,7 @@ def compile_rules(rules: DataFrame, blocked: DataFrame) -> DataFrame:
 def relation_type(c):
     t = F.lower(c)
     has = lambda *ws: any_of([F.contains(t, F.lit(w)) for w in ws])
+    # Words of the relation types.
     return (F.when(has("overlap"), "overlap_compatible").when(has("avoid", "separat", "buffer"), "avoid").when(has("prefer", "adjacent", "near"), "preferred").when(has("service"), "service")
             .when(has("movement", "connect"), "movement").when(has("visibility", "sight"), "visibility").when(has("distance"), "distance").otherwise(F.trim(t)))
 

@@ -92,6 +92,16 @@ def _(spark, sf):
     return op.all_opportunities(summary(spark, sf)[0]).select("park_id", "program", "opportunity", "priority", "rank")
 
 
+_lists = values_list([(p["type"], *["|".join(p[k]) for k in ("preferred", "avoided", "service", "movement")]) for p in pg.PROGRAMS])
+
+
+@query("summary_opportunities", f"WITH {OPP}, {SUMM}, al AS (SELECT * FROM (VALUES {_lists}) v(program, preferred, avoid_adjacent, service, movement)) SELECT park_id, row_number() OVER (PARTITION BY park_id ORDER BY opportunity DESC, program_order) AS rank, program, name, category, geometry_type, scale, "
+       "opportunity, demand, suitability, feasibility, confidence, readiness, priority, users, min_area, target_area, max_area, preferred, avoid_adjacent, service, movement FROM summ JOIN al USING (program)")
+def _(spark, sf):
+    lists = ("users", "preferred", "avoid_adjacent", "service", "movement")
+    return op.summary_opportunities(summary(spark, sf)[0]).withColumns({c: F.array_join(c, "|") for c in lists})
+
+
 @query("opportunity_filter", f"WITH {OPP}, {SUMM} SELECT park_id, program, confidence FROM summ WHERE (contains(sources, 'review-driven') OR contains(sources, 'environment-driven')) AND priority IN ('High', 'Critical', 'Medium') AND geometry_type = 'area' AND contains(sources, 'brief-required') AND confidence >= 70")
 def _(spark, sf):
     s = summary(spark, sf)[0]

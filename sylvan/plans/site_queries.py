@@ -18,7 +18,7 @@ from ..operators import reports as rp
 from ..operators import reviews as rv
 from ..sources import adapters as ad
 from .cell_sql import CELL_SQL
-from .registry import query
+from .registry import ORACLE, query
 from .review_queries import COMPLAINTS, HEALTH, IMP, PERS, enriched
 from .sqlbase import CELLS, ENRICHED, POINTS, ROADS, haversine, js, norm, q, values_list
 
@@ -545,7 +545,14 @@ def _(spark, sf):
     return cl.review_signal(ad.cells(spark, sf), rates).select("park_id", "h3_id", "category", "review_signal")
 
 
-@query("gis_summary")
+_pick = lambda keys: ", ".join(f"max(CASE WHEN key = {q(k)} THEN value END) AS \"{k}\"" for k in keys)
+
+
+@query("gis_summary", f"""WITH p AS ({ORACLE['population_kpis']}), u AS ({ORACLE['urban_kpis']}), a AS ({ORACLE['accessibility_kpis']}),
+e AS (SELECT park_id, {_pick(['greenCoveragePct', 'hotspotAreaPct', 'overallEnvironmentalScore'])} FROM ({ORACLE['environmental_kpis']}) GROUP BY park_id),
+c AS (SELECT park_id, {_pick(['schoolsCount', 'facilityAccessScore', 'overallCommunityScore'])} FROM ({ORACLE['community_kpis']}) GROUP BY park_id)
+SELECT p.park_id, total_population, aggregate_density, daily_users, building_coverage_pct, impervious_pct, development_intensity, connectivity, dominant_land_use, accessibility_score, pop_15min AS pop_15min_walk, status AS access_status,
+e.* EXCLUDE (park_id), c.* EXCLUDE (park_id), {js('pop_15min / nullif(total_population, 0e0) * 100e0', 1)} AS pop_15min_walk_pct FROM p LEFT JOIN u USING (park_id) LEFT JOIN a USING (park_id) LEFT JOIN e USING (park_id) LEFT JOIN c USING (park_id)""")
 def _(spark, sf):
     s, env = environment(spark, sf)
     r, pts = roads_summary(spark, sf), site_points(spark, sf)
