@@ -225,7 +225,24 @@ def _(spark, sf):
     return pk.area_reconciliation(programs(spark, sf), site_settings(spark, sf))
 
 
-@query("design_estimate")
+_in = lambda *ws: "(" + " OR ".join(f"contains(n, '{w}')" for w in ws) + ")"
+_cost = lambda length, width: js(f"{js(f'{length} * {width}', 2)} * 650e0", 2)
+#: The settings of the query below written out: widths, lengths, unit costs, 10 % contingency, a cap of nine million.
+ESTIMATE = f"""sp_ AS (SELECT package_id, target_area, program_class = 'SPACE' AND geometry_type = 'area' AND program_type NOT IN ({', '.join(q(t) for t in [*on.OVERLAY_TYPES, *on.SHARED_TYPES])}) AS ex, lower(program_type || ' ' || name) AS n FROM attr),
+se_ AS (SELECT package_id, count(*) FILTER (ex) AS exn, count(*) FILTER (ex AND target_area >= 0) AS kn, sum(CASE WHEN ex AND target_area >= 0 THEN target_area * CASE WHEN {_in('play', 'sensory')} THEN 950e0 WHEN {_in('plaza', 'court', 'fitness', 'event')} THEN 650e0 WHEN {_in('garden', 'planting', 'nature', 'habitat', 'bioswale')} THEN 280e0 ELSE 180e0 END ELSE 0e0 END) AS spaces FROM sp_ GROUP BY package_id),
+rl_ AS (SELECT package_id, count(*) AS r, count(*) FILTER (weight >= 0) AS rw FROM rel GROUP BY package_id),
+tr_ AS (SELECT package_id, {js('ma * tp / 100e0', 2)} AS tree_area, {js('ma * np / 100e0', 2)} AS native_area FROM rc2),
+e0 AS (SELECT st_.package_id, coalesce(exn, 0) AS exn, coalesce(kn, 0) AS kn, coalesce(spaces, 0e0) AS spaces, coalesce(r, 0) AS r, coalesce(rw, 0) AS rw, tree_area, native_area, {_cost('CASE WHEN package_id % 3 <> 0 THEN 900e0 END', '3e0')} AS p1, {_cost('1000e0', '2e0')} AS p2, {_cost('(480e0 + package_id % 50)', '3.5e0')} AS p3, {_cost('120e0', '4e0')} AS p4,
+  CASE WHEN package_id % 4 <> 0 THEN 1500e0 END AS tuc FROM st_ LEFT JOIN se_ USING (package_id) LEFT JOIN rl_ USING (package_id) LEFT JOIN tr_ USING (package_id)),
+e1 AS (SELECT *, coalesce(p1, 0e0) + p2 + p3 + p4 AS paths, 3 + (p1 IS NOT NULL)::INT AS np, CAST(ceil(tree_area / 25e0) AS DOUBLE) AS tree_count, {js('ceil(tree_area / 25e0) * tuc', 2)} AS tree_cost, {js('native_area * 120e0', 2)} AS planting_cost_total,
+  2 + (tree_area IS NOT NULL)::INT + (native_area IS NOT NULL)::INT + (tuc IS NOT NULL)::INT AS plants FROM e0),
+e2 AS (SELECT *, CASE WHEN exn > 0 THEN {js('kn / CAST(exn AS DOUBLE) * 100e0', 2)} ELSE 0e0 END AS spaces_score, {js('np / 4e0 * 100e0', 2)} AS paths_score, CASE WHEN r > 0 THEN {js('rw / CAST(r AS DOUBLE) * 100e0', 2)} ELSE 0e0 END AS adjacency_score, {js('plants / 5e0 * 100e0', 2)} AS plants_score,
+  {js('(spaces + paths + coalesce(tree_cost, 0e0) + coalesce(planting_cost_total, 0e0)) * (1e0 + 10e0 / 100e0)', 2)} AS total, np = 4 AND tree_cost IS NOT NULL AND planting_cost_total IS NOT NULL AS whole FROM e1)"""
+
+
+@query("design_estimate", f"WITH {PROG}, {ATTR}, {REL}, {RECON}, {ESTIMATE} SELECT package_id, {js('spaces', 2)} AS spaces_cost, {js('paths', 2)} AS paths_cost, tree_count, tree_cost, planting_cost_total, spaces_score, paths_score, adjacency_score, plants_score, "
+       f"{js('(spaces_score + paths_score + adjacency_score + plants_score) / 4e0', 2)} AS readiness, total AS cost_with_contingency, CASE WHEN whole THEN 'complete_approximation' ELSE 'partial_lower_bound' END AS estimate_status, "
+       "CASE WHEN total > 9000000e0 THEN 'known_cost_exceeds_target' WHEN whole THEN 'within_target' ELSE 'known_cost_within_target_incomplete' END AS target_status FROM e2")
 def _(spark, sf):
     s = site_settings(spark, sf)
     k = F.col("package_id")
