@@ -196,6 +196,6 @@ def read_epw(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_csv_register(spark: SparkSession, paths) -> DataFrame:
-    """CSV with a header; a byte-order mark on the first name is removed."""
-    d = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).csv(paths)
+    """CSV with a header, quotes doubled inside quoted fields; a byte-order mark on the first name is removed."""
+    d = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(paths)
     return d.toDF(*[c.lstrip("﻿").strip() for c in d.columns])
