@@ -195,3 +195,21 @@ def _(spark, sf):
 @query("geojson_lines_export", f"WITH {CELLS} SELECT '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || CAST(seq AS VARCHAR) || ',' || CAST(park_id AS VARCHAR) || ']}},\"properties\":{{\"h3_id\":\"' || h3_id || '\"}}}}' AS value FROM cells")
 def _(spark, sf):
     return wr.geojson_lines(ad.cells(spark, sf), "Point", F.array("seq", "park_id"), ["h3_id"])
+
+
+_RAW = "SELECT event_id % 500 AS dataset_id, event_id AS feature_id, CASE WHEN event_id % 997 = 0 THEN 'Surface' WHEN event_id % 13 <> 0 THEN 'Point' END AS geom_type, CASE WHEN event_id % 17 <> 0 THEN 55.17e0 + (event_id % 1000) / 10000e0 END AS lng FROM events"
+
+
+def _features(spark, sf):
+    k = F.col("feature_id")
+    return ad.points(spark, sf).select((k % 500).alias("dataset_id"), "feature_id", F.when(k % 997 == 0, "Surface").when(k % 13 != 0, "Point").alias("geom_type"), F.when(k % 17 != 0, F.col("lng")).alias("lng"), "lat")
+
+
+@query("quarantined_features", f"WITH r AS ({_RAW}) SELECT dataset_id, feature_id, CASE WHEN geom_type IS NULL THEN 'geometry missing' WHEN geom_type = 'Surface' THEN 'geometry type not supported' ELSE 'no coordinates' END AS reason FROM r WHERE geom_type IS NULL OR geom_type = 'Surface' OR lng IS NULL")
+def _(spark, sf):
+    return ct.validate_features(_features(spark, sf))[1]
+
+
+@query("valid_features", f"WITH r AS ({_RAW}) SELECT dataset_id, count(*) AS features FROM r WHERE geom_type = 'Point' AND lng IS NOT NULL GROUP BY dataset_id")
+def _(spark, sf):
+    return ct.validate_features(_features(spark, sf))[0].groupBy("dataset_id").agg(F.count(F.lit(1)).alias("features"))

@@ -579,3 +579,18 @@ def _(spark, sf):
 @query("temporal_months", with_enriched(f"SELECT place_id, {PERIOD['month']} AS period, count(*) AS n, {js(f'(avg({SIGN}) + 1e0) / 2e0 * 100e0')} AS sentiment_score FROM enriched WHERE published_ts IS NOT NULL GROUP BY ALL"))
 def _(spark, sf):
     return ts.monthly_series(enriched(spark, sf))
+
+
+@query("review_summary_topics", with_enriched(f", {TOPICS} SELECT * FROM (SELECT * EXCLUDE (first_seq, quote), row_number() OVER (PARTITION BY place_id ORDER BY review_count DESC, first_seq) AS rank FROM topics) WHERE rank <= 8"))
+def _(spark, sf):
+    return rv.review_summary(enriched_table(spark, sf))["topics"].withColumn("top_keywords", joined("top_keywords")).drop("quote", "design_implication", "first_seq")
+
+
+@query("review_summary_personas", with_enriched(f", {PERS}, {VISIT} SELECT * FROM (SELECT place_id, persona, label, review_count, primary_needs, likely_visit_time, row_number() OVER (PARTITION BY place_id ORDER BY review_count DESC, persona) AS rank FROM personas JOIN visit USING (place_id, persona)) WHERE rank <= 6"))
+def _(spark, sf):
+    return rv.review_summary(enriched_table(spark, sf))["personas"].select("place_id", "persona", "label", "review_count", joined("primary_needs").alias("primary_needs"), "likely_visit_time", "rank")
+
+
+@query("review_summary_features", with_enriched(f", {TOPICS}, {POSF} SELECT * FROM posf WHERE rank <= 8"))
+def _(spark, sf):
+    return rv.review_summary(enriched_table(spark, sf))["positive_features"].drop("quote")

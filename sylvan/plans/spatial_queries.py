@@ -61,6 +61,16 @@ def _(spark, sf):
     return sp.count_within_radius(ad.cell_polygons(spark, sf), ad.points(spark, sf), 300.0)
 
 
+@query("footprint_centroids", f"SELECT s_suppkey, {js('a * 5e0 / 6e0', 6)} AS x, {js('b * 5e0 / 6e0', 6)} AS y, {js('3e0 * a * b', 3)} AS area FROM (SELECT s_suppkey, 1e0 + s_suppkey % 40 AS a, 2e0 + s_nationkey AS b FROM supplier)")
+def _(spark, sf):
+    # L-shaped footprints: the centre of the area is not the mean of the corners
+    a, b = F.lit(1.0) + F.col("s_suppkey") % 40, F.lit(2.0) + F.col("s_nationkey")
+    corners = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]
+    ring = F.array(*[F.struct((a * float(i)).alias("x"), (b * float(j)).alias("y")) for i, j in corners])
+    d = ad.table(spark, sf, "supplier").select("s_suppkey", ring.alias("ring"))
+    return d.select("s_suppkey", geo.area_centroid("ring").alias("c"), geo.shoelace_area("ring").alias("area")).select("s_suppkey", js_round("c.x", 6).alias("x"), js_round("c.y", 6).alias("y"), js_round("area", 3).alias("area"))
+
+
 @query("cell_geometry", f"WITH {CELLS}, k AS (SELECT h3_id, min_lng, min_lat, max_lng, max_lat, (max_lng - min_lng) * {M}e0 AS w, (max_lat - min_lat) * {M}e0 AS h FROM cells) SELECT h3_id, {js('(min_lng + max_lng) / 2e0', 6)} AS lng, {js('(min_lat + max_lat) / 2e0', 6)} AS lat, {js('w * h', 2)} AS area, {js('2e0 * (w + h)', 3)} AS perimeter, CASE WHEN w > h THEN 0e0 ELSE 90e0 END AS axis FROM k")
 def _(spark, sf):
     c = ad.cell_polygons(spark, sf)
