@@ -232,7 +232,7 @@ class WordEncoder:
         apart, need, known = [], set(), self.known
         for w in new:
             core, mark = w.rstrip(self.MARKS), ""
-            if core and core[-1].isalpha():
+            if core and core[-1].isalpha() and len(core[-1].lower()) == 1:  # a capital dotted I ends in a mark when lower-cased
                 mark = w[len(core):]
             else:
                 core = w
