@@ -294,10 +294,10 @@ def _(spark, sf):
     return gr.od_journeys(ad.journeys(spark, sf).withColumn("position", F.struct("position", "part_id")))
 
 
-FLOWC = ["age", "archetype", "space", "score"]
+FLOWC = gr.FLOW_TIERS
 
 
-@query("flow_links", f"""WITH {JOUR}, f AS (SELECT package_id, (['Kids','Teens','Adults','Old'])[CAST(journey_id % 4 AS INTEGER) + 1] AS age, persona_id AS archetype, 's' || space AS space, CASE WHEN part_id % 3 = 0 THEN 'High' WHEN part_id % 3 = 1 THEN 'Medium' ELSE 'Low' END AS score, CAST(part_id % 50 AS DOUBLE) AS area FROM jn),
+@query("flow_links", f"""WITH {JOUR}, f AS (SELECT package_id, (['Kids','Teens','Adults','Old'])[CAST(journey_id % 4 AS INTEGER) + 1] AS age, persona_id AS archetype, 'a' || journey_id % 5 AS activity, 'e' || part_id % 7 AS experience, CASE WHEN part_id % 2 = 0 THEN 'cheap' ELSE 'dear' END AS cost, 's' || space AS space, CASE WHEN part_id % 3 = 0 THEN 'High' WHEN part_id % 3 = 1 THEN 'Medium' ELSE 'Low' END AS score, CAST(part_id % 50 AS DOUBLE) AS area FROM jn),
 p AS ({' UNION ALL '.join(f"SELECT package_id, age, {q(a)} AS source_column, {a} AS source, {q(b)} AS target_column, {b} AS target, greatest(1e0, area) AS v FROM f" for a, b in zip(FLOWC, FLOWC[1:]))}),
 g AS (SELECT package_id, source_column, source, target_column, target, age, sum(v) AS v FROM p GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY package_id, source_column, source, target_column, target ORDER BY v DESC, list_position(['Kids','Teens','Adults','Old'], age)) AS r, sum(v) OVER (PARTITION BY package_id, source_column, source, target_column, target) AS value FROM g)
@@ -305,6 +305,7 @@ SELECT package_id, source_column, source, target_column, target, value, age AS d
 def _(spark, sf):
     j = ad.journeys(spark, sf)
     age = F.get(F.array(*[F.lit(x) for x in ("Kids", "Teens", "Adults", "Old")]), (F.col("journey_id") % 4).cast("int"))
-    f = j.select("package_id", age.alias("age"), F.col("persona_id").alias("archetype"), F.concat(F.lit("s"), F.col("space").cast("string")).alias("space"),
+    f = j.select("package_id", age.alias("age"), F.col("persona_id").alias("archetype"), F.concat(F.lit("a"), (F.col("journey_id") % 5).cast("string")).alias("activity"), F.concat(F.lit("e"), (F.col("part_id") % 7).cast("string")).alias("experience"),
+                 F.when(F.col("part_id") % 2 == 0, "cheap").otherwise("dear").alias("cost"), F.concat(F.lit("s"), F.col("space").cast("string")).alias("space"),
                  F.when(F.col("part_id") % 3 == 0, "High").when(F.col("part_id") % 3 == 1, "Medium").otherwise("Low").alias("score"), (F.col("part_id") % 50).cast("double").alias("area"))
     return gr.flow_links(f, ["package_id"], FLOWC)
