@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
+from ..functions.session import ensure_checkpoint_dir, written_table
 from ..operators import catalog as ct
 from ..operators import climate as cm
 from ..operators import terrain as tr
@@ -169,6 +173,19 @@ def _(spark, sf):
     return ct.metric_table(scored(spark, sf), "run-1", "cell", "h3_id", ["heat_score", "void_pct"])
 
 
+@query("appended_metrics", f"WITH {SCORED} SELECT run_id, unit_type, unit_id, metric, value, unit FROM (SELECT unnest(['run-1', 'run-2']) AS run_id, 'cell' AS unit_type, h3_id AS unit_id, 'heat_score' AS metric, heat_score AS value, 'score' AS unit FROM sc UNION ALL SELECT 'run-2', 'park', CAST(park_id AS VARCHAR), 'cells', CAST(count(*) AS DOUBLE), 'count' FROM sc GROUP BY park_id)")
+def _(spark, sf):
+    # three appends to one table: earlier rows stay as they are
+    ensure_checkpoint_dir(spark)
+    path = os.path.join(spark.sparkContext.getCheckpointDir(), "metrics", uuid.uuid4().hex)
+    cells = written_table(scored(spark, sf).select("park_id", "h3_id", "heat_score"))
+    for run in ("run-1", "run-2"):
+        ct.append_metrics(ct.metric_table(cells, run, "cell", "h3_id", ["heat_score"]), path)
+    parks = cells.groupBy("park_id").agg(F.count(F.lit(1)).alias("cells"))
+    ct.append_metrics(ct.metric_table(parks, "run-2", "park", "park_id", ["cells"], "count"), path)
+    return spark.read.parquet(path).select("run_id", "unit_type", "unit_id", "metric", "value", "unit")
+
+
 @query("latest_status", f"WITH {VERS}, {CUR} SELECT dataset_id, status, version_id AS change_id FROM cur")
 def _(spark, sf):
     ch = ad.dataset_versions(spark, sf).select("dataset_id", F.col("created_at").alias("changed_at"), F.col("version_id").alias("change_id"), "status")

@@ -175,6 +175,11 @@ def _(spark, sf):
     return rv.issue_impact(fl.cross_filter(enriched(spark, sf), keyword="the")).drop("first_seq")
 
 
+@query("cross_filtered_category", with_enriched("SELECT place_id, review_id, issue_category, sentiment FROM enriched WHERE issue_category = 'cleanliness' AND contains(lower(review_text), 'the')"))
+def _(spark, sf):
+    return fl.cross_filter(enriched(spark, sf), category="cleanliness", keyword="the").select("place_id", "review_id", "issue_category", "sentiment")
+
+
 @query("search_places", "SELECT 'Place ' || source AS name, source AS formatted_address FROM documents WHERE contains(lower(source), 'src1') OR contains(lower('Place ' || source), 'src1') GROUP BY source")
 def _(spark, sf):
     places = ad.reviews(spark, sf).select(F.col("park_name").alias("name"), F.col("place_id").alias("formatted_address")).distinct()
