@@ -30,21 +30,33 @@ def boundary_candidates(sites: DataFrame, spacing: float, group_cols=SITE) -> Da
                     F.concat_ws("-", F.lit("access-edge"), F.col("site_id").cast("string"), F.col("edge").cast("string"), F.col("_i").cast("string")).alias("candidate_id"))
 
 
-def features_within(cands: DataFrame, segments: DataFrame, feature: str, radius: float, out: str, park: str = "park_id") -> DataFrame:
-    """Features with any segment within ``radius`` of each candidate."""
-    s = segments.select(park, feature, "ax", "ay", "bx", "by", F.least("ax", "bx").alias("_x0"), F.least("ay", "by").alias("_y0"), F.greatest("ax", "bx").alias("_x1"), F.greatest("ay", "by").alias("_y1"))
+def _around(cands: DataFrame, radius: float, park: str) -> DataFrame:
+    """Candidates in their tile and the eight around it; one shape, so that several joins share one shuffle."""
     near = F.array(*[F.struct((geo.tile("x", radius) + dx).alias("_tx"), (geo.tile("y", radius) + dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    j = cands.select(park, "candidate_id", "x", "y", F.inline(near)).join(_cover(s, radius, "_x0", "_y0", "_x1", "_y1"), [park, "_tx", "_ty"])
-    j = j.filter(geo.segment_distance("x", "y", "ax", "ay", "bx", "by") <= radius).select(park, "candidate_id", feature).distinct()
+    return cands.select(park, "site_id", "candidate_id", "x", "y", F.inline(near))
+
+
+def features_within(cands: DataFrame, segments: DataFrame, feature: str, radius: float, out: str, park: str = "park_id") -> DataFrame:
+    """Features with any segment within ``radius`` of each candidate.
+
+    A feature is one row with its segments.  It meets a candidate in every tile they share; the
+    lowest of these keeps the pair, so pairs need no distinct and counts combine before the shuffle.
+    """
+    s = segments.groupBy(park, feature).agg(
+        F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_segments"), F.min(F.least("ax", "bx")).alias("_x0"), F.min(F.least("ay", "by")).alias("_y0"),
+        F.max(F.greatest("ax", "bx")).alias("_x1"), F.max(F.greatest("ay", "by")).alias("_y1"))
+    j = _around(cands, radius, park).join(_cover(s, radius, "_x0", "_y0", "_x1", "_y1"), [park, "_tx", "_ty"])
+    j = j.filter((F.col("_tx") == F.greatest(geo.tile("x", radius) - 1, geo.tile("_x0", radius))) & (F.col("_ty") == F.greatest(geo.tile("y", radius) - 1, geo.tile("_y0", radius))))
+    near_box = (F.col("x") >= F.col("_x0") - radius * 1.000001) & (F.col("x") <= F.col("_x1") + radius * 1.000001) & (F.col("y") >= F.col("_y0") - radius * 1.000001) & (F.col("y") <= F.col("_y1") + radius * 1.000001)
+    j = j.filter(near_box).filter(F.exists("_segments", lambda g: geo.segment_distance("x", "y", g["ax"], g["ay"], g["bx"], g["by"]) <= radius))
     return j.groupBy(park, "candidate_id").agg(F.count(F.lit(1)).alias(out))
 
 
 def catchment(cands: DataFrame, cells: DataFrame, radius: float, park: str = "park_id") -> DataFrame:
     """Candidate x cell membership within ``radius`` with the distance."""
-    near = F.array(*[F.struct((geo.tile("x", radius) + dx).alias("_tx"), (geo.tile("y", radius) + dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     c = cells.select(park, "h3_id", F.col("x").alias("_cx"), F.col("y").alias("_cy"), "population", "intersection_count_hex", "barrier_score_hex").withColumns({"_tx": geo.tile("_cx", radius), "_ty": geo.tile("_cy", radius)})
     d = F.sqrt(F.pow(F.col("x") - F.col("_cx"), 2) + F.pow(F.col("y") - F.col("_cy"), 2))
-    j = cands.select(park, "site_id", "candidate_id", "x", "y", F.inline(near)).join(c, [park, "_tx", "_ty"]).withColumn("d", d).filter(F.col("d") <= radius)
+    j = _around(cands, radius, park).join(c, [park, "_tx", "_ty"]).withColumn("d", d).filter(F.col("d") <= radius)
     return j.select(park, "site_id", "candidate_id", "h3_id", "d", F.coalesce("population", F.lit(0.0)).alias("population"), "intersection_count_hex", "barrier_score_hex")
 
 

@@ -112,14 +112,15 @@ def nearest_point(queries: DataFrame, points: DataFrame, query_id: str = "h3_id"
     t = points.select(*keys, F.col("lng").alias("_px"), F.col("lat").alias("_py"), F.col("lng").alias("_x0"), F.col("lat").alias("_y0"),
                       F.col("lng").alias("_x1"), F.col("lat").alias("_y1"), payload)
 
-    def box_distance():
-        east = F.greatest(F.lit(0.0), F.col("_x0") - F.col("lng"), F.col("lng") - F.col("_x1"))
-        north = F.greatest(F.lit(0.0), F.col("_y0") - F.col("lat"), F.col("lat") - F.col("_y1"))
+    def box_distance(b):
+        east = F.greatest(F.lit(0.0), b["_x0"] - F.col("lng"), F.col("lng") - b["_x1"])
+        north = F.greatest(F.lit(0.0), b["_y0"] - F.col("lat"), F.col("lat") - b["_y1"])
         # distance to the nearest meridian and parallel of the box, slightly reduced
         mer = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(east, F.lit(90.0)))))
         return F.greatest(mer, F.radians(north)) * (R_EARTH * 0.999999)
 
-    return quadtree.nearest(queries, t, query_id, payload, payload, lambda g: geo.haversine_m("lng", "lat", g["_px"], g["_py"]), box_distance, ["_px", "_py"], "lng", "lat", keys)
+    distance = lambda g: geo.haversine_m("lng", "lat", g["_px"], g["_py"])
+    return quadtree.nearest(queries, t, query_id, payload, payload, distance, distance, box_distance, ["_px", "_py"], "lng", "lat", keys)
 
 
 def nearest_segment(queries: DataFrame, segments: DataFrame, query_id: str, payload: str, group_cols=PARK) -> DataFrame:
@@ -128,12 +129,16 @@ def nearest_segment(queries: DataFrame, segments: DataFrame, query_id: str, payl
     t = segments.select(*keys, *ends, payload, F.least("ax", "bx").alias("_x0"), F.least("ay", "by").alias("_y0"),
                         F.greatest("ax", "bx").alias("_x1"), F.greatest("ay", "by").alias("_y1"))
 
-    def box_distance():
-        east = F.greatest(F.lit(0.0), F.col("_x0") - F.col("x"), F.col("x") - F.col("_x1"))
-        north = F.greatest(F.lit(0.0), F.col("_y0") - F.col("y"), F.col("y") - F.col("_y1"))
+    def to_first_end(g):
+        dx, dy = F.col("x") - g["ax"], F.col("y") - g["ay"]
+        return F.sqrt(dx * dx + dy * dy)
+
+    def box_distance(b):
+        east = F.greatest(F.lit(0.0), b["_x0"] - F.col("x"), F.col("x") - b["_x1"])
+        north = F.greatest(F.lit(0.0), b["_y0"] - F.col("y"), F.col("y") - b["_y1"])
         return F.sqrt(east * east + north * north) * 0.999999
 
-    return quadtree.nearest(queries, t, query_id, payload, payload, lambda g: geo.segment_distance("x", "y", *[g[e] for e in ends]), box_distance, ends, "x", "y", keys)
+    return quadtree.nearest(queries, t, query_id, payload, payload, lambda g: geo.segment_distance("x", "y", *[g[e] for e in ends]), to_first_end, box_distance, ends, "x", "y", keys)
 
 
 def lines_to_segments(lines: DataFrame, keep=()) -> DataFrame:
