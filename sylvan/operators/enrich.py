@@ -12,7 +12,8 @@ from ..functions import text as tx
 def enrich_reviews(df: DataFrame, lexicon=None, text_col: str = "review_text") -> DataFrame:
     """Add sentiment, keywords, categories, issue_category, topic, design_requirement,
     category_confidence and published_ts to raw reviews."""
-    out = df.withColumns({"_hits": tx.sentiment_hits(text_col), "_issue": tx.classify_issue(text_col, lexicon)})
+    out = df.withColumn("_words", tx.rule_words(text_col, lexicon))
+    out = out.withColumns({"_hits": tx.sentiment_hits(text_col, F.col("_words")), "_issue": tx.classify_issue(text_col, lexicon, F.col("_words"))})
     cols = {
         "pos_hits": F.col("_hits.pos"), "neg_hits": F.col("_hits.neg"),
         "sentiment": tx.sentiment_of("rating", "_hits.pos", "_hits.neg"),
@@ -23,7 +24,7 @@ def enrich_reviews(df: DataFrame, lexicon=None, text_col: str = "review_text") -
     }
     if "published_at" in df.columns:
         cols["published_ts"] = F.try_to_timestamp("published_at")
-    return out.withColumns(cols).drop("_hits", "_issue")
+    return out.withColumns(cols).drop("_hits", "_issue", "_words")
 
 
 def sentence_table(df: DataFrame) -> DataFrame:
