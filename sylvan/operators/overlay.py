@@ -12,7 +12,7 @@ Lengths become whole micrometres, so that sums do not depend on their order and
 
 Work is dealt by (network, part, block of sources): neither a large network nor many sources meet in
 one task.  A task holds one part (at most ``most`` nodes and its edges) and about :data:`SOURCES`
-sources.
+sources.  A dense part first loses the edges that a way round beats, which no shortest path takes.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from ..functions.session import cut_lineage, ship_code, written_table
 
 #: Nodes of a part, sources of a block, numbers in one array of a search, micrometres in a metre.
-MOST, SOURCES, CELLS, UNIT = 2048, 32, 1 << 22, 1_000_000
+MOST, SOURCES, CELLS, UNIT = 2048, 256, 1 << 22, 1_000_000
 FAR = np.int64(1) << 60
+#: Landmarks of a part, and arcs a node from which on detours are looked for.
+LANDMARKS, DENSE = 16, 8
 
 
 @dataclass
@@ -108,6 +110,24 @@ class Piece:
         self.by_tail = np.argsort(self.u, kind="stable")
         self.tails, self.tail_at = np.unique(self.u[self.by_tail], return_index=True)
 
+    def without_detours(self) -> Piece:
+        """The same distances and shortest paths with fewer arcs, given that every arc is there in both directions.
+
+        An arc longer than the way between its ends over some landmark is on no shortest path.
+        """
+        if len(self.u) <= DENSE * self.n:
+            return self
+        marks = np.unique(np.linspace(0, self.n - 1, LANDMARKS).astype(np.int64))
+        dist = np.full((len(marks), self.n), FAR)
+        dist[np.arange(len(marks)), marks] = 0
+        for s in self.chunks(len(marks)):
+            dist[s] = self.relax(dist[s])
+        # one landmark at a time: an array of landmarks by arcs would be the largest of the task
+        keep = np.ones(len(self.u), bool)
+        for d in dist:
+            keep &= self.w <= d[self.u] + d[self.v]
+        return Piece(self.n, self.u[keep], self.v[keep], self.w[keep])
+
     def chunks(self, rows: int):
         step = max(1, CELLS // max(1, len(self.u), self.n))
         return [slice(i, min(rows, i + step)) for i in range(0, rows, step)]
@@ -152,6 +172,10 @@ class Piece:
         return total
 
 
+def _piece(row) -> Piece:
+    return Piece(row.size, row.u, row.v, row.w).without_detours()
+
+
 def _per_group(net: Network, work: DataFrame, function, schema: str, table: DataFrame | None = None) -> DataFrame:
     """``function(row)`` -> columns, for every row (keys, part, blk, arrays) of ``work`` with its piece."""
     keys, by = net.keys, [*net.keys, "part", "blk"]
@@ -200,7 +224,7 @@ def _grid(row, fields: dict[str, float], width: int, columns) -> tuple[np.ndarra
 def borders(net: Network) -> DataFrame:
     """(keys, part, border, dist, paths): distances and path counts between all ends of cut edges of a part, as bytes."""
     def run(row) -> dict:
-        piece, b = Piece(row.size, row.u, row.v, row.w), np.asarray(row.border)
+        piece, b = _piece(row), np.asarray(row.border)
         dist, paths = np.full((len(b), row.size), FAR), np.zeros((len(b), row.size))
         dist[np.arange(len(b)), b], paths[np.arange(len(b)), b] = 0, 1
         for s in piece.chunks(len(b)):
@@ -234,7 +258,7 @@ def placed_sources(net: Network, sources: DataFrame) -> DataFrame:
 def _leaving(net: Network, starts: DataFrame, src_type: str) -> DataFrame:
     """From sources to the ends of cut edges of their own part: (keys, part, blk, src, idx, d, n)."""
     def run(row) -> dict:
-        piece, b = Piece(row.size, row.u, row.v, row.w), np.asarray(row.border)
+        piece, b = _piece(row), np.asarray(row.border)
         srcs, (dist,) = _grid(row, {"d": FAR}, row.size, np.asarray(row.idx))
         found, paths = np.empty((len(srcs), len(b)), np.int64), np.empty((len(srcs), len(b)))
         for s in piece.chunks(len(srcs)):
@@ -338,7 +362,7 @@ def distances(net: Network, sources: DataFrame, max_distance: float | None = Non
     limit = FAR - 1 if far is None else far
 
     def run(row) -> dict:
-        piece = Piece(row.size, row.u, row.v, row.w)
+        piece = _piece(row)
         srcs, d, _, chunks = _searched(row, piece)
         for s in chunks:
             d[s] = piece.relax(d[s])
@@ -356,7 +380,7 @@ def totals(net: Network, sources: DataFrame) -> DataFrame:
     placed, src_type, _, _, ends = _prepared(net, sources)
 
     def run(row) -> dict:
-        piece = Piece(row.size, row.u, row.v, row.w)
+        piece = _piece(row)
         srcs, d, _, chunks = _searched(row, piece)
         for s in chunks:
             d[s] = piece.relax(d[s])
@@ -373,7 +397,7 @@ def _leaving_shares(net: Network, links: DataFrame, at_entries: DataFrame, start
     at = [*net.keys, "src", "blk", "part", "idx"]
 
     def inside(row) -> dict:
-        piece = Piece(row.size, row.u, row.v, row.w)
+        piece = _piece(row)
         srcs, given, n, chunks = _searched(row, piece)
         d, b = given.copy(), np.asarray(row.border)
         num, share = np.empty(n.shape), np.empty(n.shape)
@@ -433,7 +457,7 @@ def dependencies(net: Network, sources: DataFrame) -> DataFrame:
         work = _gathered(starts, net.keys, "src", "idx", "d", "n").join(beyond, [*net.keys, "part", "blk"], "left")
 
     def run(row) -> dict:
-        piece = Piece(row.size, row.u, row.v, row.w)
+        piece = _piece(row)
         srcs, given, n, chunks = _searched(row, piece)
         where = {s: i for i, s in enumerate(srcs)}
         out = np.zeros(n.shape)
