@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import programs as pg
+from ..functions.session import cut_lineage
 from ..operators import cells as cl
 from ..operators import filters as fl
 from ..operators import opportunity as op
@@ -24,7 +25,8 @@ def site_scored(spark, sf):
 
 
 def programs(spark, sf):
-    impact = rv.issue_impact(review_parks(spark, sf), P)
+    # a row per area and category: cut, or every use of the scores reads all reviews again
+    impact = cut_lineage(rv.issue_impact(review_parks(spark, sf), P))
     rates = op.topic_rates(impact)
     return op.score_programs(site_scored(spark, sf), rates), rates, impact
 
