@@ -19,7 +19,7 @@ from ..sources import adapters as ad
 from .opportunity_queries import OPP, SUMM, summary
 from .registry import query
 from .review_queries import IMP
-from .site_queries import SCORED, review_parks, scored
+from .site_queries import SCORED, review_parks, review_parks_table, scored
 from .spatial_queries import UTM
 from .sqlbase import ENRICHED, js, norm, q, values_list
 
@@ -373,7 +373,7 @@ RATES = f"""{ENRICHED}, {IMP}, tr AS (SELECT CAST(substr(place_id, 4) AS BIGINT)
        "r AS (SELECT park_id, " + ", ".join(f"max(CASE WHEN issue_category = {q(c)} THEN least(1e0, ms * 0.5e0 + ns * 0.5e0) END) AS r{i}, max(CASE WHEN issue_category = {q(c)} THEN ms END) AS m{i}, max(CASE WHEN issue_category = {q(c)} THEN ps END) AS p{i}" for i, c in enumerate(xp.REVIEW_TOPICS)) + " FROM tr GROUP BY park_id) "
        "SELECT w.park_id, h3_id, " + ", ".join(f"{js(f'coalesce(r{xp.REVIEW_TOPICS.index(c)}, 0e0) * w', 3)} AS {k}" for k, c in xp.REVIEW_FIELDS.items()) + f", {js('coalesce(m' + str(xp.REVIEW_TOPICS.index('crowding')) + ', 0e0) * w', 3)} AS event_space_demand, {js('w * coalesce(p' + str(xp.REVIEW_TOPICS.index('landscape / greenery')) + ', 0e0)', 3)} AS positive_identity_value, {js('sat / 100e0 * w', 3)} AS community_satisfaction FROM w JOIN r USING (park_id) JOIN o USING (park_id)")
 def _(spark, sf):
-    r = written_table(review_parks(spark, sf))
+    r = review_parks_table(spark, sf)
     return xp.review_cells(scored(spark, sf), xp.topic_rates(r, ["park_id"]), r)
 
 

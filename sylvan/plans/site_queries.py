@@ -368,6 +368,11 @@ def review_parks(spark, sf):
     return enriched(spark, sf).withColumn("park_id", F.substring("place_id", 4, 10).cast("long"))
 
 
+def review_parks_table(spark, sf):
+    """The reviews of study areas, written for several uses; without keywords, which cost most to find and which none of them reads."""
+    return written_table(review_parks(spark, sf).drop("keywords"))
+
+
 ENV = f"""eh AS (SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, max(score) FILTER (WHERE key = 'thermalComfort') AS th, max(score) FILTER (WHERE key = 'biodiversity') AS bio FROM health GROUP BY place_id),
 ew AS (SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, priority_index AS wat FROM impact WHERE issue_category = 'water features'),
 e0 AS (SELECT park_id, avg(green_coverage_pct) AS green, avg(CASE WHEN heat_score >= 65 THEN 1e0 ELSE 0e0 END) * 100e0 AS hot, avg(CASE WHEN heat_score <= 35 THEN 1e0 ELSE 0e0 END) * 100e0 AS cool, {js('avg(cooling_score)')} AS cs, sum(green_coverage_pct * hex_area_m2) / 100e0 AS gm FROM sc GROUP BY park_id),
@@ -393,7 +398,7 @@ ENV_ROWS = [("greenCoveragePct", js("green", 1), "CASE WHEN green >= 25 THEN 'go
 
 
 def environment(spark, sf):
-    r = written_table(review_parks(spark, sf))
+    r = review_parks_table(spark, sf)
     h = rv.health_score(r, PARK).groupBy("park_id").pivot("key", ["thermalComfort", "biodiversity"]).agg(F.first("score"))
     w = rv.issue_impact(r, PARK).filter(F.col("issue_category") == "water features").select("park_id", F.col("priority_index").alias("water_priority"))
     s = scored(spark, sf)
@@ -484,7 +489,7 @@ r AS (SELECT c.*, ctx.* FROM complaints c LEFT JOIN ctx ON ctx.park_id = CAST(su
 h AS (SELECT *, (issue_category = 'shade / heat comfort' AND (coalesce(avg_heat, 0) >= 55 OR coalesce(avg_green, 100) < 10)) OR (issue_category = 'playground' AND coalesce(avg_access, 100) < 50) OR (issue_category IN ('accessibility','parking') AND coalesce(avg_walk, 0) > 20) AS site_reinforced FROM r)
 SELECT CAST(substr(place_id, 4) AS BIGINT) AS park_id, 'REQ-' || lpad(CAST(rank AS VARCHAR), 3, '0') AS id, issue_category AS topic, severity, site_reinforced, CASE WHEN severity = 'Critical' THEN 'Must Have' WHEN severity = 'High' AND site_reinforced THEN 'Must Have' WHEN severity = 'High' THEN 'High Priority' WHEN severity = 'Medium' THEN 'Medium Priority' ELSE 'Optional' END AS priority_class, mentions AS evidence_count, confidence FROM h""")
 def _(spark, sf):
-    return rv.design_requirement_matrix(rv.complaint_intelligence(written_table(review_parks(spark, sf)), PARK), rp.cross_context(scored(spark, sf)), PARK)
+    return rv.design_requirement_matrix(rv.complaint_intelligence(review_parks_table(spark, sf), PARK), rp.cross_context(scored(spark, sf)), PARK)
 
 
 def msum(names):
@@ -507,7 +512,7 @@ def _age_sql():
 
 
 def evidence(spark, sf):
-    r = written_table(review_parks(spark, sf))
+    r = review_parks_table(spark, sf)
     return rp.review_evidence(rv.persona_analytics(r, PARK), rv.health_score(r, PARK), r.groupBy("park_id").agg(F.count(F.lit(1)).alias("n")), PARK)
 
 
