@@ -31,9 +31,13 @@ def boundary_candidates(sites: DataFrame, spacing: float, group_cols=SITE) -> Da
 
 
 def _around(cands: DataFrame, radius: float, park: str) -> DataFrame:
-    """Candidates in their tile and the eight around it; one shape, so that several joins share one shuffle."""
+    """Candidates in their tile and the eight around it; one shape, so that several joins share one shuffle.
+
+    Sites are few and candidates many times as many, which the planner's estimate leaves out: without
+    the hint it takes these rows for a small table and sends them all through the driver.
+    """
     near = F.array(*[F.struct((geo.tile("x", radius) + dx).alias("_tx"), (geo.tile("y", radius) + dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    return cands.select(park, "site_id", "candidate_id", "x", "y", F.inline(near))
+    return cands.select(park, "site_id", "candidate_id", "x", "y", F.inline(near)).hint("merge")
 
 
 def features_within(cands: DataFrame, segments: DataFrame, feature: str, radius: float, out: str, park: str = "park_id") -> DataFrame:

@@ -83,7 +83,9 @@ def nearest(queries: DataFrame, targets: DataFrame, query_id: str, payload: str,
         part = cells.filter(F.col("_leaf") >= i) if i > 2 else cells
         nodes = part.groupBy(*keys, f"id{i - 1}", f"id{i}").agg(*[f(b).alias(b) for b, f in zip(box, (F.min, F.min, F.max, F.max))], F.first("rep").alias("rep"), (F.max("_leaf") <= i).alias("leaf"))
         nodes = nodes.groupBy(*keys, F.col(f"id{i - 1}").alias("_node")).agg(F.collect_list(F.struct(F.col(f"id{i}").alias("id"), *box, "rep", "leaf")).alias("_kids")).select("*", salts)
-        j = front.select("*", own_salt).join(nodes, [*keys, "_node", "_s"])
+        # queries made from a few rows look small to the planner, which would send them all through the driver
+        side = front.select("*", own_salt)
+        j = (side if i > 1 else side.hint("merge")).join(nodes, [*keys, "_node", "_s"])
         j = j.select(*mine, F.least(F.array_min(F.transform("_kids", lambda k: at_most({g: k["rep"][g] for g in geometry}))), "_ub").alias("_ub"), "_kids")
         # the outer form: for the plain one the planner repeats the lists in a filter below
         j = j.select(*mine, "_ub", F.inline_outer("_kids")).withColumn("_lb", box_distance({b: F.col(b) for b in box})).filter(F.col("_lb") <= F.col("_ub"))
