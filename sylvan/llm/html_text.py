@@ -3,14 +3,13 @@
 A page becomes lines of text: one per block element, white space collapsed, character references
 decoded.  Elements that are never article text (menus, forms, scripts, adverts and the like, by tag,
 role or class) are left out; an article or main element inside one that is so by class, id, role or
-as a form is taken if it holds more text than the rest of the page.  Lines inside a marked
-article are never deleted, since articles quote and copy each other.
+as a form is taken if it holds more text than the rest of the page.
 
-The other pages, those with unmarked lines, are compared.  Pages of one host with equal lines are
-compared as one.  They are put in order of host and path, and each is paired with whichever
+All pages are compared; one with a marked article with the visible lines around it, which are what it
+shares with its site.  Pages of one host with equal lines are compared as one.  They are put in order of host and path, and each is paired with whichever
 neighbour of the same host shares the longer path prefix and is no copy.  The longest common
 subsequence of the two pages' lines, compared by hash, is what the site repeats on every page: those
-lines are deleted.  Where one of the two pages has no line of its own beside the common ones, it is a
+lines are deleted, but for those inside a marked article, since articles quote and copy each other.  Where one of the two pages has no line of its own beside the common ones, it is a
 copy, or part, of the other and says nothing about the site's frame; if both neighbours are such,
 the nearest page beyond them that is no copy is taken, from twice as far in each round until the
 host ends.
@@ -39,6 +38,8 @@ from .common import UPPER, LOWER, only_tables_of, ship, written_table
 
 #: Links fill a menu: a block outside an article with this share of linked characters is left out.
 LINK_SHARE = 0.8
+#: Kinds of lines: around a marked article, main text unless repeated, marked as article.
+AROUND, UNMARKED, MARKED = 0, 1, 2
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp",
@@ -137,20 +138,39 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
-    """(line, marked as article) in page order."""
+def _page_blocks(html: str | None) -> list[tuple[str, bool, bool, float, bool]]:
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    plain, lifted = ([b for b in parser.blocks if b[4] == x] for x in (False, True))
-    inside = lambda blocks, at: [(b[0], True) for b in blocks if b[at]]
-    if any(b[1] for b in plain):
+    return parser.blocks
+
+
+def _chosen(blocks: list) -> list[tuple[int, bool]]:
+    """(place, marked as article) of the blocks that may be main text, in page order."""
+    plain, lifted = ([i for i, b in enumerate(blocks) if b[4] == x] for x in (False, True))
+    inside = lambda places, at: [(i, True) for i in places if blocks[i][at]]
+    if any(blocks[i][1] for i in plain):
         return inside(plain, 1)
-    own = inside(plain, 2) or [(b[0], False) for b in plain if b[3] < LINK_SHARE]
+    own = inside(plain, 2) or [(i, False) for i in plain if blocks[i][3] < LINK_SHARE]
     wrapped = inside(lifted, 1) or inside(lifted, 2)
     # a layout's wrapper leaves little outside; a box of teasers stands beside the text
-    return max(own, wrapped, key=lambda lines: sum(len(t) for t, _ in lines))
+    return max(own, wrapped, key=lambda found: sum(len(blocks[i][0]) for i, _ in found))
+
+
+def page_lines(html: str | None) -> list[tuple[str, bool]]:
+    """(line, marked as article) in page order."""
+    blocks = _page_blocks(html)
+    return [(blocks[i][0], marked) for i, marked in _chosen(blocks)]
+
+
+def compared_lines(html: str | None) -> list[tuple[str, int]]:
+    """(line, kind) of all that is compared with other pages: a page with a marked article shows the lines around it too."""
+    blocks = _page_blocks(html)
+    chosen = dict(_chosen(blocks))
+    if any(chosen.values()):
+        return [(b[0], MARKED if i in chosen else AROUND) for i, b in enumerate(blocks)]
+    return [(blocks[i][0], UNMARKED) for i in chosen]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -196,7 +216,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """rid, page_id, url, lines, marked of every page."""
+    """rid, page_id, url, lines, kinds of every page."""
     ship(pages.sparkSession)
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", "html")
 
@@ -207,11 +227,11 @@ def parsed(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                found = [page_lines(x.as_py()) for x in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))],
-                                                 names=["rid", "page_id", "url", "lines", "marked"])
+                found = [compared_lines(x.as_py()) for x in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[k for _, k in f] for f in found], pa.list_(pa.int8()))],
+                                                 names=["rid", "page_id", "url", "lines", "kinds"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("marked", T.ArrayType(T.BooleanType()))]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.ByteType()))]))
 
 
 def differenced(light: DataFrame) -> DataFrame:
@@ -252,15 +272,23 @@ def differenced(light: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars and n_repeated (lines that the paired page repeats) of every page.
+
+    Every page is paired and compared.  What the markup says about a line then counts more than the
+    comparison.  Pages are parsed a second time for their texts, since keeping these meanwhile would
+    write them once more.
+    """
     host, path = url_parts(F.col("url"))
-    table = written_table(parsed(pages).withColumn("host", host).withColumn("path", path))
-    unmarked = F.exists("marked", lambda m: ~m)
     hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    free = table.filter(unmarked).withColumn("hashes", hashes).withColumn("key", F.xxhash64("hashes"))
-    whole = table.filter(~unmarked).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
-    if not free.isEmpty():
-        keep = differenced(free.select("host", "path", "page_id", "rid", "key", "hashes"))
-        own = F.filter("lines", lambda x, i: F.coalesce(F.get(F.col("keep"), i), F.lit(True)))
-        whole = whole.unionByName(free.select("page_id", "url", "lines", "host", "key").join(keep, ["host", "key"], "left").select("page_id", "url", F.array_join(own, "\n").alias("text")))
-    return whole.withColumn("n_chars", F.length("text").cast("long"))
+    table = parsed(pages).withColumns({"host": host, "path": path, "hashes": hashes}).withColumn("key", F.xxhash64("hashes"))
+    light = written_table(table.filter(F.size("lines") > 0).select("host", "path", "page_id", "rid", "key", "hashes"))
+    keep = differenced(light)
+    marked = F.array_contains("kinds", F.lit(MARKED).cast("byte"))
+    # of a marked page only the article goes on, joined already
+    article = F.filter("lines", lambda x, i: F.get(F.col("kinds"), i) == MARKED)
+    texts = table.select("page_id", "url", "host", "key", F.when(marked, F.array_join(article, "\n")).alias("article"), F.when(~marked, F.col("lines")).alias("lines"))
+    own = F.filter("lines", lambda x, i: F.coalesce(F.get(F.col("keep"), i), F.lit(True)))
+    repeated = F.coalesce(F.size(F.filter("keep", lambda x: ~x)), F.lit(0)).cast("long")
+    # one plan at every size: the table grows with the pages
+    out = texts.join(keep.hint("merge"), ["host", "key"], "left").select("page_id", "url", F.coalesce("article", F.array_join(own, "\n")).alias("text"), F.when(F.col("keep").isNull(), 0).otherwise(repeated).cast("long").alias("n_repeated"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
