@@ -285,7 +285,7 @@ def _(spark, sf):
 
 @query("od_demand", f"WITH {JOUR}, l AS (SELECT *, space AS origin, lead(space) OVER (PARTITION BY package_id, journey_id ORDER BY position, part_id) AS destination FROM jn) SELECT package_id, origin, destination, {js('sum(weight)', 6)} AS weight, count(DISTINCT journey_id) AS journeys, string_agg(DISTINCT persona_id, '|' ORDER BY persona_id) AS personas FROM l WHERE destination IS NOT NULL AND origin <> destination GROUP BY ALL")
 def _(spark, sf):
-    j = ad.journeys(spark, sf).withColumn("position", F.struct("position", "part_id"))
+    j = ad.journeys(spark, sf, dealt=True).withColumn("position", F.struct("position", "part_id"))
     return gr.od_demand(j).withColumn("personas", F.array_join("personas", "|"))
 
 

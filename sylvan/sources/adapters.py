@@ -1,7 +1,8 @@
 """Adapters: the driver's star-schema tables seen as reviews, cells, roads, points and so on.
 
-Each adapter is a plain projection of one or two tables (no actions), so column
-pruning and filters reach the parquet scan, and every output grows with its input.
+Each adapter is a plain projection of one or two tables (no actions, but for a row count from the
+file footers in :func:`journeys`), so column pruning and filters reach the parquet scan, and every
+output grows with its input.
 Study areas (``park_id``) are blocks of consecutive keys, 900 cells each.
 """
 
@@ -41,6 +42,7 @@ LNG0, LAT0 = 55.17, 25.11          # south-west corner of a study area
 CENTER = (55.2201, 25.1552)        # park centre
 CELLS_PER_PARK = 900               # a 30 x 30 lattice
 POINTS_PER_PARK = 6000
+STEPS_PER_TASK = 500_000           # journey steps that one task joins, sorts and reduces
 EDGES_PER_NETWORK = 4000           # order keys per road network
 POI_FIELDS = [  # fixed values: cell count field and the multiplier that derives it
     ("school_count", 2), ("hospital_count", 4), ("clinic_count", 5), ("mosque_count", 7), ("restaurant_count", 8),
@@ -220,10 +222,17 @@ def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits in order: one row per journey step."""
+def journeys(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Visits in order: one row per journey step.
+
+    ``dealt``: all steps of a journey in one partition, about ``STEPS_PER_TASK`` to a partition, for
+    use by journey.  A number of partitions that is named is kept; adaptive execution merges others
+    to 64 MB of compressed numbers, millions of steps for each sort and hash map of a task.
+    """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    if dealt:
+        li = li.repartition(max(spark.sparkContext.defaultParallelism, -(-li.count() // STEPS_PER_TASK)), "l_orderkey")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         idiv(F.col("o_custkey"), CELLS_PER_PARK).alias("package_id"),
         F.col("o_orderkey").alias("journey_id"),

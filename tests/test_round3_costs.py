@@ -72,3 +72,29 @@ def test_written_reviews_carry_no_keywords(spark):
 
     t = sq.review_parks_table(spark, SF)
     assert "keywords" not in t.columns and {"sentiment", "issue_category", "review_text"} <= set(t.columns) and t.count() > 0
+
+
+@pytest.fixture(params=["10m", "-1"])
+def dealt_steps(spark, monkeypatch, request):
+    """Few steps to a task, with orders broadcast and merged; gives the steps that are not dealt out."""
+    from pyspark.sql import functions as F
+
+    from sylvan.plans import spatial_queries as sq
+
+    monkeypatch.setattr(sq.ad, "STEPS_PER_TASK", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield sq.ad.journeys(spark, SF).withColumn("position", F.struct("position", "part_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_demand_sorts_few_steps_a_task(spark, dealt_steps):
+    """The steps are dealt out once, by journey, into a number of partitions that is kept; the rows stay the same."""
+    from pyspark.sql import functions as F
+
+    from sylvan.operators import graph as gr
+
+    od, want = QUERIES["od_demand"](spark, SF), gr.od_demand(dealt_steps).withColumn("personas", F.array_join("personas", "|"))
+    plan = od._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Exchange hashpartitioning(package_id") == 1
+    assert od.count() == want.count() and od.exceptAll(want).isEmpty()
