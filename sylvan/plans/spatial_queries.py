@@ -291,7 +291,7 @@ def _(spark, sf):
 
 @query("od_demand_journeys", f"WITH {JOUR}, l AS (SELECT *, space AS origin, lead(space) OVER (PARTITION BY package_id, journey_id ORDER BY position, part_id) AS destination FROM jn) SELECT DISTINCT package_id, origin, destination, journey_id FROM l WHERE destination IS NOT NULL AND origin <> destination")
 def _(spark, sf):
-    return gr.od_journeys(ad.journeys(spark, sf).withColumn("position", F.struct("position", "part_id")))
+    return gr.od_journeys(ad.journeys(spark, sf, dealt=True).withColumn("position", F.struct("position", "part_id")))
 
 
 FLOWC = gr.FLOW_TIERS

@@ -98,3 +98,14 @@ def test_demand_sorts_few_steps_a_task(spark, dealt_steps):
     plan = od._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Exchange hashpartitioning(package_id") == 1
     assert od.count() == want.count() and od.exceptAll(want).isEmpty()
+
+
+def test_demand_journeys_keep_few_steps_a_task(spark, dealt_steps):
+    """A task sorts a bounded number of steps, however small they are compressed; the rows stay the same."""
+    from pyspark.sql import functions as F
+
+    from sylvan.operators import graph as gr
+
+    legs, want = QUERIES["od_demand_journeys"](spark, SF), gr.od_journeys(dealt_steps)
+    per = [r["count"] for r in legs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(per) <= 200 and sum(per) == want.count() and legs.exceptAll(want).isEmpty()
