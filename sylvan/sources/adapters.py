@@ -42,7 +42,7 @@ LNG0, LAT0 = 55.17, 25.11          # south-west corner of a study area
 CENTER = (55.2201, 25.1552)        # park centre
 CELLS_PER_PARK = 900               # a 30 x 30 lattice
 POINTS_PER_PARK = 6000
-STEPS_PER_TASK = 500_000           # journey steps that one task joins, sorts and reduces
+STEPS_PER_TASK = 1_250_000         # journey steps that one task joins, sorts and reduces
 EDGES_PER_NETWORK = 4000           # order keys per road network
 POI_FIELDS = [  # fixed values: cell count field and the multiplier that derives it
     ("school_count", 2), ("hospital_count", 4), ("clinic_count", 5), ("mosque_count", 7), ("restaurant_count", 8),
