@@ -78,6 +78,16 @@ def parts(edges: DataFrame, keys: list[str], most: int = MOST) -> DataFrame:
         label, rnd = new.drop("_moved"), rnd + 1
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that must not broadcast them.
+
+    Node numbers repeat from network to network, so a file has less than a byte a node: the planner
+    would take the nodes, or the sources, of many networks for a small table and send them all
+    through the driver.
+    """
+    return rows.hint("merge")
+
+
 def network(edges: DataFrame, group_cols=("park_id",), most: int = MOST) -> Network:
     """Cut ``edges`` (keys, a, b, length) into parts; the tables are written once."""
     keys = list(group_cols)
@@ -85,9 +95,10 @@ def network(edges: DataFrame, group_cols=("park_id",), most: int = MOST) -> Netw
     nodes = written_table(p.withColumn("idx", (F.row_number().over(W.partitionBy(*keys, "part").orderBy("node")) - 1).cast("int")))
     w = F.greatest(F.lit(1).cast("long"), F.round(F.col("length") * UNIT).cast("long"))
     e = edges.select(*keys, "a", "b", w.alias("w"))
-    arcs = e.select(*keys, "w", F.inline(F.array(F.struct(F.col("a").alias("from"), F.col("b").alias("to")), F.struct(F.col("b").alias("from"), F.col("a").alias("to")))))
-    arcs = arcs.join(nodes.withColumnRenamed("node", "from"), [*keys, "from"]).drop("from")
-    arcs = written_table(arcs.join(nodes.withColumnsRenamed({"node": "to", "part": "part2", "idx": "idx2"}), [*keys, "to"]).drop("to"))
+    # each edge finds its ends once, before it becomes two arcs
+    e = e.join(_large(nodes.withColumnsRenamed({"node": "a", "part": "pa", "idx": "ia"})), [*keys, "a"]).join(_large(nodes.withColumnsRenamed({"node": "b", "part": "pb", "idx": "ib"})), [*keys, "b"])
+    ways = [F.struct(*[F.col(c).alias(n) for c, n in zip(way, ("part", "idx", "part2", "idx2"))]) for way in (("pa", "ia", "pb", "ib"), ("pb", "ib", "pa", "ia"))]
+    arcs = written_table(e.select(*keys, "w", F.inline(F.array(*ways))))
     cuts = arcs.filter(F.col("part") != F.col("part2"))
     inner = arcs.filter(F.col("part") == F.col("part2")).groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(F.col("idx2").alias("v"), F.col("idx").alias("u"), "w"))).alias("a"))
     border = cuts.groupBy(*keys, "part").agg(F.array_sort(F.collect_set("idx")).alias("border"))
@@ -184,7 +195,7 @@ def _per_group(net: Network, work: DataFrame, function, schema: str, table: Data
     ship_code(spark)
     n = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # a fixed number of partitions: the rows are few and small, the work behind each is not
-    rows = work.join(table, [*keys, "part"]).repartition(n, *by)
+    rows = _large(work).join(table, [*keys, "part"]).repartition(n, *by)
     kept = [f for f in rows.schema.fields if f.name in by]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
@@ -250,7 +261,7 @@ def _rows(srcs: np.ndarray, mask: np.ndarray, columns: np.ndarray, **values: np.
 def placed_sources(net: Network, sources: DataFrame) -> DataFrame:
     """Sources (keys, src) with part, idx and block; blocks are of about equal size by a hash."""
     keys = net.keys
-    s = sources.select(*keys, "src").distinct().join(net.nodes.withColumnRenamed("node", "src"), [*keys, "src"])
+    s = sources.select(*keys, "src").distinct().join(_large(net.nodes.withColumnRenamed("node", "src")), [*keys, "src"])
     n = s.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("long").alias("_b"))
     return written_table(s.join(n, keys).select(*keys, "src", "part", "idx", F.pmod(F.xxhash64("src"), "_b").cast("int").alias("blk")))
 
@@ -370,8 +381,8 @@ def distances(net: Network, sources: DataFrame, max_distance: float | None = Non
 
     work = _gathered(_starts(net, placed, ends), net.keys, "src", "idx", "d", "n")
     out = _per_group(net, work, run, f"src {src_type}, idx int, d long")
-    out = out.join(net.nodes, [*net.keys, "part", "idx"]).select(*net.keys, "src", "node", (F.col("d") / UNIT).alias("distance"))
-    alone = sources.select(*net.keys, "src").distinct().join(net.nodes.withColumnRenamed("node", "src"), [*net.keys, "src"], "left_anti")
+    out = out.join(_large(net.nodes), [*net.keys, "part", "idx"]).select(*net.keys, "src", "node", (F.col("d") / UNIT).alias("distance"))
+    alone = sources.select(*net.keys, "src").distinct().join(_large(net.nodes.withColumnRenamed("node", "src")), [*net.keys, "src"], "left_anti")
     return out.unionByName(alone.select(*net.keys, "src", F.col("src").alias("node"), F.lit(0.0).alias("distance")))
 
 
@@ -476,4 +487,4 @@ def dependencies(net: Network, sources: DataFrame) -> DataFrame:
         return {"idx": k.astype(np.int32), "x": total[k]}
 
     got = _per_group(net, work, run, "idx int, x double").groupBy(*net.keys, "part", "idx").agg(F.sum("x").alias("dependency"))
-    return got.join(net.nodes, [*net.keys, "part", "idx"]).select(*net.keys, "node", "dependency")
+    return got.join(_large(net.nodes), [*net.keys, "part", "idx"]).select(*net.keys, "node", "dependency")
