@@ -1,7 +1,11 @@
 """Steps that sent too much through the driver or did more work than their result needs."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from sylvan.llm import simhash
 from sylvan.operators import overlay as ov
 
 
@@ -22,3 +26,35 @@ def test_nodes_never_go_through_the_driver(spark, monkeypatch):
     assert optimized(dep).count("strategy=merge") == 2 and optimized(dist).count("strategy=merge") == 3  # sources with their part, results with their node
     assert {(r.park_id, r.node): r.dependency for r in dep.collect()} == {(p, n): 2.0 * n * (4 - n) for p in range(3) for n in (1, 2, 3)}
     assert dist.filter("src = 0 and node = 4 and distance = 46").count() == 3
+
+
+def test_tiles_are_paired_by_the_counts_of_quarters(spark):
+    """Fingerprints of equal counts in both halves, but not in their quarters, are never compared; near ones of neighbouring tiles are."""
+    rnd = random.Random(4)
+    ones = lambda at, n: sum(1 << b for b in rnd.sample(range(at, at + 16), n))
+    one, other = ({ones(0, a) | ones(16, 16 - a) | ones(32, 8) | ones(48, 8) for _ in range(32)} for a in (4, 12))
+    fps = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in one | other], "fp long")
+    tiles = simhash.tiles_of(fps, 8)
+    held = {r.tile: {x & (1 << 64) - 1 for x in r.fps} for r in tiles.collect()}
+    pairs = {(r.a, r.b) for r in simhash.tile_pairs(tiles).collect()}
+    # eight tiles: four of each kind, all of a kind paired
+    assert sorted(map(len, held.values())) == [8] * 8 and len(pairs) == 20
+    assert not any(held[a] | held[b] > {x, y} for a, b in pairs for x in one for y in other)
+
+
+def test_blocks_of_any_order_lose_no_link():
+    """More fingerprints than a block, near copies far apart in the order of counts: the same groups as all pairs give."""
+    rnd = np.random.default_rng(5)
+    f = rnd.integers(0, 1 << 63, 1200, dtype=np.uint64)
+    for i in range(0, 600, 2):  # bits of one quarter, or of all
+        f[1199 - i] = f[i] ^ sum((np.uint64(1) << np.uint64(b) for b in rnd.choice(16 if i % 4 else 64, rnd.integers(1, 6), replace=False)), np.uint64(0))
+    f = np.unique(f)
+    for a, b in ((f, None), (f[:700], f[700:])):
+        every = a if b is None else np.concatenate([a, b])
+        x, y = np.nonzero(np.bitwise_count(a[:, None] ^ (a if b is None else b)[None]) <= 4)
+        want, got = simhash.Groups(len(every)), simhash.Groups(len(every))
+        want.join(x, y + (0 if b is None else len(a)))
+        at = {int(v): i for i, v in enumerate(every)}
+        u, v = simhash.forest(a, b, 4)
+        got.join(np.array([at[int(x)] for x in u], int), np.array([at[int(x)] for x in v], int))
+        assert len(u) and (want.root == got.root).all()
