@@ -5,9 +5,10 @@ with the token before it (merging the two tokens' bytes gives the two back).  Th
 the bytes read so far are therefore paths through the vocabulary trie, one per place where a token
 may have ended.  The deterministic machine's state holds these paths: the tokens each has chosen
 since the paths split, and its trie node.  Tokens that all paths share are emitted, so a token
-leaves after a bounded lookahead.  States and transitions are built when first met and dropped all
-at once when ``MAX_STATES`` are held, so memory is bounded whatever the texts are; time is linear
-in the bytes, also for pre-tokens without end.
+leaves after a bounded lookahead.  States and transitions are built when first met.  Once ``MAX_STATES`` are
+held, new ones serve their pre-token only, and all are dropped when as many transitions have come and
+gone: texts of one kind keep their states, texts of another get their own.  So memory is bounded whatever the
+texts are; time is linear in the bytes, also for pre-tokens without end.
 
 Decoding.  Token bytes pass through a UTF-8 state machine that carries an unfinished character (up
 to 3 bytes) from one token, and from one call, to the next; malformed bytes give U+FFFD.
@@ -21,7 +22,7 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -81,18 +82,44 @@ class Transducer:
 
     def _forget(self) -> None:
         self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
+        # states with other tokens before them have the same paths, which are held once
+        self.same_paths: dict[tuple, tuple[int, tuple]] = {}
+        self.number: dict[int, int] = {}  # number of the paths and token before them -> state
+        # what full tables take in for one pre-token only, and how many moves that has been
+        self.passing: list[tuple[dict, int | tuple]] = []
+        self.passed = 0
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte -> state, tokens
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.start = self._state((-1, (((), 0),)))
-
-    def _state(self, state: tuple) -> int:
-        at = self.number.get(state)
+        self.start = self._state(-1, (((), 0),))
+
+    def _state(self, last: int, paths: tuple) -> int:
+        full = len(self.states) > self.max_states
+        held = self.same_paths.get(paths)
+        if held is None:
+            held = self.same_paths[paths] = len(self.same_paths), paths
+            if full:
+                self.passing.append((self.same_paths, paths))
+        key = held[0] << 20 | last + 1
+        at = self.number.get(key)
         if at is None:
-            at = self.number[state] = len(self.states)
-            self.states.append(state)
+            at = self.number[key] = len(self.states)
+            self.states.append((last, held[1]))
+            if full:
+                self.passing.append((self.number, key))
         return at
 
+    def _let_pass(self) -> None:
+        """Full tables keep what they hold and drop what came since; all goes once as many moves have been dropped as are held."""
+        if self.passed > len(self.moves):
+            self._forget()
+            return
+        for table, key in self.passing:
+            del table[key]
+        self.passing.clear()
+        for at in range(self.max_states + 1, len(self.states)):
+            self.ends.pop(at, None)
+        del self.states[self.max_states + 1:]
+
     def merge(self, data: bytes) -> list[int]:
         """The definition: join the neighbours of lowest rank until none are left."""
         parts = [data[i:i + 1] for i in range(len(data))]
@@ -203,8 +230,11 @@ class Transducer:
                 break
             shared += 1
         out = alive[0][0][:shared]
-        move = (self._state((out[-1] if out else last, tuple((chosen[shared:], node) for chosen, node in alive))), out)
+        move = (self._state(out[-1] if out else last, tuple((chosen[shared:], node) for chosen, node in alive)), out)
         self.moves[at << 8 | byte] = move
+        if len(self.states) > self.max_states:
+            self.passing.append((self.moves, at << 8 | byte))
+            self.passed += 1
         return move
 
     def feed(self, at: int, data: bytes, out: list[int]) -> int:
@@ -228,12 +258,14 @@ class Transducer:
         out: list[int] = []
         at = self.start
         for i in range(0, len(data), 4096):
-            if len(self.states) > self.max_states:
+            if self.passing:
                 here = self.states[at]
-                self._forget()
-                at = self._state(here)
+                self._let_pass()
+                at = self._state(*here)
             at = self.feed(at, data[i:i + 4096], out)
         out.extend(self.finish(at))
+        if self.passing:
+            self._let_pass()
         return out
 
 
@@ -264,6 +296,17 @@ def latin_pattern(pattern: str) -> re.Pattern | None:
     return re.compile("".join(out))
 
 
+class Words(dict):
+    """Ids of pre-tokens; those of an unknown one are made when asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        return self.make(word)
+
+
 class Encoder:
     """Texts to ids; remembers the ids of common pre-tokens."""
 
@@ -272,7 +315,7 @@ class Encoder:
 
         self.transducer, self.split = Transducer(ranks), regex.compile(pattern)
         self.split_latin = latin_pattern(pattern)
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.word)
 
     def word(self, word: str) -> bytes:
         ids = array("I", self.transducer.encode(word.encode("utf-8"))).tobytes()
@@ -284,10 +327,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, known = bytearray(), self.words.get
-        for w in self._pieces(text):
-            out += known(w) or self.word(w)
-        return bytes(out)
+        return b"".join(map(self.words.__getitem__, self._pieces(text)))
 
     def _pieces(self, text: str) -> Iterable[str]:
         split = self.split
@@ -344,13 +384,17 @@ class Decoder:
         self.state, self.pending = 0, b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        out, whole = [], self.whole
-        for i in ids:
-            text = None if self.state else whole.get(i)
-            if text is None:
-                self.state, self.pending, text = utf8_step(self.state, self.pending, self.bytes_of[i])
-            out.append(text)
-        return "".join(out)
+        ids = list(ids)
+        out, at = [*map(self.whole.get, ids), None], 0
+        # only tokens that begin or end inside a character go through the state machine
+        while at < len(ids):
+            if not self.state:
+                at = out.index(None, at)
+                if at == len(ids):
+                    break
+            self.state, self.pending, out[at] = utf8_step(self.state, self.pending, self.bytes_of[ids[at]])
+            at += 1
+        return "".join(out[:-1])
 
     def decode(self, raw: bytes) -> str:
         """The whole text of ids as :meth:`Encoder.encode` gives them."""

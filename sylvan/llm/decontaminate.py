@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, written_table
 
 WINDOW = 10
 #: Largest set that is broadcast: at about 200 bytes a window, some 40 MB.
@@ -129,7 +129,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
     dirty = hits(docs.select(key.alias("doc_id"), F.col("text")), benchmark, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct()
-    return tagged.join(dirty, "key", "left_anti").select("doc.*")
+    # written, so that the planner knows their number: while they are few, the documents need no shuffle
+    return tagged.join(written_table(dirty), "key", "left_anti").select("doc.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -232,4 +232,6 @@ def without_copies(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     # smallest id first, null ids last, then the order of rows
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")).alias("keep")
     kept = rows.join(groups.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("keep.rid").alias("rid"))
-    return marked.join(kept, "rid", "left_semi").select("_doc.*")
+    # written, so that the planner knows the number of copies: while they are few, the documents need no shuffle
+    copies = written_table(rows.select("rid").join(kept, "rid", "left_anti"))
+    return marked.join(copies, "rid", "left_anti").select("_doc.*")

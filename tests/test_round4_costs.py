@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from sylvan.llm import simhash
+from sylvan.llm import bpe, decontaminate, simhash
 from sylvan.operators import overlay as ov
 
 
@@ -58,3 +59,55 @@ def test_blocks_of_any_order_lose_no_link():
         u, v = simhash.forest(a, b, 4)
         got.join(np.array([at[int(x)] for x in u], int), np.array([at[int(x)] for x in v], int))
         assert len(u) and (want.root == got.root).all()
+
+
+def test_full_tables_keep_their_states():
+    """Words met before the table was full need no new state after it, whatever came between; the ids stay right and the tables bounded."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    t, whole, rnd, made = bpe.Transducer(ranks, max_states=600), bpe.Transducer(ranks), random.Random(6), []
+    move = t._move
+    t._move = lambda at, byte: made.append(byte) or move(at, byte)
+    usual = [" the", " of", " water", "stone", " 1984", "été"]
+    for w in usual:
+        t.encode(w.encode())
+    full = 0
+    for _ in range(400):
+        w = "".join(rnd.choice("abdegiklmnorstu é€") for _ in range(rnd.randint(1, 12))).encode()
+        assert t.encode(w) == whole.encode(w)
+        # tables dropped as a whole leave less
+        full += len(t.states) == 601
+        if t.passed:
+            made.clear()
+            assert [t.encode(u.encode()) for u in usual] == [whole.encode(u.encode()) for u in usual] and not made
+            break
+    assert full
+    most = len(t.moves)
+    for _ in range(3000):
+        w = "".join(rnd.choice("abdegiklmnorstu é€") for _ in range(rnd.randint(1, 12))).encode() * rnd.choice((1, 1, 1, 900))
+        assert t.encode(w) == whole.encode(w)
+        assert len(t.states) == len(t.number) <= 601 and len(t.same_paths) <= 601 and all(at <= 600 for at in t.ends)
+        most = max(most, len(t.moves))
+    assert most < 2000
+
+
+def test_broken_characters_are_decoded_in_any_pieces():
+    bytes_of = {i: b for b, i in bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")).items()}
+    dec, rnd, ids = bpe.Decoder(bytes_of), random.Random(7), sorted(bytes_of)
+    broken = [i for i in ids if i not in dec.whole]
+    for _ in range(300):
+        row = [rnd.choice(broken if rnd.random() < 0.4 else ids) for _ in range(rnd.randint(0, 30))]
+        at = rnd.randint(0, len(row))
+        state, _, text = bpe.utf8_step(0, b"", b"".join(bytes_of[i] for i in row))
+        dec.reset()
+        assert dec.feed(iter(row[:at])) + dec.feed(row[at:]) + dec.finish() == text + ("\ufffd" if state else "")
+
+
+def test_documents_stay_where_they_are_while_few_are_dropped(spark):
+    """The few dropped are sent to the documents, not the documents to them."""
+    docs = spark.createDataFrame([(i, f"text number {i} has some words of its own and ends at {i * i}", "en") for i in range(20)] + [(20, "text number 3 has some words of its own and ends at 9", "en")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([("b", "number 7 has some words of its own and ends")], "item_id string, text string")
+    for df, gone in ((simhash.without_copies(docs), 20), (decontaminate.clean_documents(docs, bench), 7)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        left = {r.doc_id for r in df.collect()}
+        assert gone not in left and 3 in left
